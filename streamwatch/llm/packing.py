@@ -79,7 +79,7 @@ def solve(counts: np.ndarray, capacity: int, gap: float = GAP, columns: int = CO
             inverse -= np.outer(move, pivot)
             inverse[row] = pivot
             if step % 200 == 199:
-                inverse = np.linalg.inv(np.array(patterns, dtype=float).T)
+                inverse = inverse @ (2 * np.eye(m) - np.array(patterns, dtype=float).T @ inverse)  # mends what rounding has added up
                 x = np.maximum(inverse @ need, 0)
         for pattern, amount in zip(patterns, x, strict=True):
             times = int(amount + 1e-9)
