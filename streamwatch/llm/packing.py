@@ -139,7 +139,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                ids = [x + END for x in encoder.ids(texts)]
+                ids = [encoder.ids(t) + END for t in texts]
                 crcs = [[zlib.crc32(x[i : i + width]) for i in range(0, len(x), width)] for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
 

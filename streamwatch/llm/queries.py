@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from . import chosen_path, html_wrappers, kdtree, mixing, packing, pii, sharding, token_counts, toxicity, winnowing
 from .common import read
 
-COUNT_MODEL, PACK_MODEL = "piece_bpe_32k.model", "byte_bpe_50k.json"
+#: The rank file holds the vocabulary of byte_bpe_50k.json.
+COUNT_MODEL, PACK_MODEL = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_path(name: str) -> str:

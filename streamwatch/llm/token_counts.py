@@ -8,11 +8,9 @@ the safe places they have, and such longer parts are encoded whole.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +20,8 @@ from .common import slices
 LIMIT = 4096
 #: Bytes of text that are handled at once, and parts that a worker remembers.
 SLICE_BYTES, REMEMBERED = 4 << 20, 1_500_000
+#: Fixed value: the pattern that splits texts before the merges of the byte-level vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -59,29 +59,23 @@ class PieceCounter:
 
 
 class ByteEncoder:
-    """Ids of a byte-level vocabulary as little-endian bytes, without added special tokens."""
+    """Ids of a byte-level vocabulary, given as ranks, as little-endian unsigned 32-bit numbers.
+
+    Special strings inside texts become their own ids, as the library of the JSON form of the vocabulary does by default;
+    tests hold both forms' ids against each other.
+    """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [segments(t) for t in texts]
-        if len(self.later) + len(self.first) > REMEMBERED // 2:
-            self.first, self.later = {}, {}
-        first, later = self.first, self.later
-        new = list({ps[0] for ps in parts if ps[0] not in first})
-        first.update(zip(new, self._encode(new), strict=True))
-        new = list({p for ps in parts for p in ps[1:] if p not in later})
-        later.update(zip(new, self._encode([" " + p for p in new]), strict=True))
-        return [first[ps[0]] + b"".join(map(later.__getitem__, ps[1:])) for ps in parts]
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.model = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+
+    def ids(self, text: str) -> bytes:
+        return self.model.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 
 _LOADED: dict = {}
