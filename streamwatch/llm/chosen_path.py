@@ -29,7 +29,9 @@ from .common import cut, partitions, slices
 GRAM, SIMILARITY = 5, 0.8
 TOKENS, DEPTH, RECALL = 64, 4, 0.9999
 #: Sets of a bucket that are compared at once; buckets up to it end.
-BUCKET = 512
+BUCKET = 2048
+#: Bits of the filter that keeps documents without a link out of the exact check's shuffle; its size is fixed.
+FILTER_BITS = 1 << 24
 #: Share of equal tokens from which two sets are linked for the exact check: 4 standard deviations below the threshold.
 SLACK = 4.0
 #: Sets of a group that are compared exactly at once, and columns of the incidence matrix.
@@ -123,7 +125,7 @@ def _per_text(texts: pa.Array, size: int, most: int = 16 << 20) -> pa.Array:
 
 
 def signature_rows(docs: DataFrame, gram: int = GRAM, tokens: int = TOKENS) -> DataFrame:
-    """doc_id, two hashes of the text's grams (null for texts without words), and its tokens as bytes."""
+    """doc_id, two hashes of the text's grams (null for texts without words), and its tokens, whole and by their low bytes."""
     seeds = mixed(np.arange(101, 101 + tokens, dtype=np.uint64)) | U(1)
     shifts = mixed(np.arange(901, 901 + tokens, dtype=np.uint64))
 
@@ -148,10 +150,10 @@ def signature_rows(docs: DataFrame, gram: int = GRAM, tokens: int = TOKENS) -> D
                 null = np.ones(n, dtype=bool)
                 null[there] = False
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(a.view(np.int64), mask=null), pa.array(b.view(np.int64), mask=null), pa.array([x.tobytes() for x in sig], pa.binary())], ["doc_id", "a", "b", "sig"]
+                    [batch.column("doc_id"), pa.array(a.view(np.int64), mask=null), pa.array(b.view(np.int64), mask=null), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], ["doc_id", "a", "b", "sig", "short"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, a long, b long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, a long, b long, sig binary, short binary")
 
 
 def chance(depth: int) -> float:
@@ -229,12 +231,12 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tup
 
 
 def _bucket_links(rows: DataFrame, least: float, tokens: int) -> DataFrame:
-    """Links between sets of one (bucket, block pair) whose tokens agree enough; a forest for each bucket."""
+    """Links between sets of one (bucket, block pair) whose tokens agree enough, by one byte of each; a forest for each."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for df in _groups(batches, ["path", "x", "y"]):
             out = []
-            sig = np.frombuffer(b"".join(df["sig"]), dtype=np.uint32).reshape(-1, tokens)
+            sig = np.frombuffer(b"".join(df["short"]), dtype=np.uint8).reshape(-1, tokens)
             ids, side = df["id"].to_numpy(), df["side"].to_numpy()
             for s, e in _bounds(df, ["path", "x", "y"]):
                 if e - s < 2:
@@ -243,8 +245,8 @@ def _bucket_links(rows: DataFrame, least: float, tokens: int) -> DataFrame:
 
                 def pairs(own=own, part=part):
                     for i in range(len(own) - 1):
-                        other = np.flatnonzero(part[i + 1 :] != part[i]) + i + 1 if part.any() else np.arange(i + 1, len(own))
-                        hit = other[(own[other] == own[i]).sum(1) >= least * tokens]
+                        hit = np.flatnonzero((own[i + 1 :] == own[i]).sum(1) >= least * tokens) + i + 1
+                        hit = hit[part[hit] != part[i]] if part.any() else hit
                         if len(hit):
                             yield np.full(len(hit), i), hit
 
@@ -294,6 +296,23 @@ def text_hash(h: np.ndarray) -> int:
     return int(mixed(h + np.arange(len(h), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
 
 
+def maybe_in(ids: DataFrame, bits: int):
+    """A function of an id column: false only for ids that the one column of ids doesn't hold. A bitmap of fixed size."""
+    name = ids.columns[0]
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = ids.select(at(F.col(name)).alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(h % 64))")).alias("mask")).toArrow()
+    bitmap = np.zeros(bits // 64, dtype=np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("mask").to_numpy()
+    held = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def inside(h: pd.Series) -> pd.Series:
+        v = h.fillna(0).to_numpy().astype(np.int64)
+        return pd.Series((held.value[v // 64] >> (v % 64)) & 1 == 1)
+
+    return lambda c: inside(at(c))
+
+
 def _set_rows(docs: DataFrame, gram: int) -> DataFrame:
     """id and its distinct gram hashes, sorted, as bytes."""
 
@@ -363,7 +382,7 @@ def _exact(rows: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(check, "a long, b long, n long")
 
 
-def join_documents(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM, recall: float = RECALL, depth: int = DEPTH, tokens: int = TOKENS, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+def join_documents(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM, recall: float = RECALL, depth: int = DEPTH, tokens: int = TOKENS, bucket: int = BUCKET, block: int = BLOCK, bits: int = FILTER_BITS) -> DataFrame:
     """One row per row of docs: doc_id, copy_id, class_id, n_links.
 
     copy_id is the smallest doc_id of the same words in the same order (case and white space aside). n_links is the
@@ -374,24 +393,24 @@ def join_documents(docs: DataFrame, similarity: float = SIMILARITY, gram: int =
     """
     signed = cut(signature_rows(docs, gram, tokens))
     usable = signed.filter("doc_id is not null and a is not null")
-    sets = cut(usable.groupBy("a", "b").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.max("sig").alias("sig")).withColumnRenamed("a", "id"))
+    sets = cut(usable.groupBy("a", "b").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.max("sig").alias("sig"), F.max("short").alias("short")).withColumnRenamed("a", "id"))
     least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / tokens)
     runs = runs_for(recall, depth)
-    own = sets.select("id", "sig")
+    own, short = sets.select("id", "sig"), sets.select("id", "short")
     at = _children(own, 0, similarity, tokens, runs)
     links = None
     for level in range(1, depth + 1):
         at = cut(at)
         met = at.join(at.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "path")
         ended = met if level == depth else met.filter(F.col("n") <= bucket)
-        found = _bucket_links(in_blocks(ended, "n", bucket).join(own, "id"), least, tokens)
+        found = _bucket_links(in_blocks(ended, "n", bucket).join(short, "id"), least, tokens)
         links = found if links is None else links.unionByName(found)
         if level < depth:
             at = _children(met.filter(F.col("n") > bucket).join(own, "id"), level, similarity, tokens, runs)
     groups = cut(components(links).join(sets.select("id", "copy_id", "copies"), "id"))
     sized = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group")
     spoken = in_blocks(sized, "n", block).select(F.col("copy_id").alias("doc_id"), "id", "copies", "group", "x", "y", "side")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spoken, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(maybe_in(groups.select("copy_id"), bits)(F.col("doc_id").cast("long"))).join(spoken, "doc_id")
     checked = cut(_exact(_set_rows(texts, gram), similarity))
     linked = components(checked.filter("n = 0").select("a", "b")).join(sets.select("id", "copy_id"), "id")
     classes = linked.join(linked.groupBy("group").agg(F.min("copy_id").alias("class_id")), "group").select("id", "class_id")
