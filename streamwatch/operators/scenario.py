@@ -1,0 +1,34 @@
+"""What-if levers on features and distributions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def perturbed(value: Column, lever: Column, floor: float, share: float, residual: float, scale: float) -> Column:
+    """A feature under a lever: raised to a floor, its treated share brought to a residual, or scaled down. Null stays null."""
+    treated = value - share * F.greatest(value - residual, F.lit(0.0))
+    return F.when(value.isNull(), F.lit(None)).when(lever == "floor", F.greatest(value, F.lit(floor))).when(lever == "treated", treated).when(lever == "scale", value * (1 - scale))
+
+
+def direct(quantile: Column, effect: Column, coverage: Column) -> Column:
+    """A quantile under an effect known from elsewhere."""
+    return quantile * (1 - effect * coverage)
+
+
+def widened(centre: Column, width: Column, factor: float, low: float, high: float) -> tuple[Column, Column]:
+    """An interval of factor * width about the centre, moved (not cut) into [low, high]."""
+    new = width * factor
+    start = F.greatest(F.lit(low), F.least(F.lit(high) - new, centre - new / 2))
+    return start, start + new
+
+
+def response_verdict(change: Column, expected: Column, negligible: float = 0.01) -> Column:
+    """Whether a model's mean response to a feature has the expected sign; change is in target standard deviations."""
+    return F.when(F.abs(change) < negligible, "NEGLIGIBLE").when(F.signum(change) == F.signum(expected), "TRUSTED").otherwise("WRONG_SIGN")
+
+
+def path(verdict: Column, has_literature: Column) -> Column:
+    """How a lever's effect on a variable can be estimated."""
+    return F.when(verdict == "TRUSTED", "MODEL_PERTURBATION").when(F.coalesce(has_literature, F.lit(False)), "LITERATURE_DIRECT").otherwise("NOT_ESTIMABLE")
