@@ -9,10 +9,10 @@ mapped to a probability on labelled documents that weren't used for the vectors.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 #: Bound of the training sample: so many documents of label 0 and of label 1, none longer than so many characters.
-SAMPLE, SAMPLE_CHARS = (3000, 1500), 40_000
-REMEMBERED = 1_000_000
+SAMPLE, SAMPLE_CHARS = (2000, 1500), 20_000
+#: Words that a task remembers, and documents that are split into words at once.
+REMEMBERED, SLICE_ROWS = 700_000, 256
 FOLDS = 5
 
 
@@ -42,16 +43,27 @@ class Settings:
 def grams(word: str, s: Settings) -> list[int]:
     """Buckets of a word and its n-grams; < and > mark its ends."""
     marked = f"<{word}>"
-    n = len(marked)
-    out = [zlib.crc32(marked.encode("utf-8", "surrogatepass")) % s.buckets]
-    for k in range(s.low, s.high + 1):
-        out += [zlib.crc32(marked[i : i + k].encode("utf-8", "surrogatepass")) % s.buckets for i in range(n - k + 1)]
-    return out
+    n, b = len(marked), s.buckets
+    if marked.isascii():
+        raw = marked.encode()
+        return [crc32(raw) % b, *[crc32(raw[i : i + k]) % b for k in range(s.low, s.high + 1) for i in range(n - k + 1)]]
+    code = lambda x: crc32(x.encode("utf-8", "surrogatepass")) % b
+    return [code(marked), *[code(marked[i : i + k]) for k in range(s.low, s.high + 1) for i in range(n - k + 1)]]
 
 
 def words(text: str) -> list[str]:
-    """Lower-case words; a word that follows itself counts once."""
-    return [w for w, _ in groupby(WORD.findall(text.lower()))]
+    return WORD.findall(text.lower())
+
+
+def bags(words_: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """All buckets of all words in a row, and how many each word has."""
+    each = [grams(w, s) for w in words_]
+    return np.fromiter(chain.from_iterable(each), dtype=np.int32), np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+
+
+def unrepeated(x: np.ndarray) -> np.ndarray:
+    """x without what equals its predecessor: a word that follows itself counts once."""
+    return x[np.flatnonzero(np.diff(x, prepend=np.nan))] if len(x) else x
 
 
 @dataclass(frozen=True)
@@ -64,23 +76,18 @@ class Model:
     settings: Settings
 
     def scores(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
-        s, diff = self.settings, self.difference
-        out = np.empty(len(texts))
-        for i, text in enumerate(texts):
-            ws = words(text)
-            try:
-                values = np.array(list(map(known.__getitem__, ws)))
-            except KeyError:
-                for w in ws:
-                    if w not in known:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                            for v in ws:
-                                known[v] = float(diff[grams(v, s)].mean())
-                        known[w] = float(diff[grams(w, s)].mean())
-                values = np.array([known[w] for w in ws])
-            out[i] = top_window(values, s.window)
-        return 1 / (1 + np.exp(-(self.slope * out + self.shift)))
+        """known: values of words, kept between calls and forgotten at its bound."""
+        split = [words(t) for t in texts]
+        new = list({w for ws in split for w in ws if w not in known})
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list({w for ws in split for w in ws})
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            flat, size = bags(part, self.settings)
+            known.update(zip(part, (np.add.reduceat(self.difference[flat], np.cumsum(size) - size) / size).tolist(), strict=True))
+        tops = [top_window(unrepeated(np.fromiter(map(known.__getitem__, ws), dtype=float, count=len(ws))), self.settings.window) for ws in split]
+        return 1 / (1 + np.exp(-(self.slope * np.array(tops) + self.shift)))
 
 
 def top_window(values: np.ndarray, window: int) -> float:
@@ -98,12 +105,9 @@ def train(texts: list[str], labels: np.ndarray, s: Settings = Settings(), toxic_
     """
     rng = np.random.default_rng(s.seed)
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], dtype=np.int32) for t in texts]
-    ids = [grams(w, s) for w in vocabulary]
-    size = np.array([len(x) for x in ids], dtype=np.int64)
+    docs = [unrepeated(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(t)], dtype=np.int32)) for t in texts]
+    flat, size = bags(list(vocabulary), s)
     start = np.concatenate([[0], np.cumsum(size)])
-    flat = np.fromiter((g for x in ids for g in x), dtype=np.int32, count=int(start[-1]))
-    del ids
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     layer = np.zeros((s.dim, 2), dtype=np.float32)
     layer[:, 1] = rng.normal(0, 0.1, s.dim)
@@ -240,7 +244,8 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, float] = {}
         for texts in parts:
-            yield pd.Series(held.value.scores([t or "" for t in texts], known))
+            out = [held.value.scores(texts[i : i + SLICE_ROWS].tolist(), known) for i in range(0, len(texts), SLICE_ROWS)]
+            yield pd.Series(np.concatenate([*out, np.zeros(0)]))
 
     return docs.withColumn("score", score(F.coalesce(F.col("text"), F.lit(""))))
 
