@@ -87,3 +87,32 @@ scores AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+ORACLES["op5_source_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         len(regexp_extract_all(coalesce(text, ''), '[#$%&*!?~^|<>{}\[\]=_+]{2,}')) AS marks, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents
+),
+w AS (SELECT *, 0.5::DOUBLE + 0.5::DOUBLE * size / (size + 4 * marks + 1) AS weight FROM d),
+k AS (SELECT *, -ln((CAST(('0x' || substr(h, 1, 12)) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / weight AS key FROM w),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+o AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS sw FROM s),
+l AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) OVER (ORDER BY 2.0::DOUBLE * source_size / sw, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / (sum(sw) OVER () - coalesce(sum(sw) OVER (ORDER BY 2.0::DOUBLE * source_size / sw, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level,
+         row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / sw, source IS NULL, source) AS place
+  FROM o
+),
+f AS (SELECT arg_min(level, place) AS level FROM l WHERE level * sw < cap),
+t AS (SELECT source, source_size, round(coalesce(least(cap, f.level * sw), cap), 6) AS target FROM l LEFT JOIN f ON TRUE),
+p AS (
+  SELECT k.doc_id, k.size, t.source_size, t.target, k.source, k.weight, CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS epochs,
+         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, h, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, source, weight,
+       CAST(epochs * size + greatest(0, least(size, round(target) - epochs * source_size - before)) AS BIGINT) AS taken
+FROM p
+"""

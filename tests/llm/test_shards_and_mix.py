@@ -79,3 +79,11 @@ def test_mixed_corpus_repeats_whole_documents(docs, odd, none):
     assert max(out.values()) == 2 and mixing.mixed_corpus(docs).columns == docs.columns
     odd_out = mixing.mixed_corpus(odd).collect()
     assert odd_out and all(r.text for r in odd_out) and mixing.mixed_corpus(none).count() == 0
+
+
+def test_mix_equals_its_sql(spark, sf):
+    from oracle import same
+
+    from streamwatch.llm.queries import ORACLES, QUERIES
+
+    same(QUERIES["op5_source_mix"](spark, sf), sf, ORACLES["op5_source_mix"])
