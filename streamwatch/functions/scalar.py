@@ -113,3 +113,13 @@ def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column,
     centre = (p + F.lit(zz) / (2 * n)) / (1 + F.lit(zz) / n)
     half = F.lit(z) * F.sqrt(p * (1 - p) / n + F.lit(zz) / (4 * n * n)) / (1 + F.lit(zz) / n)
     return F.when(n > 0, centre - half), F.when(n > 0, centre + half)
+
+
+def centroid(ring: Column) -> tuple[Column, Column, Column]:
+    """x, y and area of a polygon given as an array of (x, y), by the shoelace sums."""
+    n = F.size(ring)
+    pairs = F.zip_with(ring, F.concat(F.slice(ring, 2, n), F.slice(ring, 1, 1)), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    cross = lambda e: e["ax"] * e["by"] - e["bx"] * e["ay"]
+    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda t, e: t + f(e))
+    twice = total(cross)
+    return total(lambda e: (e["ax"] + e["bx"]) * cross(e)) / (3 * twice), total(lambda e: (e["ay"] + e["by"]) * cross(e)) / (3 * twice), F.abs(twice) / 2

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,3 +34,27 @@ def response_verdict(change: Column, expected: Column, negligible: float = 0.01)
 def path(verdict: Column, has_literature: Column) -> Column:
     """How a lever's effect on a variable can be estimated."""
     return F.when(verdict == "TRUSTED", "MODEL_PERTURBATION").when(F.coalesce(has_literature, F.lit(False)), "LITERATURE_DIRECT").otherwise("NOT_ESTIMABLE")
+
+
+def applicability(feature: Column, extent: Column) -> Column:
+    """Why a lever can't be applied to an entity."""
+    return F.when(feature.isNull() | (feature <= 0), "NULL_OR_ZERO_FEATURE").when(extent > feature, "EXTENT_OVER_CURRENT")
+
+
+def run(rows: DataFrame, effects: Sequence[float], names: Sequence[str], levels: Sequence[float], coverage: float = 0.8, factor: float = 1.5) -> DataFrame:
+    """Expected exceedance days by entity, now and under each size of a direct effect, with a widened interval.
+
+    The interval is that of the equal mixture of the count distributions over the effects.
+    """
+    from .probability import exceedance, pmf_interval, poisson_binomial
+
+    quantiles = [F.col(n) for n in names]
+    sampled = rows.withColumn("effect", F.explode(F.array(*[F.lit(float(e)) for e in effects])))
+    moved = [direct(q, F.col("effect"), F.lit(1.0)) for q in quantiles]
+    p = sampled.select("entity_id", "effect", exceedance(moved, levels, F.col("threshold")).alias("p"))
+    pmf = poisson_binomial(p, ["entity_id", "effect"], "p").groupBy("entity_id", "n_days").agg((F.sum("probability") / len(effects)).alias("probability"))
+    after = pmf_interval(pmf, ["entity_id"], coverage)
+    before = rows.groupBy("entity_id").agg(F.sum("exceedance_prob").alias("baseline_days"), F.count("exceedance_prob").alias("n_days"))
+    out = before.join(after, "entity_id")
+    low, high = widened(F.col("mean_days"), (F.col("high") - F.col("low")).cast("double"), factor, 0.0, 1e9)
+    return out.select("entity_id", "baseline_days", F.col("mean_days").alias("scenario_days"), low.alias("ci_low"), F.least(high, F.col("n_days").cast("double")).alias("ci_high"))

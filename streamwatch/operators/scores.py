@@ -122,3 +122,10 @@ def gate(scores: DataFrame, least_wins: int = 2) -> DataFrame:
     """Whether the challenger replaces the champion: CRPS wins in enough buckets and coverage no worse, for all variables."""
     s = scores.withColumn("_win", F.col("crps_b") < F.col("crps_a")).groupBy("variable").agg(F.count_if("_win").alias("wins"), F.avg(F.abs(F.col("coverage_b") - 0.8)).alias("_eb"), F.avg(F.abs(F.col("coverage_a") - 0.8)).alias("_ea"))
     return s.withColumn("passed", (F.col("wins") >= least_wins) & (F.col("_eb") <= F.col("_ea"))).drop("_ea", "_eb")
+
+
+def attribute_selection(df: DataFrame, columns: Sequence[str], most_missing: float = 0.05) -> DataFrame:
+    """attribute, dropped: why a static attribute can't be used, null where it can."""
+    stats = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(f"m_{c}") for c in columns], *[F.count_distinct(c).alias(f"n_{c}") for c in columns])
+    items = [F.struct(F.lit(c).alias("attribute"), F.when(F.col(f"m_{c}") > most_missing, "MISSING").when(F.col(f"n_{c}") <= 1, "CONSTANT").alias("dropped")) for c in columns]
+    return stats.select(F.inline(F.array(*items)))

@@ -74,3 +74,19 @@ def carried(df: DataFrame, key: str, value: str, ok: F.Column, max_age: int, dat
     at = F.last(F.when(ok, F.col(date)), True).over(w)
     age = F.datediff(F.col(date), at)
     return df.withColumns({f"{value}_asof": F.when(age <= max_age, F.last(F.when(ok, F.col(value)), True).over(w)), f"{value}_age": F.when(age <= max_age, age)})
+
+
+def as_issued(archive: DataFrame, run: DataFrame, issues: DataFrame, horizons: int, decay: float = DECAY) -> DataFrame:
+    """Future drivers as known at each issue: days before it from the archive, the issue day and later ones from the run.
+
+    archive, run: cell_id, date, precip_mm. issues: cell_id, issued. A week's index and the sum of rain up to each lead,
+    null where one of their days is.
+    """
+    span = issues.withColumn("date", F.explode(F.sequence(F.date_sub("issued", 7), F.date_add("issued", horizons))))
+    past = archive.select("cell_id", "date", F.col("precip_mm").alias("_a"))
+    ahead = run.select("cell_id", "date", F.col("precip_mm").alias("_r"))
+    days = span.join(past, ["cell_id", "date"], "left").join(ahead, ["cell_id", "date"], "left").withColumn("p", F.when(F.col("date") < F.col("issued"), F.col("_a")).otherwise(F.col("_r")))
+    w = Window.partitionBy("cell_id", "issued").orderBy("date")
+    lead_ = F.datediff("date", "issued")
+    future = F.when(F.count_if((lead_ > 0) & F.col("p").isNull()).over(w) == 0, F.sum(F.when(lead_ > 0, F.col("p"))).over(w))
+    return days.withColumns({"api_7": antecedent("p", w, 7, decay), "precip_fut_cum": future, "horizon": lead_}).filter("horizon > 0").select("cell_id", "issued", "horizon", "api_7", "precip_fut_cum")

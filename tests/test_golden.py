@@ -199,3 +199,41 @@ def test_result_does_not_depend_on_partitions(spark, sf, parts):
     obs = view(spark, sf, "v_obs").repartition(parts)
     c = climate.seasonal_thresholds(climate.long_observations(obs), "1998-12-31").agg(F.count("*"), F.round(F.sum("threshold"), 6)).first()
     assert tuple(c) == tuple(climate.seasonal_thresholds(climate.long_observations(view(spark, sf, "v_obs")), "1998-12-31").agg(F.count("*"), F.round(F.sum("threshold"), 6)).first())
+
+
+def test_cooldown_suppresses_within_72_hours(spark, tmp_path):
+    from streamwatch.streaming import daily
+
+    at = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    rows = [(1, at(1), "ALERT"), (1, at(3, 23), "WATCH"), (1, at(4), "ALERT"), (2, at(2), "INSUFFICIENT_EVIDENCE"), (2, at(3), "ALERT")]
+    a = spark.createDataFrame(rows, "entity_id long, issued_at timestamp, severity string")
+    a.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = daily.cooled(spark.readStream.schema(a.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("cooled").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r.suppressed for r in spark.table("cooled").orderBy("entity_id", "issued_at").collect()] == [False, True, False, False, False]
+
+
+def test_chains_of_pass_through_entities(spark):
+    from streamwatch.operators import network
+
+    top = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 4), (4, 5), (20, 21), (21, 22), (22, 20)], "upstream_id long, downstream_id long")
+    got = {r.entity_id: (r.chain_id, r.place) for r in network.chains(top).collect()}
+    assert [got[i] for i in (1, 2, 3, 4, 5, 9)] == [(1, 0), (1, 1), (1, 2), (4, 0), (4, 1), (9, 0)] and got[21] == (20, None)
+
+
+def test_isotonic_needs_events(spark):
+    from streamwatch.operators import calibration
+
+    rows = spark.range(400).select(F.lit("v").alias("variable"), (F.col("id") / 400).alias("exceedance_prob"), (F.rand(1) < F.col("id") / 800).alias("event"))
+    out = calibration.isotonic(rows, rows, ["variable"]).agg(F.avg("calibrated_prob"), F.avg(F.col("event").cast("double")), F.max("calibration_note")).first()
+    assert abs(out[0] - out[1]) < 0.02 and out[2] is None
+    few = calibration.isotonic(rows.limit(5), rows, ["variable"]).agg(F.max("calibration_note"), F.max(F.abs(F.col("calibrated_prob") - F.col("exceedance_prob")))).first()
+    assert tuple(few) == ("INSUFFICIENT_EVENTS", 0.0)
+
+
+def test_as_issued_features_use_the_run_from_the_issue_day_on(spark):
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(i)
+    archive = spark.createDataFrame([(0, day(i), 1.0 if i < 7 else 99.0) for i in range(12)], "cell_id int, date date, precip_mm double")
+    run = spark.createDataFrame([(0, day(i), 2.0) for i in range(7, 10)], "cell_id int, date date, precip_mm double")
+    got = {r.horizon: r for r in series.as_issued(archive, run, spark.createDataFrame([(0, day(7))], "cell_id int, issued date"), 4).collect()}
+    assert math.isclose(got[1].api_7, 2 * 0.9 + sum(0.9**i for i in range(2, 8))) and got[2].precip_fut_cum == 4.0 and got[3].precip_fut_cum is None

@@ -1,7 +1,7 @@
 import pytest
 from oracle import same
 
-from streamwatch.plans import forecast_queries, frame_queries, library_queries, series_queries  # noqa: F401
+from streamwatch.plans import forecast_queries, frame_queries, library_queries, more_queries, series_queries  # noqa: F401
 from streamwatch.plans.registry import ORACLES, QUERIES
 
 
