@@ -26,16 +26,16 @@ def downstream(starts: DataFrame, topology: DataFrame, hops: int) -> DataFrame:
     return out.groupBy("entity_id", "reached_id").agg(F.min("hops").alias("hops"))
 
 
-def outlets(topology: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:
+def outlets(topology: DataFrame, nodes: DataFrame) -> DataFrame:
     """entity_id, outlet_id, steps by pointer doubling; nodes of a cycle keep a null outlet."""
     first = topology.groupBy(F.col("upstream_id").alias("entity_id")).agg(F.min("downstream_id").alias("to"))
     at = _cut(nodes.select("entity_id").distinct().join(first, "entity_id", "left").select("entity_id", F.coalesce("to", "entity_id").alias("to"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps")))
-    for _ in range(rounds):
+    for _ in range(max(1, at.count()).bit_length() + 1):  # by then every walk is longer than any path
         nxt = at.select(F.col("entity_id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_s"))
         new = _cut(at.join(nxt, "to").select("entity_id", F.col("_to").alias("to"), (F.col("steps") + F.col("_s")).alias("steps")))
-        moved = new.join(at.select("entity_id", F.col("to").alias("old")), "entity_id").filter("old <> to").limit(1).count()
+        done = new.join(at.select("entity_id", F.col("to").alias("old")), "entity_id").filter("old <> to").isEmpty()
         at = new
-        if not moved:
+        if done:
             break
     roots = nodes.select("entity_id").distinct().join(topology.select(F.col("upstream_id").alias("entity_id")).distinct(), "entity_id", "left_anti").select(F.col("entity_id").alias("to"), F.lit(True).alias("_root"))
     return at.join(roots, "to", "left").select("entity_id", F.when(F.col("_root"), F.col("to")).alias("outlet_id"), F.when(F.col("_root"), F.col("steps")).alias("steps"))
