@@ -24,12 +24,13 @@ def cdf(quantiles: Sequence[Column], levels: Sequence[float], x: Column) -> Colu
     Null where an input is null. Crossing quantiles raise.
     """
     q, lv = list(quantiles), [float(l) for l in levels]
+    gap = [round(b - a, 10) for a, b in zip(lv, lv[1:], strict=False)]
     first, last = q[1] - q[0], q[-1] - q[-2]
-    low = F.when(first > 0, F.greatest(F.lit(0.0), lv[0] - F.lit(lv[1] - lv[0]) * (q[0] - x) / first)).otherwise(0.0)
-    high = F.when(last > 0, F.least(F.lit(1.0), lv[-1] + F.lit(lv[-1] - lv[-2]) * (x - q[-1]) / last)).otherwise(F.when(x > q[-1], 1.0).otherwise(lv[-1]))
+    low = F.when(first > 0, F.greatest(F.lit(0.0), lv[0] - F.lit(gap[0]) * (q[0] - x) / first)).otherwise(0.0)
+    high = F.when(last > 0, F.least(F.lit(1.0), lv[-1] + F.lit(gap[-1]) * (x - q[-1]) / last)).otherwise(F.when(x > q[-1], 1.0).otherwise(lv[-1]))
     out = F.when(x < q[0], low).when(x >= q[-1], high)
     for k in range(len(q) - 1):
-        out = out.when((x >= q[k]) & (x < q[k + 1]), lv[k] + F.lit(lv[k + 1] - lv[k]) * (x - q[k]) / (q[k + 1] - q[k]))
+        out = out.when((x >= q[k]) & (x < q[k + 1]), lv[k] + F.lit(gap[k]) * (x - q[k]) / (q[k + 1] - q[k]))
     missing, crossed = x.isNull(), F.lit(False)
     for k, c in enumerate(q):
         missing = missing | c.isNull()
@@ -42,8 +43,8 @@ def exceedance(quantiles: Sequence[Column], levels: Sequence[float], threshold:
 
 
 def surprise(pit: Column) -> Column:
-    """-ln(1 - PIT), infinite at 1."""
-    return F.when(pit >= 1, float("inf")).otherwise(-F.log(1 - pit))
+    """-ln(1 - PIT), infinite at 1 (to the last digits of a double)."""
+    return F.when(pit >= 1 - 1e-12, float("inf")).otherwise(-F.log(1 - pit))
 
 
 def anomaly_label(pit: Column, y: Column, p10: Column, p90: Column, threshold: Column) -> Column:

@@ -62,7 +62,7 @@ def losses(cube: DataFrame) -> DataFrame:
 def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
     """Mean forecast and observed frequency by equal bins of probability; empty bins stay, the last bin is closed."""
     known = rows.filter("exceedance_prob is not null and event is not null")
-    placed = known.withColumn("bin", F.least(F.floor(F.col("exceedance_prob") * bins), F.lit(bins - 1)).cast("int"))
+    placed = known.withColumn("bin", F.least(F.floor(F.round("exceedance_prob", 9) * bins), F.lit(bins - 1)).cast("int"))
     table = placed.groupBy("bin").agg(F.count("*").alias("n"), F.avg("exceedance_prob").alias("mean_forecast"), F.avg(F.col("event").cast("double")).alias("observed_frequency"))
     all_ = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return all_.join(table, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -65,7 +65,7 @@ def pr2_exceedance(spark, sf_dir):
     return rounded(exceedances(spark, sf_dir).select("entity_id", "variable", "target_date", "threshold", "exceedance_prob"))
 
 
-@query(BASE + f"""SELECT entity_id, variable, target_date, round(pit, 6) + 0.0 AS pit, CASE WHEN pit >= 1 THEN CAST('Infinity' AS DOUBLE) ELSE round(-ln(1 - pit), 6) + 0.0 END AS surprise FROM (SELECT *, {cdf_sql('target')} AS pit FROM fc) q""")
+@query(BASE + f"""SELECT entity_id, variable, target_date, round(pit, 6) + 0.0 AS pit, CASE WHEN pit >= 1 - 1e-12 THEN CAST('Infinity' AS DOUBLE) ELSE round(-ln(1 - pit), 6) + 0.0 END AS surprise FROM (SELECT *, {cdf_sql('target')} AS pit FROM fc) q""")
 def pr3_pit(spark, sf_dir):
     f = forecasts(spark, sf_dir)
     pit = probability.cdf([F.col(n) for n in NAMES], LEVELS, F.col("target"))
@@ -162,7 +162,7 @@ def ag13_entity_losers(spark, sf_dir):
     return rounded(g.filter("n >= 5 and mae > mae_clim + 1e-9"))
 
 
-@query(FULL + """, p AS (SELECT CAST(least(floor(exceedance_prob * 10), 9) AS INTEGER) AS bin, exceedance_prob AS e, CASE WHEN event THEN 1.0 ELSE 0.0 END AS y FROM exc WHERE exceedance_prob IS NOT NULL)
+@query(FULL + """, p AS (SELECT CAST(least(floor(round(exceedance_prob, 9) * 10), 9) AS INTEGER) AS bin, exceedance_prob AS e, CASE WHEN event THEN 1.0 ELSE 0.0 END AS y FROM exc WHERE exceedance_prob IS NOT NULL)
 SELECT CAST(b.b AS INTEGER) AS bin, count(p.e) AS n, round(avg(p.e), 6) + 0.0 AS mean_forecast, round(avg(p.y), 6) + 0.0 AS observed_frequency FROM generate_series(0, 9) b(b) LEFT JOIN p ON p.bin = b.b GROUP BY b.b""")
 def ag14_reliability(spark, sf_dir):
     return rounded(scores.reliability(exceedances(spark, sf_dir)))
