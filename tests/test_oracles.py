@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 from oracle import same
 
@@ -16,9 +20,5 @@ def test_query_without_sql_runs(spark, sf, name):
 
 
 def test_optional_subpackage_is_not_needed():
-    import subprocess
-    import sys
-    from conftest import ROOT
-
     code = "import sys; sys.modules['corpus_pipeline'] = None; sys.modules['streamwatch.llm'] = None; import __spark_entry__ as e; assert len(e.queries()) > 80 and 'pipeline' not in e.queries()"
-    assert subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True).returncode == 0
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True).returncode == 0
