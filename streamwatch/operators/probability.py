@@ -165,3 +165,14 @@ def pmf_interval(pmf: DataFrame, keys: Sequence[str], coverage: float = 0.8) ->
     w = Window.partitionBy(*keys).orderBy("n_days")
     c = pmf.withColumn("_c", F.sum("probability").over(w))
     return c.groupBy(*keys).agg(F.min(F.when(F.col("_c") >= tail - 1e-12, F.col("n_days"))).alias("low"), F.min(F.when(F.col("_c") >= 1 - tail - 1e-12, F.col("n_days"))).alias("high"), F.sum(F.col("n_days") * F.col("probability")).alias("mean_days"))
+
+
+def conformal_by(rows: DataFrame, keys: Sequence[str], coverage: float = 0.8) -> DataFrame:
+    """The k-th smallest conformity score by any keys that hold `variable`; cells whose k is over n are left out."""
+    score = None
+    for v, t in TRANSFORMS.items():
+        y, lo, hi = (forward(F.col(c), t) for c in ("target", "p10", "p90"))
+        score = F.when(F.col("variable") == v, F.greatest(lo - y, y - hi)).otherwise(score if score is not None else F.lit(None))
+    out = rows.filter("target is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(score)).alias("_s"))
+    k = F.ceil((F.col("n") + 1) * F.lit(coverage)).cast("int")
+    return out.filter(k <= F.col("n")).withColumn("q_adjust", F.get("_s", k - 1)).drop("_s")

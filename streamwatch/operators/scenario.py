@@ -58,3 +58,27 @@ def run(rows: DataFrame, effects: Sequence[float], names: Sequence[str], levels:
     out = before.join(after, "entity_id")
     low, high = widened(F.col("mean_days"), (F.col("high") - F.col("low")).cast("double"), factor, 0.0, 1e9)
     return out.select("entity_id", "baseline_days", F.col("mean_days").alias("scenario_days"), low.alias("ci_low"), F.least(high, F.col("n_days").cast("double")).alias("ci_high"))
+
+
+def tracked(train: DataFrame, rows: DataFrame, before: str, after: str) -> DataFrame:
+    """By entity: rows that a lever leaves as they were, and rows that it moves out of the training range."""
+    span = train.agg(F.min(before).alias("_lo"), F.max(before).alias("_hi")).withColumn("_k", F.lit(0))
+    r = rows.withColumn("_k", F.lit(0)).join(span, "_k")
+    out = (F.col(after) > F.col("_hi")) | (F.col(after) < F.col("_lo"))
+    return r.groupBy("entity_id").agg(F.count_if(out).alias("out_of_support"), F.count_if(F.col(after) == F.col(before)).alias("no_change"), F.count("*").alias("n"))
+
+
+def response_check(train: DataFrame, rows: DataFrame, features: Sequence[str], target: str, key: str, expected: float = 1.0) -> DataFrame:
+    """feature, change, share_up, verdict: the median forecast's mean answer to one standard deviation more, in target ones."""
+    from . import forest
+
+    model = forest.fit(train, features, target)
+    spread = train.agg(*[F.stddev_samp(c).alias(c) for c in (*features, target)]).first()
+    base = forest.predict(model, rows, key).select(key, F.col("p50").alias("_b"))
+    out = None
+    for c in features:
+        up = forest.predict(model, rows.withColumn(c, F.col(c) + F.lit(float(spread[c] or 0.0))), key).select(key, F.col("p50").alias("_a"))
+        d = base.join(up, key).withColumn("_d", (F.col("_a") - F.col("_b")) / F.lit(float(spread[target] or 1.0)))
+        one = d.agg(F.avg("_d").alias("change"), F.avg((F.col("_d") > 0).cast("double")).alias("share_up")).select(F.lit(c).alias("feature"), "change", "share_up")
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("verdict", response_verdict(F.col("change"), F.lit(expected)))

@@ -19,7 +19,8 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = sql.replace(", 6) + 0.0", f" + {NUDGE}, 6) + 0.0").replace(", 5) + 0.0", f" + {NUDGE}, 5) + 0.0")
+            once = sql.replace(f" + {NUDGE}", "")
+            ORACLES[f.__name__] = once.replace(", 6) + 0.0", f" + {NUDGE}, 6) + 0.0").replace(", 5) + 0.0", f" + {NUDGE}, 5) + 0.0")
         return f
 
     return register
