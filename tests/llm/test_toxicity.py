@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from streamwatch.llm import toxicity
 
 CLEAN = [a + b for a in ("ban", "kel", "mor", "tis", "vun", "dol", "par") for b in ("ta", "lo", "rim", "sek", "nu", "ge")]
@@ -59,3 +60,21 @@ def test_benchmarked_documents(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     r = toxicity.score_documents(docs, labels).join(labels, "doc_id").filter("held_out").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")).alias("right"), F.count_if((F.col("predicted") == 1) & (F.col("toxic") == 1)).alias("hits"), F.sum("predicted").alias("flagged")).first()
     assert r.right > 0.94 and r.hits > 0.85 * r.flagged
+
+
+def test_sample_holds_long_texts_and_many_clean_ones(spark):
+    rows = [(i, "word " * (6000 if i % 10 == 0 else 3), int(i % 2 == 0)) for i in range(6000)]
+    docs, labels = frames(spark, rows)
+    got, _ = toxicity.sample(docs.filter("doc_id % 10 = 0 or doc_id % 2 = 1"), labels)
+    free = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % toxicity.FOLDS and (i % 10 == 0 or i % 2 == 1)]
+    assert set(got["doc_id"]) == {i for i, _ in free}
+
+
+def test_held_out_toxic_documents_are_caught_in_query_and_stage(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    bad = labels.filter((F.col("toxic") == 1) & (toxicity.fold(F.col("doc_id")) == 0)).select("doc_id")
+    held = docs.join(bad, "doc_id")
+    caught = toxicity.score_documents(docs, labels).join(bad, "doc_id").agg(F.avg("predicted")).first()[0]
+    left = corpus_pipeline.drop_toxic(spark, docs, d).join(bad, "doc_id").count() / held.count()
+    assert caught >= 0.75 and abs(caught - (1 - left)) < 1e-9
