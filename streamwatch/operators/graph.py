@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,26 +42,49 @@ def outlets(topology: DataFrame, nodes: DataFrame) -> DataFrame:
     return at.join(roots, "to", "left").select("entity_id", F.when(F.col("_root"), F.col("to")).alias("outlet_id"), F.when(F.col("_root"), F.col("steps")).alias("steps"))
 
 
-def contributing(topology: DataFrame, nodes: DataFrame, amount: str, rounds: int = 64) -> DataFrame:
-    """entity_id with the sum of amount over itself and all that drains to it, level by level from the sources."""
-    total = nodes.select("entity_id", F.col(amount).alias("moving"))
-    out = total
-    for _ in range(rounds):
-        total = _cut(total.join(topology, total["entity_id"] == topology["upstream_id"]).groupBy(F.col("downstream_id").alias("entity_id")).agg(F.sum("moving").alias("moving")))
-        if total.isEmpty():
+#: Rounds after which the results of a loop over levels are put together.
+TOGETHER = 16
+
+
+def contributing(topology: DataFrame, nodes: DataFrame, amount: str) -> DataFrame:
+    """entity_id with the sum of amount over itself and all that drains to it, level by level from the sources.
+
+    An entity passes its sum on once all its inflows are in, so there are as many rounds as levels; what a cycle keeps
+    from that, on it or below it, has a null sum.
+    """
+    edges = topology.select("upstream_id", "downstream_id").dropna()
+    both = lambda a, b: F.when(F.col(a).isNull(), F.col(b)).when(F.col(b).isNull(), F.col(a)).otherwise(F.col(a) + F.col(b))
+    into = edges.groupBy(F.col("downstream_id").alias("entity_id")).agg(F.count("*").alias("waits"))
+    own = nodes.groupBy("entity_id").agg(F.sum(amount).alias("moving"), F.lit(True).alias("known"))
+    passing = edges.select(F.col("upstream_id").alias("entity_id")).union(edges.select("downstream_id")).distinct().join(own, "entity_id", "left_anti")
+    every = own.unionByName(passing.withColumn("known", F.lit(False)), allowMissingColumns=True)
+    every = _cut(every.join(into, "entity_id", "left").withColumn("waits", F.coalesce("waits", F.lit(0).cast("long"))))
+    ready, waiting, done = every.filter("waits = 0"), every.filter("waits > 0"), []
+    for _ in range(every.count() + 1):  # each round makes one entity ready at least
+        done.append(ready.select("entity_id", "moving", "known"))
+        if len(done) > TOGETHER:
+            done = [_cut(reduce(DataFrame.unionByName, done))]
+        sent = ready.join(edges, ready["entity_id"] == edges["upstream_id"]).groupBy(F.col("downstream_id").alias("entity_id"))
+        sent = sent.agg(F.sum("moving").alias("_m"), F.count("*").alias("_n"), F.max("known").alias("_k"))
+        new = waiting.join(sent, "entity_id", "left")
+        new = _cut(new.select("entity_id", both("moving", "_m").alias("moving"), (F.col("known") | F.coalesce("_k", F.lit(False))).alias("known"), (F.col("waits") - F.coalesce("_n", F.lit(0))).alias("waits")))
+        ready, waiting = new.filter("waits = 0"), new.filter("waits > 0")
+        if ready.isEmpty():
             break
-        out = out.unionByName(total)
-    return out.groupBy("entity_id").agg(F.sum("moving").alias("contributing"))
+    else:
+        raise RuntimeError("levels didn't settle")
+    held = waiting.select("entity_id", F.lit(None).cast(every.schema["moving"].dataType).alias("moving"), "known")
+    return reduce(DataFrame.unionByName, done, held).filter("known").select("entity_id", F.col("moving").alias("contributing"))
 
 
-def strahler(topology: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
+def strahler(topology: DataFrame, nodes: DataFrame) -> DataFrame:
     """Stream order: 1 at sources; the largest inflow's, one more where two or more inflows have it.
 
     An entity is ordered once all its inflows are; what a cycle keeps from that gets order 1 and cycle_broken.
     """
     into = topology.select(F.col("downstream_id").alias("entity_id"), "upstream_id")
     done = _cut(nodes.select("entity_id").distinct().join(into, "entity_id", "left_anti").select("entity_id", F.lit(1).alias("strahler_order")))
-    for _ in range(rounds):
+    for _ in range(done.count() + into.select("entity_id").distinct().count() + 1):  # each round orders one entity at least
         fed = into.join(done.select(F.col("entity_id").alias("upstream_id"), F.col("strahler_order").alias("o")), "upstream_id", "left").join(done, "entity_id", "left_anti")
         ready = fed.groupBy("entity_id").agg(F.max("o").alias("m"), F.count_if(F.col("o").isNull()).alias("waiting"), F.collect_list("o").alias("os")).filter("waiting = 0")
         new = ready.select("entity_id", (F.col("m") + F.when(F.size(F.filter("os", lambda x: x == F.col("m"))) > 1, 1).otherwise(0)).alias("strahler_order"))
@@ -68,6 +92,8 @@ def strahler(topology: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFra
         if new.isEmpty():
             break
         done = _cut(done.unionByName(new))
+    else:
+        raise RuntimeError("levels didn't settle")
     return nodes.select("entity_id").distinct().join(done, "entity_id", "left").select("entity_id", F.coalesce("strahler_order", F.lit(1)).alias("strahler_order"), F.col("strahler_order").isNull().alias("cycle_broken"))
 
 

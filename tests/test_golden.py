@@ -237,3 +237,14 @@ def test_as_issued_features_use_the_run_from_the_issue_day_on(spark):
     run = spark.createDataFrame([(0, day(i), 2.0) for i in range(7, 10)], "cell_id int, date date, precip_mm double")
     got = {r.horizon: r for r in series.as_issued(archive, run, spark.createDataFrame([(0, day(7))], "cell_id int, issued date"), 4).collect()}
     assert math.isclose(got[1].api_7, 2 * 0.9 + sum(0.9**i for i in range(2, 8))) and got[2].precip_fut_cum == 4.0 and got[3].precip_fut_cum is None
+
+
+def test_chains_deeper_than_64_levels_and_cycles(spark):
+    n = 70
+    edges = [(i, i + 1) for i in range(1, n)] + [(1001, 1002), (1002, 1001), (1002, 1003), (1004, 1003)]
+    top = spark.createDataFrame(edges, "upstream_id long, downstream_id long").coalesce(1).cache()
+    nodes = spark.createDataFrame([(i, float(i)) for i in [*range(1, n + 1), *range(1001, 1005)]], "entity_id long, a double").coalesce(1).cache()
+    total = {r.entity_id: r.contributing for r in graph.contributing(top, nodes, "a").collect()}
+    assert total == {i: i * (i + 1) / 2 for i in range(1, n + 1)} | {1001: None, 1002: None, 1003: None, 1004: 1004.0}
+    order = {r.entity_id: (r.strahler_order, r.cycle_broken) for r in graph.strahler(top, nodes).collect()}
+    assert order == {i: (1, False) for i in [*range(1, n + 1), 1004]} | {i: (1, True) for i in (1001, 1002, 1003)}
