@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,9 @@ SLICE_BYTES, REMEMBERED = 4 << 20, 1_500_000
 #: Fixed value: the pattern that splits texts before the merges of the byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Runs of white space (as the pattern has it) so long that its look-ahead could fail on them, and what ends a text inside it.
+LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+SPECIAL = "<|endoftext|>"
 
 
 def segments(text: str) -> list[str]:
@@ -72,9 +76,19 @@ class ByteEncoder:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.model = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
+        self.model = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
 
     def ids(self, text: str) -> bytes:
+        """Long runs of white space are cut out as the pattern cuts them: all of a run, but its last where text follows."""
+        out, at = [], 0
+        for run in LONG_RUN.finditer(text):
+            ends = run.end() == len(text) or text.startswith(SPECIAL, run.end())
+            to = run.end() if ends else run.end() - 1
+            out += [self._short(text[at : run.start()]), np.array(self.model._encode_single_piece(text[run.start() : to]), dtype="<u4").tobytes()]
+            at = to
+        return b"".join([*out, self._short(text[at:])])
+
+    def _short(self, text: str) -> bytes:
         return self.model.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
 
 

@@ -43,6 +43,13 @@ def test_rank_form_gives_the_ids_of_the_json_form(texts):
         assert ranks.ids(t) == np.array(e.ids, dtype="<u4").tobytes()
 
 
+def test_very_long_runs_of_white_space_have_the_ids_of_the_json_form():
+    json_form, ranks = Tokenizer.from_file(BYTES), token_counts.ByteEncoder(RANKS)
+    long = [a + c * 10_001 + z for c in (" ", "\n", " \n", "\u3000", "\xa0", "\r\n") for a in ("", "a", "<|endoftext|>") for z in ("", "b", "!", "\x1c", "<|endoftext|>", "\ufeff b")]
+    for t in [*long, "a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x" + "\n" * 20_000 + "y" + " " * 20_000 + " z "]:
+        assert ranks.ids(t) == np.array(json_form.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_pack(request, table):
     df = request.getfixturevalue(table)
