@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -14,14 +14,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from those files.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate files: spark.checkpoint.dir, or where that is unset a folder in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_between"
 
-    The folder is the one the cluster names in spark.checkpoint.dir; a temporary one is set only where none is named.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from those files."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -40,6 +42,11 @@ def hex_bucket(hexed: Column, digits: int) -> Column:
     return F.conv(F.substring(hexed, 1, digits), 16, 10).cast("long")
 
 
+def digits_for(rows: int, per_bucket: int = 1 << 16) -> int:
+    """Hex digits, two at least, that deal so many rows to buckets of about per_bucket rows or fewer."""
+    return max(2, math.ceil(math.log(max(1, rows / per_bucket), 16)))
+
+
 def running(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[Column | str], sums: dict[str, str], position: str | None = None) -> DataFrame:
     """Exclusive running sums (and the 0-based position) of each row in its group, without a group in one task.
 
@@ -64,6 +71,28 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def balanced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a task in batches of about `most` bytes of text each, whatever the batches they came in."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        for part in slices(whole, column, most):
+            own = text_bytes(part, column)
+            if held and size + own > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
+def text_bytes(batch: pa.RecordBatch, column: str) -> int:
+    import pyarrow.compute as pc
+
+    return pc.sum(pc.binary_length(batch.column(column))).as_py() or 0
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts hold about `most` bytes at most (a longer text comes alone)."""
     import numpy as np

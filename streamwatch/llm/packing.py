@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, digest, hex_bucket, running, slices
+from .common import balanced, cut, digest, digits_for, hex_bucket, running
 from .token_counts import SLICE_BYTES, ByteEncoder, loaded
 
 CAPACITY = 1024
@@ -136,12 +136,10 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, width = loaded(ByteEncoder, path), 4 * capacity
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                ids = [encoder.ids(t) + END for t in texts]
-                crcs = [[zlib.crc32(x[i : i + width]) for i in range(0, len(x), width)] for x in ids]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
+        for batch in balanced(batches, "text", SLICE_BYTES):
+            ids = [x + END for x in encoder.batch([t or "" for t in batch.column("text").to_pylist()])]
+            crcs = [[zlib.crc32(x[i : i + width]) for i in range(0, len(x), width)] for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, doc_tokens long, crcs array<long>")
@@ -157,7 +155,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, unit: int = UNIT,
     """
     h = digest(seed, F.col("doc_id"))
     rest = {"_rest": F.expr(f"int(doc_tokens % {capacity})"), "_full": F.expr(f"doc_tokens div {capacity}"), "_bin": F.expr(f"int((doc_tokens % {capacity} + {unit - 1}) div {unit})")}
-    slim = cut(tokenised(docs, path, capacity).withColumns(rest | {"_h": h}).withColumns({"_b": hex_bucket(F.col("_h"), 2), "_all": F.lit(0)}))
+    slim = cut(tokenised(docs, path, capacity).withColumns(rest | {"_h": h, "_all": F.lit(0)}))
+    slim = slim.withColumn("_b", hex_bucket(F.col("_h"), digits_for(slim.count())))
     counts = np.zeros(capacity // unit + 1, dtype=np.int64)
     for row in slim.filter("_bin > 0").groupBy("_bin").count().collect():  # capacity / unit rows at most
         counts[row["_bin"]] = row["count"]

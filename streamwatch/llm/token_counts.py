@@ -1,13 +1,14 @@
 """Token counts and token ids by public tokenizers, batch by batch in Arrow functions.
 
-Texts are split where no token can cross: at a single space between two characters that aren't white space. A part has
-the same tokens wherever it stands, so each distinct part of a worker's texts is encoded once while it is remembered;
-what is remembered is bounded, and forgetting changes no result. Texts with white space of other shapes are split at
-the safe places they have, and such longer parts are encoded whole.
+Counts: the rows of a task are dealt to batches of about equal bytes, each of which is one call of the library; only a
+text that is longer than a part is split, where no token can cross. Ids: parts between safe spaces have the same ids
+wherever they stand, so the library meets each distinct part of a worker's texts once while it is remembered; what is
+remembered is bounded, and forgetting changes no result.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -16,17 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import balanced
 
 LIMIT = 4096
-#: Bytes of text that are handled at once, and parts that a worker remembers.
-SLICE_BYTES, REMEMBERED = 4 << 20, 1_500_000
-#: Fixed value: the pattern that splits texts before the merges of the byte-level vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of text in a batch, characters of a part of a long text.
+SLICE_BYTES, PART_CHARS = 4 << 20, 1 << 18
+#: Parts that a worker remembers, and characters of the longest of them.
+REMEMBERED, SHORT = 700_000, 48
+#: A single space between characters that aren't white space: no piece of a byte-level vocabulary crosses it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: Runs of white space (as the pattern has it) so long that its look-ahead could fail on them, and what ends a text inside it.
-LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
-SPECIAL = "<|endoftext|>"
+#: The same, and neither of them the mark that stands for a space: the model has pieces of several marks.
+SAFE_PIECE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
 def segments(text: str) -> list[str]:
@@ -38,58 +39,83 @@ def segments(text: str) -> list[str]:
     return parts
 
 
+def long_parts(text: str, chars: int) -> list[str]:
+    """A text as parts of at least so many characters (but the last), cut at safe spaces; whole where it has none."""
+    out, at = [], 0
+    while len(text) - at > chars and (m := SAFE_PIECE.search(text, at + chars)):
+        out.append(text[at : m.start()])
+        at = m.end()
+    return [*out, text[at:]]
+
+
 class PieceCounter:
     """Counts of sentencepiece tokens. A part behind a space gets the same leading mark that the first part gets."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, chars: int = PART_CHARS):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         inside = any("▁" in p.lstrip("▁") for p in pieces)
-        #: Parts are independent only if no piece has a space behind another character, and the text is taken as it is.
+        #: Parts are independent only if no piece has a mark behind another character, and the text is taken as it is.
         self.splits = not inside and self.model.encode("a b") == self.model.encode("a") + self.model.encode("b")
-        self.known: dict[str, int] = {}
+        self.chars = chars
 
     def counts(self, texts: list[str]) -> list[int]:
-        parts = [segments(t) if self.splits else [t] for t in texts]
-        known = self.known
-        new = list({p for ps in parts for p in ps if p not in known})
-        if len(known) + len(new) > REMEMBERED:
-            known = self.known = {}
-            new = list({p for ps in parts for p in ps})
-        known.update(zip(new, map(len, self.model.encode(new, num_threads=1)), strict=True))
-        return [sum(map(known.__getitem__, ps)) if t else 0 for t, ps in zip(texts, parts, strict=True)]
+        parts = [long_parts(t, self.chars) if self.splits and len(t) > self.chars else [t] for t in texts]
+        n = np.fromiter(map(len, self.model.encode([p for ps in parts for p in ps], num_threads=1)), dtype=np.int64)
+        ends = np.cumsum([len(ps) for ps in parts])
+        return np.diff(np.concatenate([[0], np.cumsum(n)])[ends], prepend=0).tolist()
 
 
 class ByteEncoder:
-    """Ids of a byte-level vocabulary, given as ranks, as little-endian unsigned 32-bit numbers.
+    """Ids of a byte-level vocabulary in its JSON form, as little-endian unsigned 32-bit numbers.
 
-    Special strings inside texts become their own ids, as the library of the JSON form of the vocabulary does by default;
-    tests hold both forms' ids against each other.
+    Special strings inside texts become their own ids, as is the library's default. Tests hold the ids of whole texts
+    against those of the library alone.
     """
 
     def __init__(self, path: str):
-        import base64
-
-        import tiktoken
-
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.model = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core only
+        self.model = Tokenizer.from_file(path)
+        [self.line_feed] = self.model.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}
+
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        """Parts without white space at their ends go in as lines of one text: a line feed there is one id of its own."""
+        plain = lambda p: p and "\n" not in p and not p[-1].isspace() and not p[p[0] == " "].isspace()
+        lines, rest = [], []
+        for p in parts:
+            (lines if plain(p) else rest).append(p)
+        out = {}
+        encode = lambda texts: [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        if lines:
+            ids = encode(["\n".join(lines)])[0]
+            ends = np.append(np.flatnonzero(ids == self.line_feed), len(ids)) * 4
+            data = ids.tobytes()
+            out = {p: data[s:e] for p, s, e in zip(lines, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)}
+        return out | dict(zip(rest, (x.tobytes() for x in encode(rest)), strict=True))
 
     def ids(self, text: str) -> bytes:
-        """Long runs of white space are cut out as the pattern cuts them: all of a run, but its last where text follows."""
-        out, at = [], 0
-        for run in LONG_RUN.finditer(text):
-            ends = run.end() == len(text) or text.startswith(SPECIAL, run.end())
-            to = run.end() if ends else run.end() - 1
-            out += [self._short(text[at : run.start()]), np.array(self.model._encode_single_piece(text[run.start() : to]), dtype="<u4").tobytes()]
-            at = to
-        return b"".join([*out, self._short(text[at:])])
+        return self.batch([text])[0]
 
-    def _short(self, text: str) -> bytes:
-        return self.model.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+    def batch(self, texts: list[str]) -> list[bytes]:
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        split = [segments(t) for t in texts]
+        for parts in split:
+            parts[1:] = [" " + p for p in parts[1:]]
+        new = list({p for parts in split for p in parts} - known.keys())
+        own = self._encoded(new)
+        known.update(own)
+        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        for p in new:
+            if len(p) > SHORT:
+                del known[p]
+        return out
 
 
 _LOADED: dict = {}
@@ -110,11 +136,9 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(PieceCounter, path)
-        for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                n = pa.array(counter.counts(texts), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
+        for batch in balanced(batches, "text", SLICE_BYTES):
+            n = pa.array(counter.counts([t or "" for t in batch.column("text").to_pylist()]), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
 
     rows = docs.select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     kind = docs.schema["doc_id"].dataType.simpleString()

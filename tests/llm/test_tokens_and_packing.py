@@ -11,8 +11,9 @@ from tokenizers import Tokenizer
 from streamwatch.llm import packing, token_counts
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
-RANKS, BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 HARD = ["", " ", "  ", "a  b", " lead", "trail ", "new\nline \n x", "tab\t y", "é nbsp 　wide", "<s> </s> <unk> <|endoftext|> x<|endoftext|>", "don't we'll", "\U0001f600 emoji ​ zero", "x" * 5000, "a " * 5000, "\r\n\r\n", "  sep", "▁ mark ▁▁"]
+MARKS = ["▁", " ", "  ", "a", "1", "ﷺ", "é", "\u3000", "\u200b", "\U0001f600", "x▁", "▁▁", "<s>", "\ufeff", "\u0301", "ﬁ", "\t", "\n", "\xa0", "word", "\x1c", "\xad", "<|endoftext|>", "'s", "\r\n"]
 
 
 @pytest.mark.parametrize("table", ["docs", "odd"])
@@ -29,32 +30,37 @@ def test_counts_of_hard_texts(none):
     rng = random.Random(2)
     texts = HARD + ["".join(rng.choice(HARD) for _ in range(4)) for _ in range(300)]
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    counter = token_counts.PieceCounter(PIECES)
-    assert counter.splits and counter.counts(texts) == [len(x) for x in sp.encode(texts)]
+    texts += ["".join(rng.choice(MARKS) for _ in range(rng.randint(1, 12))) for _ in range(20_000)]
+    texts += [f"{a}{chr(c)}{b}" for c in [*range(0x3400), *range(0xFB00, 0x10000)] for a, b in (("a", " b"), ("a ", "b"))]
+    for chars in (1, token_counts.PART_CHARS):
+        counter = token_counts.PieceCounter(PIECES, chars)
+        assert counter.splits and counter.counts(texts) == [len(x) for x in sp.encode(texts)]
+    assert len(token_counts.long_parts("ab cd  ef▁ gh ij", 1)) == 3 and token_counts.long_parts("x" * 100, 5) == ["x" * 100]
     assert token_counts.token_counts(none, PIECES).count() == 0
 
 
-def test_rank_form_gives_the_ids_of_the_json_form(texts):
+def test_parts_give_the_ids_of_whole_texts(texts):
     rng = random.Random(3)
-    json_form, ranks = Tokenizer.from_file(BYTES), token_counts.ByteEncoder(RANKS)
+    whole, parts = Tokenizer.from_file(BYTES), token_counts.ByteEncoder(BYTES)
     own = HARD + ["".join(rng.choice(HARD) for _ in range(4)) for _ in range(300)] + list(texts.values())
     own += ["".join(chr(rng.randrange(b, b + 64)) for _ in range(200)) for b in range(0, 0x3000, 64)]
-    for t, e in zip(own, json_form.encode_batch(own, add_special_tokens=False), strict=True):
-        assert ranks.ids(t) == np.array(e.ids, dtype="<u4").tobytes()
+    own += ["".join(rng.choice(MARKS) for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    for t, got, e in zip(own, parts.batch(own), whole.encode_batch(own, add_special_tokens=False), strict=True):
+        assert got == np.array(e.ids, dtype="<u4").tobytes(), t
 
 
-def test_very_long_runs_of_white_space_have_the_ids_of_the_json_form():
-    json_form, ranks = Tokenizer.from_file(BYTES), token_counts.ByteEncoder(RANKS)
+def test_very_long_runs_of_white_space():
+    whole, parts = Tokenizer.from_file(BYTES), token_counts.ByteEncoder(BYTES)
     long = [a + c * 10_001 + z for c in (" ", "\n", " \n", "\u3000", "\xa0", "\r\n") for a in ("", "a", "<|endoftext|>") for z in ("", "b", "!", "\x1c", "<|endoftext|>", "\ufeff b")]
     for t in [*long, "a" + " " * 2_000_000 + "b", "\n" * 2_000_000, "x" + "\n" * 20_000 + "y" + " " * 20_000 + " z "]:
-        assert ranks.ids(t) == np.array(json_form.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert parts.ids(t) == np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_pack(request, table):
     df = request.getfixturevalue(table)
     json_form = Tokenizer.from_file(BYTES)
-    pieces = packing.pack(df, RANKS).toPandas().sort_values(["sequence_id", "offset"])
+    pieces = packing.pack(df, BYTES).toPandas().sort_values(["sequence_id", "offset"])
     ends = pieces.groupby("sequence_id")["length"].cumsum()
     assert (pieces["offset"] == ends - pieces["length"]).all() and ends.max() <= 1024
     expected = Counter()
@@ -70,7 +76,7 @@ def test_pack(request, table):
 
 
 def test_pack_of_nothing(none):
-    assert packing.pack(none, RANKS).count() == 0
+    assert packing.pack(none, BYTES).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(3))
