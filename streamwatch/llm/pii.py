@@ -17,6 +17,16 @@ RUN = 256
 CONTEXT = 48
 
 
+#: Characters of an account number by the countries that use such numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+
+
 @dataclass(frozen=True)
 class Kind:
     """base: stays whatever its score. need: characters without which a text has no match (any of them)."""
@@ -36,7 +46,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", ".", True, 0.6, "ip|host|server|address|login|adresse"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "0123456789", True, 0.8, "card|visa|credit|payment|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", True, 0.7, "phone|call|tel|mobile|fax|telefon"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", False, 0.8, "iban|bank|account|konto|compte|cuenta"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{IBAN})(?![A-Za-z0-9])", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", False, 0.8, "iban|bank|account|konto|compte|cuenta"),
     Kind("national_id", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])", "-", False, 0.3, "ssn|social|security|national"),
 )
 #: Spans that the method adds need such a score.
@@ -74,7 +84,7 @@ def _confirmed(kind: str, match: Column) -> Column:
     if kind == "phone":
         return F.length(_digits(match)).between(10, 15)
     if kind == "iban":
-        return F.when(F.length(F.regexp_replace(match, r"\x20", "")).between(15, 34), mod97(match)).otherwise(False)
+        return mod97(match)
     return F.lit(True)
 
 

@@ -55,6 +55,17 @@ def test_added_kinds_need_checksum_or_context(spark):
     assert out[3].n_more == 1 and "national_id:16:27" in out[3].spans and out[4].n_more == 0
 
 
+def test_account_numbers_end_where_their_country_says(spark):
+    numbers = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB29 NWBK 6016 1331 9268 19", "MT84MALT011000012345MTLCAST001S", "FR14 2004 1010 0505 0001 3M02 606"]
+    after = ["", " Please pay", " PLEASE PAY", " BIC COBADEFF", ". AND", " 1234 5678", ", ok", "\nNEXT LINE"]
+    rows = [(i, f"{b}{n}{a}", len(b), len(b) + len(n)) for i, (n, a, b) in enumerate((n, a, b) for n in numbers for a in after for b in ("", "IBAN ", "PAY TO "))]
+    out = {r.doc_id: r.spans for r in pii.scan_documents(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    for i, _, s, e in rows:
+        assert f"iban:{s}:{e}" in out[i].split(","), rows[i]
+    wrong = ["DE89370400440532013001", "DE8937040044053201300", "XX89370400440532013000", "DE89370400440532013000X", "xDE89370400440532013000"]
+    assert not any("iban" in r.spans for r in pii.scan_documents(spark.createDataFrame(list(enumerate(wrong)), "doc_id long, text string")).collect())
+
+
 @pytest.mark.parametrize("n", [1, 255, 256, 257, 3000])
 def test_many_matches_in_a_text(spark, n):
     check(spark.createDataFrame([(1, "é 10.0.0.1," * n)], "doc_id long, text string"))
