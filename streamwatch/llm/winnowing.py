@@ -107,35 +107,36 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDO
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every whole text.
 
     Documents are in order of doc_id, null first, then of their text's hash; the next of the last is the first. Null
-    texts count as empty: no hashes, an empty fingerprint. Each text is shuffled once, to the range of ids it lies in;
-    the first document of a range also goes to the range before. Repeated rows follow each other. Extra columns are left
-    out; an empty table gives no rows.
+    texts count as empty: no hashes, an empty fingerprint. Each text is shuffled once, to the range of ids and text
+    hashes it lies in, so that an id of many rows is many ranges; the first document of a range also goes to the range
+    before. Rows equal in id and text follow each other in one range and are computed once. Extra columns are left out;
+    an empty table gives no rows.
     """
     spark = docs.sparkSession
     tasks = partitions(spark)
     ranges = tasks * KEYS_PER_TASK
     lowest = F.lit(-(2**63)).cast("long")
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), lowest).alias("_k"))
-    steps = [i / ranges for i in range(1, ranges)]
-    bounds = keyed.agg(F.percentile_approx("_k", steps, 100 * ranges).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds))
-    at = F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<long>"), lambda b: b < F.col("_k")))
-    keyed = keyed.withColumn("_p", at)
-    firsts = sorted((r["_p"], r["k"]) for r in keyed.groupBy("_p").agg(F.min("_k").alias("k")).collect())  # a row a range
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
-    heads = F.lit([k for k in before]) if before else F.array().cast("array<long>")
-    goes = F.lit([p for p in before.values()]) if before else F.array().cast("array<int>")
-    own = F.struct(F.col("_p"), F.lit(0).alias("role"))
-    again = F.struct(F.get(goes, (F.array_position(heads, F.col("_k")) - 1).cast("int")).alias("_p"), F.lit(1).alias("role"))
-    dealt = keyed.withColumn("_to", F.explode(F.when(F.array_contains(heads, F.col("_k")), F.array(own, again)).otherwise(F.array(own))))
-    dealt = dealt.select(F.col("_to._p").alias("p"), F.col("_to.role").alias("role"), "_k", F.xxhash64("text").alias("h"), "doc_id", "text")
-    dealt = dealt.repartition(tasks, "p").sortWithinPartitions("p", "role", "_k", "h")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), lowest).alias("_k"), F.xxhash64(text).alias("_h"))
+    least = keyed.select("_k", "_h").repartitionByRange(ranges, "_k", "_h").groupBy(F.spark_partition_id()).agg(F.min(F.struct("_k", "_h")).alias("m"))
+    firsts = sorted(tuple(r["m"]) for r in least.collect())  # a row a range
+    low_k, low_h = (F.lit([f[i] for f in firsts]) if firsts else F.array().cast("array<long>") for i in (0, 1))
+    reached = lambda i: (F.get(low_k, i) < F.col("_k")) | ((F.get(low_k, i) == F.col("_k")) & (F.get(low_h, i) <= F.col("_h")))
+    halves = F.array(*[F.lit(1 << b) for b in reversed(range(max(1, len(firsts)).bit_length()))])
+    keyed = keyed.withColumn("_p", F.aggregate(halves, F.lit(0), lambda at, step: F.when(reached(at + step), at + step).otherwise(at)))
+    heads = (F.get(low_k, F.col("_p")) == F.col("_k")) & (F.get(low_h, F.col("_p")) == F.col("_h"))
+    own = F.struct(F.col("_p").alias("p"), F.lit(0).alias("role"))
+    again = F.struct(F.pmod(F.col("_p") - 1, F.lit(max(1, len(firsts)))).cast("int").alias("p"), F.lit(1).alias("role"))
+    dealt = keyed.withColumn("_to", F.explode(F.when(heads, F.array(own, again)).otherwise(F.array(own))))
+    dealt = dealt.select(F.col("_to.p").alias("p"), F.col("_to.role").alias("role"), "_k", F.col("_h").alias("h"), "doc_id", "text")
+    dealt = dealt.repartitionById(tasks, F.col("p") % tasks).sortWithinPartitions("p", "role", "_k", "h")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held, last = 0, None  # the document before, with its range and fingerprint
+        alike: tuple | None = None  # a text that follows itself, with its row
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
@@ -149,12 +150,16 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDO
                 if role and (last is None or last[0] != p):
                     continue
                 doc, text = batch.column(4)[i].as_py(), batch.column(5)[i].as_py()
-                hashes, places = winnow(text, gram, window)
+                again = last is not None and last[2] == text
+                hashes, places = last[3:] if again else winnow(text, gram, window)
                 if last is not None and last[0] == p:
                     _, before_id, before_text, h, at_ = last
-                    new = edited(before_text, text)
-                    eh, ep = winnow(new, gram, window)
-                    rows.append((before_id, len(before_text), hashlib.sha256(new.encode()).hexdigest(), written(h, at_), written(eh, ep), likeness(h, eh), likeness(h, hashes)))
+                    if not (again and alike is not None and alike[0] == text):
+                        new = edited(before_text, text)
+                        eh, ep = winnow(new, gram, window)
+                        made = (len(before_text), hashlib.sha256(new.encode()).hexdigest(), written(h, at_), written(eh, ep), likeness(h, eh), likeness(h, hashes))
+                        alike = (text, made) if again else None
+                    rows.append((before_id, *(alike[1] if again else made)))
                     held += len(before_text)
                 last = None if role else (p, doc, text, hashes, places)
                 if held > FLUSH_CHARS:
