@@ -20,8 +20,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_kd_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = read(spark, sf_dir, "embeddings")
-    return kdtree.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), k=5)
+    return kdtree.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,19 +70,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_kd_tree_search"] = """
-WITH usable AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+WITH parts AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x)), TRUE)
 ),
-parts AS (SELECT DISTINCT * FROM usable),
 scores AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM parts q JOIN parts c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.row <> c.row AND len(q.v) = len(c.v)
   WHERE q.vec_id % 50 = 0
 ),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
