@@ -36,7 +36,7 @@ FILTER_BITS = 1 << 24
 SLACK = 4.0
 #: Sets of a group that are compared exactly at once, and columns of the incidence matrix.
 BLOCK, COLUMNS = 384, 8192
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, CHUNK = 2 << 20, 1 << 20
 ROUNDS = 60
 _P = 0x9E3779B97F4A7C15
 _I = pow(_P, -1, 1 << 64)
@@ -60,29 +60,49 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts that end at `ends` in the bytes of data; number of words up to each end."""
+_UP, _DOWN = _powers(_P, CHUNK), _powers(_I, CHUNK)
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts that end at `ends` in the bytes of data; number of words up to each end.
+
+    The bytes are taken in chunks for a bounded working set. The sums that hashes are made of go on over their edges, so
+    chunks may end anywhere and change no hash.
+    """
     n = len(data)
-    if not n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(len(ends), dtype=np.int64)
-    word = ~_WHITE[data]
-    begins = word.copy()
-    begins[1:] &= ~word[:-1]
-    edges = ends[ends < n]
-    begins[edges] = word[edges]
-    first = np.flatnonzero(begins)
-    stops = word.copy()
-    stops[:-1] &= ~word[1:]
-    inner = ends[(ends > 0) & (ends <= n)] - 1
-    stops[inner] = word[inner]
-    last = np.flatnonzero(stops)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[data] * _powers(_P, n)[:n], out=sums[1:])
-    hashes = mixed((sums[last + 1] - sums[first]) * _powers(_I, n)[first] + (last - first + 1).astype(np.uint64))
+    ends = ends.astype(np.int64)
+    firsts, lasts, before, after = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint64)]
+    down = [np.zeros(0, dtype=np.uint64)]
+    at, up_at, down_at = np.zeros(1, dtype=np.uint64), np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)  # as arrays, so that they wrap
+    for begin in range(0, n, chunk):
+        stop = min(n, begin + chunk)
+        part = data[begin:stop]
+        word = ~_WHITE[part]
+        begins, stops = word.copy(), word.copy()
+        begins[1:] &= ~word[:-1]
+        stops[:-1] &= ~word[1:]
+        if begin:
+            begins[0] &= bool(_WHITE[data[begin - 1]])
+        if stop < n:
+            stops[-1] &= bool(_WHITE[data[stop]])
+        edges = ends[np.searchsorted(ends, begin) : np.searchsorted(ends, stop)] - begin
+        begins[edges] = word[edges]
+        edges = ends[np.searchsorted(ends, begin, "right") : np.searchsorted(ends, stop, "right")] - begin - 1
+        stops[edges] = word[edges]
+        sums = np.concatenate([at, at + np.cumsum(_TABLE[part] * _UP[: len(part)] * up_at)])
+        first, last = np.flatnonzero(begins), np.flatnonzero(stops)
+        firsts.append(first + begin)
+        lasts.append(last + begin)
+        before.append(sums[first])
+        after.append(sums[last + 1])
+        down.append(_DOWN[first] * down_at)
+        at, up_at, down_at = sums[-1:], up_at * _UP[len(part)], down_at * _DOWN[len(part)]
+    first, last = np.concatenate(firsts), np.concatenate(lasts)
+    hashes = mixed((np.concatenate(after) - np.concatenate(before)) * np.concatenate(down) + (last - first + 1).astype(np.uint64))
     return hashes, np.searchsorted(first, ends, side="left")
 
 
-def shingles(texts: pa.Array, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def shingles(texts: pa.Array, gram: int = GRAM, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word grams of each text, repeats included, and where each text's begin (one more entry: the end).
 
     A text of fewer words is one gram of them all; one without words has none.
@@ -90,7 +110,7 @@ def shingles(texts: pa.Array, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]
     low = pc.utf8_lower(pc.fill_null(texts, "")).cast(pa.large_string())
     offsets = np.frombuffer(low.buffers()[1], dtype=np.int64)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, dtype=np.int64)
     data = np.frombuffer(low.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, dtype=np.uint8)
-    w, upto = word_hashes(data, offsets[1:] - offsets[0])
+    w, upto = word_hashes(data, offsets[1:] - offsets[0], chunk)
     n_words = np.diff(upto, prepend=0)
     n = np.where(n_words >= gram, n_words - gram + 1, (n_words > 0).astype(np.int64))
     start = np.concatenate([[0], np.cumsum(n)])
@@ -106,37 +126,18 @@ def shingles(texts: pa.Array, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]
     return out, start
 
 
-def _per_text(texts: pa.Array, size: int, most: int = 16 << 20) -> pa.Array:
-    """A very long text as parts at white space that overlap by size - 1 words, for a bounded working set."""
-    text = texts[0].as_py() or ""
-    parts, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + most)
-        if end < len(text):
-            cut_at = end
-            while cut_at > at and not text[cut_at - 1].isspace():
-                cut_at -= 1
-            end = cut_at if cut_at > at else end
-        parts.append(text[at:end])
-        at = end
-    for i in range(1, len(parts)):
-        parts[i] = " ".join(parts[i - 1].split()[-(size - 1) :]) + " " + parts[i]
-    return pa.array(parts, pa.string())
-
-
 def signature_rows(docs: DataFrame, gram: int = GRAM, tokens: int = TOKENS) -> DataFrame:
-    """doc_id, two hashes of the text's grams (null for texts without words), and its tokens, whole and by their low bytes."""
+    """doc_id, row, two hashes of the text's grams (null for texts without words), and its tokens, whole and by their low bytes.
+
+    row is a number that callers may give their rows (column _row; null if there is none).
+    """
     seeds = mixed(np.arange(101, 101 + tokens, dtype=np.uint64)) | U(1)
     shifts = mixed(np.arange(901, 901 + tokens, dtype=np.uint64))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
-                texts = batch.column("text")
-                alone = len(texts) == 1 and (pc.binary_length(texts)[0].as_py() or 0) > (16 << 20)
-                h, start = shingles(_per_text(texts, gram) if alone else texts, gram)
-                if alone:
-                    start = np.array([0, len(h)])
+                h, start = shingles(batch.column("text"), gram)
                 there = np.flatnonzero(np.diff(start) > 0)
                 n = len(batch)
                 a, b, sig = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64), np.zeros((n, tokens), dtype=np.uint32)
@@ -150,10 +151,11 @@ def signature_rows(docs: DataFrame, gram: int = GRAM, tokens: int = TOKENS) -> D
                 null = np.ones(n, dtype=bool)
                 null[there] = False
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(a.view(np.int64), mask=null), pa.array(b.view(np.int64), mask=null), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], ["doc_id", "a", "b", "sig", "short"]
+                    [batch.column("doc_id"), batch.column("row"), pa.array(a.view(np.int64), mask=null), pa.array(b.view(np.int64), mask=null), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], ["doc_id", "row", "a", "b", "sig", "short"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, "doc_id long, a long, b long, sig binary, short binary")
+    row = F.col("_row") if "_row" in docs.columns else F.lit(None)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.cast("long").alias("row"), "text").mapInArrow(sign, "doc_id long, row long, a long, b long, sig binary, short binary")
 
 
 def chance(depth: int) -> float:
@@ -273,7 +275,10 @@ def in_blocks(rows: DataFrame, size: str, block: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id and group (its smallest id) of all ends of the links (a < b), by alternating large-star and small-star rounds."""
+    """id and group (its smallest id) of all ends of the links (a < b), by alternating large-star and small-star rounds.
+
+    Rounds grow with the logarithm of the number of ends; an error after ROUNDS of them, never a half-way result.
+    """
     edges = cut(links.filter("a <> b").distinct())
     for _ in range(ROUNDS):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -314,22 +319,17 @@ def maybe_in(ids: DataFrame, bits: int):
 
 
 def _set_rows(docs: DataFrame, gram: int) -> DataFrame:
-    """id and its distinct gram hashes, sorted, as bytes."""
+    """doc_id, id and the distinct gram hashes of each text, sorted, as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
-                texts = batch.column("text")
-                alone = len(texts) == 1 and (pc.binary_length(texts)[0].as_py() or 0) > (16 << 20)
-                h, start = shingles(_per_text(texts, gram) if alone else texts, gram)
-                start = np.array([0, len(h)]) if alone else start
-                own = [text_hash(h[s:e]) for s, e in zip(start, start[1:], strict=False)]
-                out = [np.unique(h[s:e]).tobytes() for s, e in zip(start, start[1:], strict=False)]
-                names = ["id", "copies", "group", "x", "y", "side"]
-                made = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out, pa.binary())], [*names, "grams"])
-                yield made.filter(pa.array(np.array(own) == batch.column("id").to_numpy(zero_copy_only=False)))  # another text may have the same doc_id
+                h, start = shingles(batch.column("text"), gram)
+                spans = list(zip(start, start[1:], strict=False))
+                own = pa.array([text_hash(h[s:e]) for s, e in spans], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), own, pa.array([np.unique(h[s:e]).tobytes() for s, e in spans], pa.binary())], ["doc_id", "id", "grams"])
 
-    return docs.select("id", "text", "copies", "group", "x", "y", "side").mapInArrow(sets, "id long, copies long, group long, x int, y int, side int, grams binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, id long, grams binary")
 
 
 def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -382,42 +382,77 @@ def _exact(rows: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(check, "a long, b long, n long")
 
 
-def join_documents(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM, recall: float = RECALL, depth: int = DEPTH, tokens: int = TOKENS, bucket: int = BUCKET, block: int = BLOCK, bits: int = FILTER_BITS) -> DataFrame:
-    """One row per row of docs: doc_id, copy_id, class_id, n_links.
+def candidates(sets: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, depth: int = DEPTH, tokens: int = TOKENS, bucket: int = BUCKET) -> DataFrame:
+    """Links (a < b) between sets (id, sig, short) that met in a bucket of some run and look alike by their tokens.
 
-    copy_id is the smallest doc_id of the same words in the same order (case and white space aside). n_links is the
-    number of other rows whose sets of word grams have a Jaccard similarity of at least the threshold; copies count, one
-    by one. class_id is the smallest doc_id that such links lead to. Texts of fewer words than a gram are one gram; null
-    texts and those without words have no links, and so have rows of a null id; each is a class of its own (null ids:
-    null). Repeated rows are copies of each other. Extra columns are left out; an empty table gives no rows.
+    Sets of the same tokens take the same paths, so one of them stands for all; the others are linked to it.
     """
-    signed = cut(signature_rows(docs, gram, tokens))
-    usable = signed.filter("doc_id is not null and a is not null")
-    sets = cut(usable.groupBy("a", "b").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.max("sig").alias("sig"), F.max("short").alias("short")).withColumnRenamed("a", "id"))
     least = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / tokens)
     runs = runs_for(recall, depth)
-    own, short = sets.select("id", "sig"), sets.select("id", "short")
+    alike = F.xxhash64("sig")
+    stands = sets.groupBy(alike.alias("like"), "sig").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.max("short").alias("short"))
+    stands = cut(stands)
+    links = sets.join(stands.filter("n > 1").select("like", F.col("id").alias("a")), alike == F.col("like")).select("a", F.col("id").alias("b")).filter("a < b")
+    own, short = stands.select("id", "sig"), stands.select("id", "short")
     at = _children(own, 0, similarity, tokens, runs)
-    links = None
     for level in range(1, depth + 1):
         at = cut(at)
         met = at.join(at.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "path")
         ended = met if level == depth else met.filter(F.col("n") <= bucket)
-        found = _bucket_links(in_blocks(ended, "n", bucket).join(short, "id"), least, tokens)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(_bucket_links(in_blocks(ended, "n", bucket).join(short, "id"), least, tokens))
         if level < depth:
             at = _children(met.filter(F.col("n") > bucket).join(own, "id"), level, similarity, tokens, runs)
-    groups = cut(components(links).join(sets.select("id", "copy_id", "copies"), "id"))
+    return links
+
+
+def join_rows(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM, recall: float = RECALL, depth: int = DEPTH, tokens: int = TOKENS, bucket: int = BUCKET, block: int = BLOCK, bits: int = FILTER_BITS) -> DataFrame:
+    """join_documents with two more columns: row (see signature_rows) and class_set.
+
+    class_set is one number for all rows of a class, also where unlike texts of one doc_id make several classes of one
+    class_id; null for rows that have no set (null ids, texts without words).
+    """
+    signed = cut(signature_rows(docs, gram, tokens))
+    usable = signed.filter("doc_id is not null and a is not null")
+    sets = cut(usable.groupBy("a", "b").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.max("sig").alias("sig"), F.max("short").alias("short")).withColumnRenamed("a", "id"))
+    groups = cut(components(candidates(sets, similarity, recall, depth, tokens, bucket)).join(sets.select("id", "copy_id", "copies"), "id"))
     sized = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group")
-    spoken = in_blocks(sized, "n", block).select(F.col("copy_id").alias("doc_id"), "id", "copies", "group", "x", "y", "side")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(maybe_in(groups.select("copy_id"), bits)(F.col("doc_id").cast("long"))).join(spoken, "doc_id")
-    checked = cut(_exact(_set_rows(texts, gram), similarity))
+    # the grams of a text are made once, at its smallest doc_id; another text may have the same doc_id, repeated rows all
+    near = docs.filter(maybe_in(groups.select("copy_id"), bits)(F.col("doc_id").cast("long")))
+    grams = _set_rows(near, gram).join(sized.select("id", F.col("copy_id").alias("doc_id"), "copies", "group", "n"), ["id", "doc_id"])
+    checked = cut(_exact(in_blocks(grams.drop("doc_id"), "n", block), similarity))
     linked = components(checked.filter("n = 0").select("a", "b")).join(sets.select("id", "copy_id"), "id")
-    classes = linked.join(linked.groupBy("group").agg(F.min("copy_id").alias("class_id")), "group").select("id", "class_id")
+    classes = linked.join(linked.groupBy("group").agg(F.min("copy_id").alias("class_id")), "group").select("id", "class_id", F.col("group").alias("class_set"))
     counts = checked.filter("n > 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     known = sets.select("id", "b", "copy_id", "copies").join(classes, "id", "left").join(counts, "id", "left")
-    known = known.select(F.col("id").alias("a"), "b", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = signed.filter("doc_id is not null").select("doc_id", "a", "b").join(known, ["a", "b"], "left")
-    out = rows.select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    none = signed.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    known = known.select(F.col("id").alias("a"), "b", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("class_set", "id").alias("class_set"))
+    rows = signed.filter("doc_id is not null").select("doc_id", "row", "a", "b").join(known, ["a", "b"], "left")
+    out = rows.select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "row", "class_set")
+    none = signed.filter("doc_id is null").select("doc_id", F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "row", F.lit(None).cast("long").alias("class_set"))
     return out.unionByName(none)
+
+
+def join_documents(docs: DataFrame, **settings) -> DataFrame:
+    """One row per row of docs: doc_id, copy_id, class_id, n_links. settings: see join_rows.
+
+    copy_id is the smallest doc_id of the same words in the same order (case and white space aside). n_links is the
+    number of other rows whose sets of word grams have a Jaccard similarity of at least the threshold; copies count, one
+    by one. class_id is the smallest doc_id that such links lead to. Texts of fewer words than a gram are one gram; null
+    texts and those without words have no links, and so have rows of a null id; each is a class of its own (null ids:
+    null). Repeated rows are copies of each other. Extra columns are left out; an empty table gives no rows.
+    """
+    return join_rows(docs, **settings).select("doc_id", "copy_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """docs without near copies: of each class one row stays, the one of the smallest doc_id (then of the row's own hash).
+
+    Rows of a null id and texts without words all stay. Of rows equal in every column one stays. Unlike texts of one
+    doc_id are classes of their own, so one of each stays. Columns are those of docs.
+    """
+    names = docs.columns
+    keyed = docs.withColumn("_row", F.xxhash64(*[F.struct(F.col(f"`{c}`")) for c in names]))
+    rows = join_rows(keyed.select("doc_id", "text", "_row"), **settings).filter("class_set is not null")
+    first = rows.groupBy("class_set").agg(F.min(F.struct("doc_id", "row")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.row").alias("_row")).distinct()
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = keyed.filter(~alone).withColumn("_id", F.col("doc_id").cast("long")).join(first, ["_id", "_row"]).dropDuplicates(["_id", "_row"])
+    return kept.select(*names).unionByName(docs.filter(alone))
