@@ -7,22 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, digest, running, words_of
+from .common import cut, digest, digits_for, running, words_of
 
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
 #: Words of the mix over words of the input, and how often a source may be repeated.
 SHARE, MOST = 1.5, 2.0
-#: Buckets of a source's keys.
-BUCKETS = 256
-#: Target words of a source are rounded so, that sums in another order give the same number.
+#: Target words of a source are rounded to so many digits, that sums in another order give the same number.
 DIGITS = 6
+#: Mean characters a word (the space behind it included) of plain text.
+WORD_LENGTH = (3.0, 10.0)
 
 
 def quality(text: Column, size: Column) -> Column:
-    """Weight of a document, 0.5 to 1: less for runs of symbols among its words."""
-    marks = F.coalesce(F.regexp_count(text, F.lit(r"[#$%&*!?~^|<>{}\[\]=_+]{2,}")), F.lit(0))
-    return F.lit(0.5) + F.lit(0.5) * size / (size + 4 * marks + F.lit(1))
+    """Weight of a document, 0.25 to 1: a quarter each for few runs of symbols, few digits and words of usual length.
+
+    All three are measured on the whole text: symbol runs against words, digits against characters, and the mean number of
+    characters a word, less the farther it is below or above WORD_LENGTH.
+    """
+    low, high = WORD_LENGTH
+    chars = F.length(text).cast("double")
+    marks = F.regexp_count(text, F.lit(r"[#$%&*!?~^|<>{}\[\]=_+]{2,}"))
+    digits = F.regexp_count(text, F.lit(r"[0-9]"))
+    clean = size / (size + 4 * marks + F.lit(1))
+    worded = F.lit(1.0) - digits / (chars + 1)
+    mean = chars / (size + F.lit(1))
+    usual = F.when(mean < low, mean / low).when(mean > high, F.lit(high) / mean).otherwise(1.0)
+    return F.lit(0.25) + F.lit(0.25) * clean + F.lit(0.25) * worded + F.lit(0.25) * usual
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -47,7 +58,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
 
 
 def mix(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, whole: bool = False) -> DataFrame:
-    """Adds source_size, target and taken to rows with doc_id, source, size and weight.
+    """Adds source_size, target (in words, to DIGITS digits) and taken to rows with doc_id, source, size and weight.
 
     Each source first takes floor(target / size) complete epochs of all its documents. What is left of the target goes
     to the documents of smallest key -ln(u) / weight (u: a seeded hash of doc_id), in the order of their keys: whole ones
@@ -62,8 +73,9 @@ def mix(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     slim = cut(
         rows.withColumn("_g", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))))
         .withColumn("_h", h).withColumn("_key", key)
-        .withColumn("_b", F.least(F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("long"))
     )
+    buckets = 16 ** digits_for(slim.count())
+    slim = slim.withColumn("_b", F.least(F.floor((1 - F.exp(-F.col("_key"))) * buckets), F.lit(buckets - 1)).cast("long"))
     sizes = slim.groupBy("_g").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
     goal = targets(sizes.select("source", "source_size"), weights, share, most)
     goal = goal.withColumn("_g", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))).drop("source")
@@ -98,14 +110,9 @@ def mixed_corpus(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float
     """The mix itself: each document as often as the mix takes it whole (see mix with whole=True), columns as given."""
     names = docs.columns
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), "doc_id", "source", words_of(F.col("text")).alias("size"), text.alias("_t"))
-    keyed = keyed.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).withColumn("_row", F.xxhash64("_doc"))
-    slim = keyed.select("doc_id", "source", "size", quality(F.col("_t"), F.col("size")).alias("weight"), "_id", "_row")
-    taken = mix(slim, weights, share, most, seed, whole=True)
-    times = taken.filter(F.col("taken") > 0).groupBy("_id", "_row").agg(F.sum(F.expr("taken div size")).alias("_times"))
-    # equal rows share their group's copies; the join has put them together already
-    equal = Window.partitionBy("_id", "_row")
-    joined = keyed.select("_doc", "_id", "_row").join(times, ["_id", "_row"])
-    joined = joined.withColumn("_m", F.count("*").over(equal)).withColumn("_k", F.row_number().over(equal.orderBy(F.lit(0))))
-    copies = F.expr("_times div _m + if(_k <= _times % _m, 1L, 0L)")
-    return joined.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_doc.*")
+    size = words_of(F.col("text"))
+    # numbered once and written, so that each row keeps its number; equal rows are rows of their own
+    rows = cut(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"), "doc_id", "source", size.alias("size"), quality(text, size).alias("weight"), F.monotonically_increasing_id().alias("_row")))
+    taken = mix(rows.drop("_doc"), weights, share, most, seed, whole=True).filter(F.col("taken") > 0)
+    copies = rows.select("_doc", "_row").join(taken.select("_row", F.expr("int(taken div size)").alias("_times")), "_row")
+    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")

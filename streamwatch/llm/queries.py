@@ -88,10 +88,16 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 ORACLES["op5_source_mix"] = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         len(regexp_extract_all(coalesce(text, ''), '[#$%&*!?~^|<>{}\[\]=_+]{2,}')) AS marks, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         len(regexp_extract_all(coalesce(text, ''), '[#$%&*!?~^|<>{}\[\]=_+]{2,}')) AS marks, len(regexp_extract_all(coalesce(text, ''), '[0-9]')) AS digits,
+         CAST(length(coalesce(text, '')) AS DOUBLE) AS chars, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
   FROM documents
 ),
-w AS (SELECT *, 0.5::DOUBLE + 0.5::DOUBLE * size / (size + 4 * marks + 1) AS weight FROM d),
+m AS (SELECT *, chars / (size + 1) AS mean FROM d),
+w AS (
+  SELECT *, 0.25::DOUBLE + 0.25::DOUBLE * (CAST(size AS DOUBLE) / (size + 4 * marks + 1)) + 0.25::DOUBLE * (1.0::DOUBLE - digits / (chars + 1))
+         + 0.25::DOUBLE * CASE WHEN mean < 3 THEN mean / 3.0::DOUBLE WHEN mean > 10 THEN 10.0::DOUBLE / mean ELSE 1.0::DOUBLE END AS weight
+  FROM m
+),
 k AS (SELECT *, -ln((CAST(('0x' || substr(h, 1, 12)) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / weight AS key FROM w),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 o AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS sw FROM s),

@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, digest, hex_bucket, running
+from .common import cut, digest, digits_for, hex_bucket, running
 
 SEED = "shards-1"
-#: Hex digits of the bucket within a source, and buckets of the fractional rank.
-SOURCE_DIGITS, RANK_BUCKETS = 2, 4096
 
 
 def interleaved(rows: DataFrame, strata: str, key: Column, shards: int = 16, seed: str = SEED) -> DataFrame:
@@ -21,14 +19,16 @@ def interleaved(rows: DataFrame, strata: str, key: Column, shards: int = 16, see
     every column doesn't matter. No stratum is sorted in one task: ranks are summed up over hash buckets.
     """
     names = rows.columns
-    slim = cut(rows.withColumn("_h", digest(seed, key)).withColumn("_g", F.when(F.col(strata).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(strata)))).withColumn("_b", hex_bucket(F.col("_h"), SOURCE_DIGITS)))
+    slim = cut(rows.withColumn("_h", digest(seed, key)).withColumn("_g", F.when(F.col(strata).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(strata)))))
+    digits = digits_for(slim.count())
+    slim = slim.withColumn("_b", hex_bucket(F.col("_h"), digits))
     order = ["_h", *sorted(names)]
     ranked = running(slim, ["_g"], "_b", order, {}, "_rank")
     sizes = slim.groupBy("_g").agg(F.count("*").alias("_n"))
     part = cut(
         ranked.join(sizes, "_g")
         .withColumn("_f", (F.col("_rank").cast("double") + F.lit(0.5)) / F.col("_n"))
-        .withColumn("_b", F.floor(F.col("_f") * RANK_BUCKETS).cast("long"))
+        .withColumn("_b", F.floor(F.col("_f") * 16**digits).cast("long"))
         .withColumn("_all", F.lit(0))
         .drop("_rank", "_n")
     )

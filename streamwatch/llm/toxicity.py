@@ -234,10 +234,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), per
     return train(rows["text"].tolist(), rows["label"].to_numpy(), settings, share)
 
 
-def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Adds score (0 to 1) to docs. A null text counts as empty; without a model all scores are 0."""
+def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
+    """Adds the score (0 to 1) to docs as column `name`. A null text counts as empty; without a model all scores are 0."""
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
     held = docs.sparkSession.sparkContext.broadcast(model)  # one number per bucket
 
     @F.pandas_udf("double")
@@ -247,7 +247,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             out = [held.value.scores(texts[i : i + SLICE_ROWS].tolist(), known) for i in range(0, len(texts), SLICE_ROWS)]
             yield pd.Series(np.concatenate([*out, np.zeros(0)]))
 
-    return docs.withColumn("score", score(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn(name, score(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008

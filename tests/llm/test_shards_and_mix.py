@@ -1,3 +1,4 @@
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -27,6 +28,30 @@ def test_shards(request, table):
     assert all(abs(each[s, k] - n[s] / 16) < 2 for s in n for k in range(16))
 
 
+def brute_shards(rows, shards=16):
+    """(doc_id, source, size, crc) in the order of seeded MD5 within each source, then by fractional rank, cut evenly."""
+    low = lambda v: (v is not None, v if v is not None else 0)
+    by = defaultdict(list)
+    for d, s, n, c in rows:
+        h = hashlib.md5(f"shards-1:{'' if d is None else d}".encode()).hexdigest()
+        by["n" if s is None else "s" + s].append((h, low(d), n, low(s) if s is None else (True, s), c, (d, s, n, c)))
+    line = sorted(((k + 0.5) / len(g), name, r[:5], r[5]) for name, g in by.items() for k, r in enumerate(sorted(g, key=lambda r: r[:5])))
+    out, used = [], Counter()
+    for at, (*_, row) in enumerate(line):
+        shard = at * shards // len(line)
+        out.append((*row, shard, used[shard]))
+        used[shard] += 1
+    return Counter(out)
+
+
+@pytest.mark.parametrize("table", ["docs", "odd"])
+def test_shards_against_brute_force(request, table):
+    df = request.getfixturevalue(table)
+    rows = [(r.doc_id, r.source, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in df.select("doc_id", "source", "text").collect()]
+    got = Counter((r.doc_id, r.source, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.shard_documents(df).collect())
+    assert got == brute_shards(rows)
+
+
 def test_shards_agree_in_any_partitioning(docs, none):
     key = lambda df: sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_documents(df).collect())
     assert key(docs) == key(docs.repartition(5)) and sharding.shard_documents(none).count() == 0
@@ -81,6 +106,17 @@ def test_mixed_corpus_repeats_whole_documents(docs, odd, none):
     assert odd_out and all(r.text for r in odd_out) and mixing.mixed_corpus(none).count() == 0
 
 
+def test_equal_rows_share_the_mix(spark):
+    rows = [(1, "a b c", "s", 5.0)] * 30 + [(None, "d e f", "s", 5.0)] * 30 + [(k, "g h i", "t", 5.0) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size double")
+    out = Counter((r.doc_id, r.source) for r in mixing.mixed_corpus(df).collect())
+    mixed = Counter()
+    for r in mixing.mix_documents(df).collect():
+        mixed[r.doc_id, r.source] += r.taken // 3
+    assert mixing.mixed_corpus(df).columns == df.columns and abs(sum(out.values()) - 1.5 * 260) <= 2
+    assert all(abs(out[k] - mixed[k]) <= 1 for k in mixed) and max(out.values()) <= 60
+
+
 def test_mix_equals_its_sql(spark, sf):
     from oracle import same
 
