@@ -1,13 +1,17 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the mean of the vectors of itself and its character n-grams (hashed to buckets), a window of words the mean of
+A word is the mean of the vectors of itself and its character n-grams (hashed to buckets), a bag of words the mean of
 its words, and a softmax layer over that mean gives the classes. As all of it is linear up to the softmax, scoring
-needs one number per bucket: the difference of the two classes. A document's score comes from its most toxic window,
-mapped to a probability on labelled documents that weren't used for the vectors.
+needs one number per bucket: the difference of the two classes, and a word's value is the mean over its buckets. The
+vectors are trained on windows of words. A whole text is judged by what its words' values show: its average, its most
+toxic windows, its most toxic words, and how many words lie above the values that few words reach, against its length
+(one such word may be chance in a long text; several in a short one aren't). A logistic layer over these, fitted on
+labelled documents that weren't used for the vectors, gives the probability.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,11 +33,17 @@ FOLDS = 5
 
 @dataclass(frozen=True)
 class Settings:
-    buckets: int = 1 << 16
+    """lean: what a document of label 1 weighs in the last layer, over its share where the labels come from; of that, what
+    goes beyond 1 counts in full with many such documents, and half with `few`."""
+
+    buckets: int = 1 << 18
     dim: int = 8
     low: int = 3
-    high: int = 5
+    high: int = 6
     window: int = 8
+    lean: float = 3.5
+    few: int = 40
+    refresh: int = 25
     steps: int = 600
     rate: float = 0.2
     batch: int = 128
@@ -66,13 +76,41 @@ def unrepeated(x: np.ndarray) -> np.ndarray:
     return x[np.flatnonzero(np.diff(x, prepend=np.nan))] if len(x) else x
 
 
+#: Shares of the training words' values below the three limits that words are counted against, and the longer window.
+LIMITS, WIDE = (0.99, 0.995, 0.998), 64
+
+
+def top_window(values: np.ndarray, window: int) -> float:
+    """Largest mean over all windows of so many words; a shorter text is one window, filled up with zeros."""
+    if len(values) <= window:
+        return float(values.sum() / window)
+    sums = np.concatenate([[0.0], np.cumsum(values)])
+    return float((sums[window:] - sums[:-window]).max() / window)
+
+
+def shown(values: np.ndarray, limits: np.ndarray, window: int) -> list[float]:
+    """What the values of a text's words show; a text without words is one word of value 0."""
+    n = max(len(values), window)
+    if not len(values):
+        values = np.zeros(1)
+    best = np.unique(values)[::-1]
+    best = np.concatenate([best, np.full(5, min(best[-1], 0.0))])
+    out = [top_window(values, window), top_window(values, WIDE), float(values.sum()) / n, best[1], best[2], best[4]]
+    for limit in limits:
+        k = int((values > limit).sum())
+        out += [math.log1p(k), math.log((k + 0.5) / (n + 50))]
+    return [*out, math.log(n)]
+
+
 @dataclass(frozen=True)
 class Model:
-    """difference: per bucket, class 1 less class 0. A document's logit is slope * (its largest window's) + shift."""
+    """difference: per bucket, class 1 less class 0. weights: of the standardised parts of `shown`, and a constant."""
 
     difference: np.ndarray
-    slope: float
-    shift: float
+    limits: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+    weights: np.ndarray
     settings: Settings
 
     def scores(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
@@ -86,20 +124,14 @@ class Model:
             part = new[at : at + 20_000]
             flat, size = bags(part, self.settings)
             known.update(zip(part, (np.add.reduceat(self.difference[flat], np.cumsum(size) - size) / size).tolist(), strict=True))
-        tops = [top_window(unrepeated(np.fromiter(map(known.__getitem__, ws), dtype=float, count=len(ws))), self.settings.window) for ws in split]
-        return 1 / (1 + np.exp(-(self.slope * np.array(tops) + self.shift)))
-
-
-def top_window(values: np.ndarray, window: int) -> float:
-    """Largest mean over windows that start at each half window; a short text is one window, an empty one counts 0."""
-    if len(values) <= window:
-        return float(values.sum() / window)
-    sums = np.concatenate([[0.0], np.cumsum(values)])
-    return float((sums[window:] - sums[:-window]).max() / window)
+        values = [unrepeated(np.fromiter(map(known.__getitem__, ws), dtype=float, count=len(ws))) for ws in split]
+        x = np.array([shown(v, self.limits, self.settings.window) for v in values]).reshape(len(texts), -1)
+        z = (x - self.mean) / self.spread @ self.weights[:-1] + self.weights[-1] if len(x) else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
 def train(texts: list[str], labels: np.ndarray, s: Settings = Settings(), toxic_share: float | None = None) -> Model:  # noqa: B008
-    """A fourth of the documents only fits the map from the largest window to a probability.
+    """A fourth of the documents only fits the last layer.
 
     toxic_share: share of label 1 where the texts were sampled from; the sample's own, if not given.
     """
@@ -121,10 +153,9 @@ def train(texts: list[str], labels: np.ndarray, s: Settings = Settings(), toxic_
         per = vectors @ (layer[:, 1] - layer[:, 0])
         return np.add.reduceat(per[flat], start[:-1]) / size
 
-    def windows(epoch: int) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of word numbers, filled up with -1. First spread over the texts, then the ones scored highest."""
+    def windows(epoch: int, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of word numbers, filled up with -1. First spread over the texts, then the ones of highest value."""
         rows, ys = [], []
-        value = word_scores()
         for d in np.flatnonzero(fits).tolist():
             x = docs[d]
             if not len(x):
@@ -145,9 +176,11 @@ def train(texts: list[str], labels: np.ndarray, s: Settings = Settings(), toxic_
                 ys.append(labels[d])
         return np.array(rows).reshape(-1, s.window), np.array(ys, dtype=np.int64)
 
-    epoch, steps = 0, 0
+    epoch, steps, fresh = 0, 0, -s.refresh
     while steps < s.steps and fits.any():
-        rows, ys = windows(epoch)
+        if steps - fresh >= s.refresh:  # the values that windows are picked by may be a few steps old
+            value, fresh = word_scores(), steps
+        rows, ys = windows(epoch, value)
         epoch += 1
         if not len(rows):
             break
@@ -185,28 +218,32 @@ def train(texts: list[str], labels: np.ndarray, s: Settings = Settings(), toxic_
             square[hit] += (step * step).mean(1)
             vectors[hit] -= s.rate * step / np.sqrt(square[hit])[:, None]
     value = word_scores()
-    tops = np.array([top_window(value[x], s.window) for x in docs])
+    every = np.concatenate([value[x] for x in docs if len(x)] + [np.zeros(1)])
+    limits = np.quantile(every, LIMITS)
+    parts = np.array([shown(value[x], limits, s.window) for x in docs])
     judged = ~fits if len(set(labels[~fits].tolist())) == 2 else np.full(len(docs), True)
-    slope, shift = _logistic(tops[judged], labels[judged], labels.mean() if toxic_share is None else toxic_share)
-    return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), slope, shift, s)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
-    """Slope (0 at least) and shift by Newton steps with a small ridge on the standardised value; label 1 weighs share."""
-    mean, spread = x.mean(), max(x.std(), 1e-9)
-    z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
-    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
-    w = np.zeros(2)
-    for _ in range(50):
+    toxic = int((labels[judged] == 1).sum())
+    lean = 1 + (s.lean - 1) * toxic / (toxic + s.few)
+    mean, spread = parts[judged].mean(0), parts[judged].std(0) + 1e-9
+    weights = _logistic((parts[judged] - mean) / spread, labels[judged], labels.mean() if toxic_share is None else toxic_share, lean)
+    return Model((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), limits, mean, spread, weights, s)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, share: float, lean: float) -> np.ndarray:
+    """Weights and a constant by Newton steps with a ridge on the weights; label 1 weighs lean * share."""
+    z = np.column_stack([x, np.ones(len(x))])
+    weight = np.where(y == 1, lean * share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
+    w = np.zeros(z.shape[1])
+    ridge = np.append(np.ones(x.shape[1]), 1e-6)
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        gradient = z.T @ (weight * (p - y)) + 0.02 * w
-        hessian = (z * (weight * p * (1 - p) + 1e-6)[:, None]).T @ z + 0.02 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        w -= np.clip(step, -2, 2)
+        gradient = z.T @ (weight * (p - y)) + ridge * w
+        hessian = (z * (weight * p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(ridge)
+        step = np.clip(np.linalg.solve(hessian, gradient), -2, 2)
+        w -= step
         if np.abs(step).max() < 1e-8:
             break
-    slope = max(0.0, w[0]) / spread
-    return float(slope), float(w[1] - slope * mean)
+    return w
 
 
 def fold(doc_id) -> F.Column:
