@@ -23,20 +23,19 @@ LIMIT = 4096
 #: Bytes of text in a batch, characters of a part of a long text.
 SLICE_BYTES, PART_CHARS = 4 << 20, 1 << 18
 #: Parts that a worker remembers, and characters of the longest of them.
-REMEMBERED, SHORT = 700_000, 48
+REMEMBERED, SHORT = 1_000_000, 48
 #: A single space between characters that aren't white space: no piece of a byte-level vocabulary crosses it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-#: The same, and neither of them the mark that stands for a space: the model has pieces of several marks.
+#: Neighbouring white space: texts without it have a safe space or line feed wherever they have one.
+DOUBLE = re.compile(r"\s\s")
+#: A safe space for sentencepiece: neither neighbour is white space or the mark that stands for a space: the model has pieces of several marks.
 SAFE_PIECE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
-def segments(text: str) -> list[str]:
-    """The parts between safe spaces. Each but the first stood behind a space."""
-    parts = text.split(" ")
-    for p in parts:
-        if not p or p[0].isspace() or p[-1].isspace():
-            return SAFE.split(text)
-    return parts
+def spaced(text: str) -> list[str]:
+    """The parts between safe spaces, each but the first with its space in front."""
+    first, *rest = SAFE.split(text)
+    return [first, *(" " + p for p in rest)]
 
 
 def long_parts(text: str, chars: int) -> list[str]:
@@ -80,41 +79,69 @@ class ByteEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core only
         self.model = Tokenizer.from_file(path)
-        [self.line_feed] = self.model.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-
-    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
-        """Parts without white space at their ends go in as lines of one text: a line feed there is one id of its own."""
-        plain = lambda p: p and "\n" not in p and not p[-1].isspace() and not p[p[0] == " "].isspace()
-        lines, rest = [], []
-        for p in parts:
-            (lines if plain(p) else rest).append(p)
-        out = {}
-        encode = lambda texts: [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        if lines:
-            ids = encode(["\n".join(lines)])[0]
-            ends = np.append(np.flatnonzero(ids == self.line_feed), len(ids)) * 4
-            data = ids.tobytes()
-            out = {p: data[s:e] for p, s, e in zip(lines, [0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)}
-        return out | dict(zip(rest, (x.tobytes() for x in encode(rest)), strict=True))
+        self.line_feed = self._encode(["\n"])[0].tobytes()
+        #: Ids of words behind a space, and of words that begin a line.
+        self.words: dict[str, bytes] = {"": b""}
+        self.heads: dict[str, bytes] = {}
+        self.marks = {m: self._encode([m])[0].tobytes() for m in ",."}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, lines: list[str]) -> list[bytes]:
+        """Ids of strings without line feeds and without white space at their ends (but one space in front).
+
+        They go in as lines of one text: a line feed there is one id of its own.
+        """
+        if not lines:
+            return []
+        ids = self._encode(["\n".join(lines)])[0]
+        ends = np.append(np.flatnonzero(ids == np.frombuffer(self.line_feed, dtype="<u4")[0]), len(ids)) * 4
+        data = ids.tobytes()
+        return [data[s:e] for s, e in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
 
     def ids(self, text: str) -> bytes:
         return self.batch([text])[0]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        split = [segments(t) for t in texts]
-        for parts in split:
-            parts[1:] = [" " + p for p in parts[1:]]
-        new = list({p for parts in split for p in parts} - known.keys())
-        own = self._encoded(new)
-        known.update(own)
-        out = [b"".join(map(known.__getitem__, parts)) for parts in split]
-        for p in new:
-            if len(p) > SHORT:
-                del known[p]
+        if len(self.words) > REMEMBERED:
+            self.words = {"": b""}
+        if len(self.heads) > REMEMBERED // 4:
+            self.heads.clear()
+        words, heads = self.words, self.heads
+        split: list[list[list[str]] | None] = []
+        seen: set[str] = set()
+        begun: set[str] = set()
+        for t in texts:
+            if not t or t[0].isspace() or t[-1].isspace() or DOUBLE.search(t):
+                split.append(None)
+                continue
+            lines = [line.split(" ") for line in t.split("\n")]
+            begun.update(line[0] for line in lines)
+            seen.update(*lines)
+            split.append(lines)
+        new = seen.difference(words)
+        # a comma or full stop behind a letter has its own id, whatever the word
+        marked = [w for w in new if w[-1] in self.marks and w[-2:-1].isalpha()]
+        plain = list(new.difference(marked).union(w[:-1] for w in marked).difference(words))
+        words.update(zip(plain, self._lines([" " + w for w in plain]), strict=True))
+        words.update((w, words[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        new = list(begun.difference(heads))
+        heads.update(zip(new, self._lines(new), strict=True))
+        whole = iter(self._encode([p for t, s in zip(texts, split, strict=True) if s is None for p in spaced(t)]))
+        out = []
+        for t, lines in zip(texts, split, strict=True):
+            if lines is None:
+                out.append(b"".join(next(whole).tobytes() for _ in spaced(t)))
+                continue
+            own = []
+            for line in lines:
+                head, line[0] = line[0], ""
+                own.append(heads[head] + b"".join(map(words.__getitem__, line)))
+            out.append(self.line_feed.join(own))
+        for held in (words, heads):
+            for w in [w for w in (*plain, *marked, *new) if len(w) > SHORT]:
+                held.pop(w, None)
         return out
 
 

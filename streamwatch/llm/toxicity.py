@@ -126,7 +126,8 @@ class Model:
             known.update(zip(part, (np.add.reduceat(self.difference[flat], np.cumsum(size) - size) / size).tolist(), strict=True))
         values = [unrepeated(np.fromiter(map(known.__getitem__, ws), dtype=float, count=len(ws))) for ws in split]
         x = np.array([shown(v, self.limits, self.settings.window) for v in values]).reshape(len(texts), -1)
-        z = (x - self.mean) / self.spread @ self.weights[:-1] + self.weights[-1] if len(x) else np.zeros(0)
+        # summed row by row: a text's score doesn't depend on its neighbours
+        z = ((x - self.mean) / self.spread * self.weights[:-1]).sum(1) + self.weights[-1] if len(x) else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
