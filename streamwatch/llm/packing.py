@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import balanced, cut, digest, digits_for, hex_bucket, running
-from .token_counts import SLICE_BYTES, ByteEncoder, loaded
+from .token_counts import ID_BYTES, ByteEncoder, loaded
 
 CAPACITY = 1024
 #: Lengths are priced in units of so many ids, rounded up: the program stays small, a piece wastes less than a unit.
@@ -136,7 +136,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, width = loaded(ByteEncoder, path), 4 * capacity
-        for batch in balanced(batches, "text", SLICE_BYTES):
+        for batch in balanced(batches, "text", ID_BYTES):
             ids = [x + END for x in encoder.batch([t or "" for t in batch.column("text").to_pylist()])]
             crcs = [[zlib.crc32(x[i : i + width]) for i in range(0, len(x), width)] for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["doc_id", "doc_tokens", "crcs"])

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from .common import balanced
 
 LIMIT = 4096
-#: Bytes of text in a batch, characters of a part of a long text.
-SLICE_BYTES, PART_CHARS = 4 << 20, 1 << 18
+#: Bytes of text in a batch of counts and of ids, characters of a part of a long text.
+SLICE_BYTES, ID_BYTES, PART_CHARS = 4 << 20, 1 << 20, 1 << 18
 #: Parts that a worker remembers, and characters of the longest of them.
-REMEMBERED, SHORT = 1_000_000, 48
+REMEMBERED, SHORT = 200_000, 48
 #: A single space between characters that aren't white space: no piece of a byte-level vocabulary crosses it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Neighbouring white space: texts without it have a safe space or line feed wherever they have one.
