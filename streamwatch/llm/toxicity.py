@@ -66,9 +66,13 @@ def words(text: str) -> list[str]:
 
 
 def bags(words_: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """All buckets of all words in a row, and how many each word has."""
-    each = [grams(w, s) for w in words_]
-    return np.fromiter(chain.from_iterable(each), dtype=np.int32), np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+    """All buckets of all words in a row, and how many each word has; a few words at once, for a bounded working set."""
+    flat, size = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+    for at in range(0, len(words_), 5000):
+        each = [grams(w, s) for w in words_[at : at + 5000]]
+        flat.append(np.fromiter(chain.from_iterable(each), dtype=np.int32))
+        size.append(np.fromiter(map(len, each), dtype=np.int64, count=len(each)))
+    return np.concatenate(flat), np.concatenate(size)
 
 
 def unrepeated(x: np.ndarray) -> np.ndarray:
@@ -218,7 +222,7 @@ def train(texts: list[str], labels: np.ndarray, s: Settings = Settings(), toxic_
             step, hit = np.add.reduceat(change[order_g], cuts, axis=0), sorted_g[cuts]
             square[hit] += (step * step).mean(1)
             vectors[hit] -= s.rate * step / np.sqrt(square[hit])[:, None]
-    value = word_scores()
+    value = word_scores().astype(np.float64)
     every = np.concatenate([value[x] for x in docs if len(x)] + [np.zeros(1)])
     limits = np.quantile(every, LIMITS)
     parts = np.array([shown(value[x], limits, s.window) for x in docs])
