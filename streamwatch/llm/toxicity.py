@@ -27,7 +27,7 @@ WORD = re.compile(r"\w+")
 #: Bound of the training sample: so many documents of label 0 and of label 1, none longer than so many characters.
 SAMPLE, SAMPLE_CHARS = (3000, 1500), 40_000
 #: Words that a task remembers, and documents that are split into words at once.
-REMEMBERED, SLICE_ROWS = 700_000, 256
+REMEMBERED, SLICE_ROWS = 250_000, 128
 FOLDS = 5
 
 
@@ -124,8 +124,8 @@ class Model:
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list({w for ws in split for w in ws})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 5000):
+            part = new[at : at + 5000]
             flat, size = bags(part, self.settings)
             known.update(zip(part, (np.add.reduceat(self.difference[flat], np.cumsum(size) - size) / size).tolist(), strict=True))
         values = [unrepeated(np.fromiter(map(known.__getitem__, ws), dtype=float, count=len(ws))) for ws in split]
