@@ -301,35 +301,34 @@ def text_hash(h: np.ndarray) -> int:
     return int(mixed(h + np.arange(len(h), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
 
 
-def maybe_in(ids: DataFrame, bits: int):
-    """A function of an id column: false only for ids that the one column of ids doesn't hold. A bitmap of fixed size."""
+def marked(ids: DataFrame, bits: int):
+    """A broadcast bitmap of fixed size with the places (see _place) of the one column of ids."""
     name = ids.columns[0]
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = ids.select(at(F.col(name)).alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(h % 64))")).alias("mask")).toArrow()
+    words = ids.select(_place(F.col(name), bits).alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(h % 64))")).alias("mask")).toArrow()
     bitmap = np.zeros(bits // 64, dtype=np.int64)
     bitmap[words.column("word").to_numpy()] = words.column("mask").to_numpy()
-    held = ids.sparkSession.sparkContext.broadcast(bitmap)
+    return ids.sparkSession.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def inside(h: pd.Series) -> pd.Series:
-        v = h.fillna(0).to_numpy().astype(np.int64)
-        return pd.Series((held.value[v // 64] >> (v % 64)) & 1 == 1)
 
-    return lambda c: inside(at(c))
+def _place(ids, bits: int):
+    return F.pmod(F.xxhash64(ids), F.lit(bits))
 
 
-def _set_rows(docs: DataFrame, gram: int) -> DataFrame:
-    """doc_id, id and the distinct gram hashes of each text, sorted, as bytes."""
+def _set_rows(docs: DataFrame, gram: int, held, bits: int) -> DataFrame:
+    """doc_id, id and the distinct gram hashes of each text, sorted, as bytes; of documents whose ids the bitmap may hold."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", SLICE_BYTES):
+            place = whole.column("place").to_numpy(zero_copy_only=False)
+            near = whole.filter(pa.array((held.value[place // 64] >> (place % 64)) & 1 == 1))
+            for batch in slices(near, "text", SLICE_BYTES):
                 h, start = shingles(batch.column("text"), gram)
                 spans = list(zip(start, start[1:], strict=False))
                 own = pa.array([text_hash(h[s:e]) for s, e in spans], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), own, pa.array([np.unique(h[s:e]).tobytes() for s, e in spans], pa.binary())], ["doc_id", "id", "grams"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, id long, grams binary")
+    doc_id = F.col("doc_id").cast("long")
+    return docs.filter(doc_id.isNotNull()).select(doc_id.alias("doc_id"), _place(doc_id, bits).alias("place"), "text").mapInArrow(sets, "doc_id long, id long, grams binary")
 
 
 def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -417,8 +416,7 @@ def join_rows(docs: DataFrame, similarity: float = SIMILARITY, gram: int = GRAM,
     groups = cut(components(candidates(sets, similarity, recall, depth, tokens, bucket)).join(sets.select("id", "copy_id", "copies"), "id"))
     sized = groups.join(groups.groupBy("group").agg(F.count("*").alias("n")), "group")
     # the grams of a text are made once, at its smallest doc_id; another text may have the same doc_id, repeated rows all
-    near = docs.filter(maybe_in(groups.select("copy_id"), bits)(F.col("doc_id").cast("long")))
-    grams = _set_rows(near, gram).join(sized.select("id", F.col("copy_id").alias("doc_id"), "copies", "group", "n"), ["id", "doc_id"])
+    grams = _set_rows(docs, gram, marked(groups.select("copy_id"), bits), bits).join(sized.select("id", F.col("copy_id").alias("doc_id"), "copies", "group", "n"), ["id", "doc_id"])
     checked = cut(_exact(in_blocks(grams.drop("doc_id"), "n", block), similarity))
     linked = components(checked.filter("n = 0").select("a", "b")).join(sets.select("id", "copy_id"), "id")
     classes = linked.join(linked.groupBy("group").agg(F.min("copy_id").alias("class_id")), "group").select("id", "class_id", F.col("group").alias("class_set"))
