@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate files: spark.checkpoint.dir, or where that is unset a folder in the warehouse."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_between"
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """df from files in the shared checkpoint folder."""
+    """df from files in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def of_order(segments: DataFrame, orders: DataFrame, least: int) -> DataFrame:
+    """segments (entity_id) of at least so high an order, with it; one without an order counts as of order 1.
+
+    Raises where nothing is left, for then the limit is wrong.
+    """
+    known = segments.join(orders.select("entity_id", "strahler_order"), "entity_id", "left")
+    kept = known.withColumn("strahler_order", F.coalesce("strahler_order", F.lit(1))).filter(F.col("strahler_order") >= least)
+    if kept.isEmpty() and not segments.isEmpty():
+        raise ValueError(f"no segment has an order of {least} or more")
+    return kept
+
+
 def downstream(starts: DataFrame, topology: DataFrame, hops: int) -> DataFrame:
     """entity_id, reached_id, hops: what each start reaches in at most so many steps, itself with 0; the least number counts."""
     at = starts.select("entity_id", F.col("entity_id").alias("reached_id"), F.lit(0).alias("hops"))

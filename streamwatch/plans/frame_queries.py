@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import FIT_END, VAL_END, table, view, with_views
-from ..operators import forest, frame, series
+from ..operators import forest, frame, graph, series
 from ..streaming import daily as streaming
 from .registry import query, rounded
 from .series_queries import DENSE
@@ -85,10 +85,10 @@ SELECT entity_id, CAST(ts AS DATE) AS date, count(precip) AS n_hours, round(CASE
 GROUP BY entity_id, CAST(ts AS DATE), t HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= t - INTERVAL 6 HOUR""")
 def st1_streaming_days(spark, sf_dir):
     """The live feed read as a stream from files, run until it has seen them all; closed days come out."""
-    feed = tempfile.mkdtemp(prefix="spark-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/feed-{abs(hash(sf_dir))}-{id(spark)}"
-    view(spark, sf_dir, "v_hourly").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("overwrite").parquet(f"{feed}/in")
+    feed = f"{graph.shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    view(spark, sf_dir, "v_hourly").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{feed}/in")
     stream = spark.readStream.schema("entity_id string, ts timestamp, precip double, temp double").parquet(f"{feed}/in")
-    done = streaming.complete_days(stream).writeStream.outputMode("append").format("parquet").option("path", f"{feed}/out").option("checkpointLocation", f"{feed}/state-{id(stream)}").trigger(availableNow=True).start()
+    done = streaming.complete_days(stream).writeStream.outputMode("append").format("parquet").option("path", f"{feed}/out").option("checkpointLocation", f"{feed}/state").trigger(availableNow=True).start()
     done.awaitTermination()
     return rounded(spark.read.schema("entity_id string, date date, n_hours long, precip_mm double, precip_max_hourly double").parquet(f"{feed}/out"))
 

@@ -39,6 +39,12 @@ def gr3_strahler(spark, sf_dir):
     return graph.strahler(view(spark, sf_dir, "v_topology"), view(spark, sf_dir, "v_reaches"))
 
 
+@query()
+def gr4_of_order(spark, sf_dir):
+    reaches = view(spark, sf_dir, "v_reaches")
+    return graph.of_order(reaches.select("entity_id", "city"), graph.strahler(view(spark, sf_dir, "v_topology"), reaches), 2)
+
+
 @query(with_views("v_topology", "v_reaches") + """SELECT t.upstream_id, t.downstream_id, round(a.catchment_area_km2, 6) + 0.0 AS up_area, round(b.catchment_area_km2, 6) + 0.0 AS down_area FROM v_topology t JOIN v_reaches a ON a.entity_id = t.upstream_id JOIN v_reaches b ON b.entity_id = t.downstream_id
 WHERE a.catchment_area_km2 - b.catchment_area_km2 > greatest(0.01, 0.02 * a.catchment_area_km2)""")
 def gr10_not_monotone(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,19 +19,16 @@ from .series_queries import CLIM, DENSE, LONG, SEASON_SQL, long_obs
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for a query's own files: in the shared folder where the cluster names one."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A folder for a query's own files: in the shared folder that the cluster names, else in the warehouse."""
+    return f"{graph.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 
-@query(with_views("v_hourly") + "SELECT entity_id, ts, round(precip, 6) + 0.0 AS precip FROM v_hourly WHERE entity_id = 'view'")
+@query(with_views("v_hourly") + "SELECT entity_id, ts, round(precip, 6) + 0.0 AS precip FROM v_hourly")
 def src2_run_payload(spark, sf_dir):
-    h = view(spark, sf_dir, "v_hourly").filter("entity_id = 'view'").groupBy("entity_id", F.to_date("ts").alias("d")).agg(F.array_sort(F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("t"), "precip"))).alias("r"))
+    h = view(spark, sf_dir, "v_hourly").groupBy("entity_id", F.to_date("ts").alias("d")).agg(F.array_sort(F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("t"), "precip"))).alias("r"))
     text = F.to_json(F.struct(F.struct(F.col("r.t").alias("time"), F.col("r.precip").cast("array<string>").alias("precip")).alias("hourly")))
     return rounded(payloads.hourly(h.select("entity_id", text.alias("payload")), "payload", ["precip"]).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
@@ -110,10 +107,14 @@ def fn21_merged_acquisitions(spark, sf_dir):
     return first.join(bank, ["entity_id", "obs_date"], "left").select("entity_id", "obs_date", "quality_flag", F.coalesce("_b", F.lit("NOT_REQUESTED")).alias("bank_flag"))
 
 
-@query(with_views("v_exposure") + "SELECT entity_id, " + ", ".join(f"CAST(max(CASE WHEN feature_type = '{k}' THEN n_features END) AS BIGINT) AS {k.lower()}" for k in ("AUTOMOBILE", "BUILDING", "FURNITURE")) + ", count(*) AS n_sources FROM v_exposure GROUP BY entity_id")
+#: The kinds of features in the customer table.
+KINDS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query(with_views("v_exposure") + "SELECT entity_id, " + ", ".join(f"CAST(max(CASE WHEN feature_type = '{k}' THEN n_features END) AS BIGINT) AS {k.lower()}" for k in KINDS) + ", count(*) AS n_sources FROM v_exposure GROUP BY entity_id")
 def fn22_attribute_rows(spark, sf_dir):
     e = view(spark, sf_dir, "v_exposure")
-    kinds = ["AUTOMOBILE", "BUILDING", "FURNITURE"]
+    kinds = KINDS
     wide = e.groupBy("entity_id").pivot("feature_type", kinds).agg(F.max("n_features"))
     n = e.groupBy("entity_id").agg(F.size(F.map_from_entries(F.collect_list(F.struct("feature_type", F.lit("customer"))))).cast("long").alias("n_sources"))
     return wide.join(n, "entity_id").select("entity_id", *[F.col(k).alias(k.lower()) for k in kinds], "n_sources")
@@ -133,10 +134,10 @@ def jn6_threshold_lookup(spark, sf_dir):
     return rounded(forecasts(spark, sf_dir).join(t, ["entity_id", "variable", "season"], "left").groupBy("entity_id", "variable", "season").agg(F.count("*").alias("n"), F.max("threshold").alias("threshold")))
 
 
-@query("SELECT s_suppkey, w.date, w.total FROM supplier JOIN (SELECT c_nationkey, CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL) w ON w.c_nationkey = s_nationkey WHERE s_suppkey % 10 = 0")
+@query("SELECT s_suppkey, w.date, w.total FROM supplier JOIN (SELECT c_nationkey, CAST(o_orderdate AS DATE) AS date, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL) w ON w.c_nationkey = s_nationkey")
 def jn8_cell_runs(spark, sf_dir):
     w = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_nationkey", F.to_date("o_orderdate").alias("date")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
-    return table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 0").join(w, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "date", "total")
+    return table(spark, sf_dir, "supplier").join(w, F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "date", "total")
 
 
 STEPS = "st AS (SELECT entity_id, x1 + (x2 - x1) * (k.k + 0.5) / 50 AS mx, y1 + (y2 - y1) * (k.k + 0.5) / 50 AS my, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) / 50 AS len FROM (SELECT s_suppkey AS entity_id, (s_suppkey * 37 % 600) - 300.0 AS x1, (s_suppkey * 91 % 600) - 300.0 AS y1, (s_suppkey * 53 % 600) - 300.0 AS x2, (s_suppkey * 71 % 600) - 300.0 AS y2 FROM supplier) s, generate_series(0, 49) k(k))"
@@ -256,15 +257,17 @@ def al10_persisted_alerts(spark, sf_dir):
     return spark.read.parquet(to).select("entity_id", "variable", "severity", "issued_date")
 
 
-@query("SELECT o_custkey AS entity_id, count(*) AS n FROM (SELECT DISTINCT o_custkey, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority LIKE '1%') q GROUP BY o_custkey")
+@query("""WITH RECURSIVE a AS (SELECT DISTINCT o_custkey AS e, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderpriority LIKE '1%'),
+s(e, d) AS (SELECT e, min(d) FROM a GROUP BY e UNION ALL SELECT s.e, min(a.d) FROM s JOIN a ON a.e = s.e AND a.d >= s.d + 3 GROUP BY s.e, s.d)
+SELECT a.e AS entity_id, a.d AS issued_date, s.d IS NULL AS suppressed FROM a LEFT JOIN s ON s.e = a.e AND s.d = a.d""")
 def st2_streamed_cooldown(spark, sf_dir):
-    """Alerts of a stream, all that come in, suppressed or not; suppression is tested on hand-made runs."""
+    """Alerts of a stream, each with whether one passed less than three days before it."""
     to = scratch(spark, "cooldown")
     a = table(spark, sf_dir, "orders").filter("o_orderpriority like '1%'").select(F.col("o_custkey").alias("entity_id"), F.to_date("o_orderdate").cast("timestamp").alias("issued_at"), F.lit("ALERT").alias("severity")).distinct()
-    a.coalesce(1).write.parquet(f"{to}/in")
+    a.write.parquet(f"{to}/in")
     stream = spark.readStream.schema(a.schema).parquet(f"{to}/in")
     streaming.cooled(stream).writeStream.format("parquet").option("path", f"{to}/out").option("checkpointLocation", f"{to}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("entity_id long, issued_at timestamp, severity string, suppressed boolean").parquet(f"{to}/out").groupBy("entity_id").agg(F.count("*").alias("n"))
+    return spark.read.schema("entity_id long, issued_at timestamp, severity string, suppressed boolean").parquet(f"{to}/out").select("entity_id", F.to_date("issued_at").alias("issued_date"), "suppressed")
 
 
 # --- networks ----------------------------------------------------------------------------------------------------------
@@ -276,9 +279,9 @@ def gr2_merged_chains(spark, sf_dir):
     return network.chains(top)
 
 
-@query("WITH s AS (SELECT l_orderkey AS line, l_linenumber AS piece, l_suppkey % 50 AS head, l_partkey % 50 AS tail, l_quantity AS q FROM lineitem WHERE l_orderkey % 50 = 0) SELECT DISTINCT a.line AS up_line, a.piece AS up_piece, b.line AS down_line, b.piece AS down_piece FROM s a JOIN s b ON a.line = b.line AND b.piece = a.piece + 1 UNION SELECT a.line, a.piece, b.line, b.piece FROM s a JOIN s b ON a.tail = b.head WHERE a.line <> b.line")
+@query("WITH s AS (SELECT l_orderkey AS line, l_linenumber AS piece, l_orderkey AS head, l_orderkey + l_suppkey AS tail FROM lineitem) SELECT DISTINCT a.line AS up_line, a.piece AS up_piece, b.line AS down_line, b.piece AS down_piece FROM s a JOIN s b ON a.line = b.line AND b.piece = a.piece + 1 UNION SELECT a.line, a.piece, b.line, b.piece FROM s a JOIN s b ON a.tail = b.head WHERE a.line <> b.line")
 def gr6_topology(spark, sf_dir):
-    s = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("piece"), (F.col("l_suppkey") % 50).alias("head"), (F.col("l_partkey") % 50).alias("tail"))
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("line"), F.col("l_linenumber").alias("piece"), F.col("l_orderkey").alias("head"), (F.col("l_orderkey") + F.col("l_suppkey")).alias("tail"))
     return network.topology(s)
 
 

@@ -248,3 +248,28 @@ def test_chains_deeper_than_64_levels_and_cycles(spark):
     assert total == {i: i * (i + 1) / 2 for i in range(1, n + 1)} | {1001: None, 1002: None, 1003: None, 1004: 1004.0}
     order = {r.entity_id: (r.strahler_order, r.cycle_broken) for r in graph.strahler(top, nodes).collect()}
     assert order == {i: (1, False) for i in [*range(1, n + 1), 1004]} | {i: (1, True) for i in (1001, 1002, 1003)}
+
+
+def test_segments_of_an_order(spark):
+    top = spark.createDataFrame([(4, 2), (5, 2), (6, 3), (7, 3), (2, 1), (3, 1), (8, 9), (9, 8)], "upstream_id long, downstream_id long")
+    nodes = spark.createDataFrame([(k,) for k in range(1, 11)], "entity_id long")
+    orders = graph.strahler(top, nodes)
+    assert sorted((r.entity_id, r.strahler_order) for r in graph.of_order(nodes, orders, 2).collect()) == [(1, 3), (2, 2), (3, 2)]
+    assert graph.of_order(nodes, orders, 1).count() == 10 and graph.of_order(nodes.limit(0), orders, 4).count() == 0
+    with pytest.raises(ValueError):
+        graph.of_order(nodes, orders, 4)
+
+
+def test_order_query_against_a_walk(spark, sf):
+    from streamwatch.fixtures import view
+    from streamwatch.plans.registry import QUERIES
+
+    ids = [r.entity_id for r in view(spark, sf, "v_reaches").collect()]
+    children = {k: [c for c in ids if c // 2 == k and c != k] for k in ids}
+
+    def order(k):
+        below = [order(c) for c in children[k]]
+        return 1 if not below else max(below) + (below.count(max(below)) > 1)
+
+    got = {r.entity_id: r.strahler_order for r in QUERIES["gr4_of_order"](spark, sf).collect()}
+    assert got == {k: order(k) for k in ids if order(k) >= 2}
