@@ -63,6 +63,35 @@ def laplace_mixture_cdf(mu: Column, b: Column, tau: Column, pi: Column, x: Colum
     return F.aggregate(parts, F.lit(0.0), lambda a, c: a + one(c))
 
 
+def normalised(pi: Column) -> Column:
+    return F.transform(pi, lambda w: w / F.aggregate(pi, F.lit(0.0), lambda a, x: a + x))
+
+
+def mixture_mean(mu: Column, b: Column, tau: Column, pi: Column) -> Column:
+    """Mean of a mixture of asymmetric Laplace components: mu + b (1 - 2 tau) / (tau (1 - tau)) each, by weight."""
+    parts = F.arrays_zip(mu.alias("mu"), b.alias("b"), tau.alias("tau"), normalised(pi).alias("pi"))
+    return F.aggregate(parts, F.lit(0.0), lambda a, c: a + c["pi"] * (c["mu"] + c["b"] * (1 - 2 * c["tau"]) / (c["tau"] * (1 - c["tau"]))))
+
+
+def rescaled(df: DataFrame, centre: float, scale: float) -> DataFrame:
+    """Mixtures (columns mu, b, tau, pi) of scale * x + centre; scale over 0."""
+    if not scale > 0:
+        raise ValueError(f"scale must be over 0, not {scale}")
+    return df.withColumns({"mu": F.transform("mu", lambda m: m * scale + centre), "b": F.transform("b", lambda x: x * scale)})
+
+
+def ensemble(members: Sequence[DataFrame], key: str) -> DataFrame:
+    """key, mu, b, tau, pi: the mixture of equal parts of the members' mixtures; keys that a member lacks are left out."""
+    if not members:
+        raise ValueError("an ensemble needs a member")
+    parts = [m.select(key, F.lit(i).alias("_i"), "mu", "b", "tau", F.transform(normalised(F.col("pi")), lambda w: w / len(members)).alias("pi")) for i, m in enumerate(members)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    met = every.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "mu", "b", "tau", "pi"))).alias("_m")).filter(F.size("_m") == len(members))
+    return met.select(key, *[F.flatten(F.col(f"_m.{c}")).alias(c) for c in ("mu", "b", "tau", "pi")])
+
+
 def mixture_quantiles(df: DataFrame, levels: Sequence[float] = LEVELS, steps: int = 60) -> DataFrame:
     """Adds q: quantiles of the mixtures in columns mu, b, tau, pi, by bisection over whole Arrow batches."""
     lv = np.array(levels)
@@ -86,8 +115,8 @@ def mixture_quantiles(df: DataFrame, levels: Sequence[float] = LEVELS, steps: in
     return df.mapInPandas(run, f"{fields}, q array<double>")
 
 
-def conformal_fit(rows: DataFrame, val_end: str, coverage: float = 0.8, min_rows: int = 30) -> DataFrame:
-    """By variable, lead bucket and class: the k-th smallest score, k = ceil((n + 1) * coverage), or why there is none.
+def conformal_fit(rows: DataFrame, val_end: str, coverage: float = 0.8, min_rows: int = 30, by: Sequence[str] = ()) -> DataFrame:
+    """By variable, lead bucket and class (and columns `by`): the k-th smallest score, k = ceil((n + 1) * coverage), or why there is none.
 
     Only rows whose target date is at most val_end may be given.
     """
@@ -96,16 +125,16 @@ def conformal_fit(rows: DataFrame, val_end: str, coverage: float = 0.8, min_rows
     for v, t in TRANSFORMS.items():
         y, lo, hi = (forward(F.col(c), t) for c in ("target", "p10", "p90"))
         score = F.when(F.col("variable") == v, F.greatest(lo - y, y - hi)).otherwise(score if score is not None else F.lit(None))
-    cells = rows.filter("target is not null").groupBy("variable", bucket_of(F.col("horizon"), BUCKETS).alias("bucket"), obs_class(F.col("observable")).alias("obs_class"))
+    cells = rows.filter("target is not null").groupBy(*by, "variable", bucket_of(F.col("horizon"), BUCKETS).alias("bucket"), obs_class(F.col("observable")).alias("obs_class"))
     out = cells.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(score)).alias("_s"), F.max("_late").alias("_late"))
     k = F.ceil((F.col("n") + 1) * F.lit(coverage)).cast("int")
     why = F.when(F.col("_late"), F.raise_error(F.lit("rows after the validation period"))).when(F.col("n") < min_rows, f"fewer than {min_rows} calibration rows").when(k > F.col("n"), "coverage unattainable with n rows")
     return out.withColumn("reason", why).withColumn("q_adjust", F.when(F.col("reason").isNull(), F.get("_s", k - 1))).drop("_s", "_late")
 
 
-def conformal_apply(rows: DataFrame, fit: DataFrame) -> DataFrame:
+def conformal_apply(rows: DataFrame, fit: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Lower quantiles down and upper ones up by the cell's adjustment in transformed space, then in order again."""
-    keyed = rows.withColumns({"bucket": bucket_of(F.col("horizon"), BUCKETS), "obs_class": obs_class(F.col("observable"))}).join(fit.select("variable", "bucket", "obs_class", "q_adjust"), ["variable", "bucket", "obs_class"], "left")
+    keyed = rows.withColumns({"bucket": bucket_of(F.col("horizon"), BUCKETS), "obs_class": obs_class(F.col("observable"))}).join(fit.select(*by, "variable", "bucket", "obs_class", "q_adjust"), [*by, "variable", "bucket", "obs_class"], "left")
     moved: dict[str, Column] = {}
     for name in NAMES:
         sign = -1 if name in ("p05", "p10") else 1 if name in ("p90", "p95") else 0
@@ -176,3 +205,17 @@ def conformal_by(rows: DataFrame, keys: Sequence[str], coverage: float = 0.8) ->
     out = rows.filter("target is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(score)).alias("_s"))
     k = F.ceil((F.col("n") + 1) * F.lit(coverage)).cast("int")
     return out.filter(k <= F.col("n")).withColumn("q_adjust", F.get("_s", k - 1)).drop("_s")
+
+
+def apply_by_weather(rows: DataFrame, fits: DataFrame, variant: str = "A", fallback: str = "ORACLE") -> DataFrame:
+    """Rows of the variant adjusted by the fit of their weather, with fit_weather; other variants as they are.
+
+    Live weather takes the fit of weather as issued; a weather that has no fit takes the fallback's. fits: conformal_fit
+    by "weather".
+    """
+    wanted = F.when(F.col("weather") == "LIVE", "ASISSUED").otherwise(F.col("weather"))
+    known = fits.select(F.col("weather").alias("_want")).distinct().withColumn("_has", F.lit(True))
+    keyed = rows.withColumn("_want", wanted).join(known, "_want", "left").withColumn("fit_weather", F.when(F.col("_has"), F.col("_want")).otherwise(fallback)).drop("_want", "_has")
+    own = F.coalesce(F.col("variant") == variant, F.lit(False))
+    moved = conformal_apply(keyed.filter(own), fits.withColumnRenamed("weather", "fit_weather"), by=["fit_weather"])
+    return moved.unionByName(keyed.filter(~own).withColumn("fit_weather", F.lit(None).cast("string")), allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,6 +60,49 @@ def run(rows: DataFrame, effects: Sequence[float], names: Sequence[str], levels:
     return out.select("entity_id", "baseline_days", F.col("mean_days").alias("scenario_days"), low.alias("ci_low"), F.least(high, F.col("n_days").cast("double")).alias("ci_high"))
 
 
+def catalogue(levers: DataFrame, variables: Sequence[str], responses: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """Each lever by variable: coefficient and citation (null if none is known), verdict on the model's response, path.
+
+    responses: lever_id, variable, change; coefficients: lever_id, variable, coefficient, citation.
+    """
+    every = levers.withColumn("variable", F.explode(F.array(*map(F.lit, variables))))
+    met = every.join(responses.select("lever_id", "variable", "change"), ["lever_id", "variable"], "left").join(coefficients, ["lever_id", "variable"], "left")
+    met = met.withColumn("verdict", F.when(F.col("change").isNotNull(), response_verdict(F.col("change"), F.lit(1.0))))
+    return met.withColumn("path", path(F.col("verdict"), F.col("coefficient").isNotNull())).drop("change")
+
+
+def stored(applied: DataFrame, citations: DataFrame) -> DataFrame:
+    """Rows of the scenario store: by scenario, entity and variable the summed effect and the sorted citations of its levers.
+
+    applied: scenario_id, entity_id, variable, lever_id, effect; citations: lever_id, citation.
+    """
+    j = applied.join(citations, "lever_id", "left")
+    return j.groupBy("scenario_id", "entity_id", "variable").agg(F.sum("effect").alias("effect"), F.array_sort(F.collect_set("citation")).alias("citations"))
+
+
+def sensitivity(models: Mapping[str, object], rows: DataFrame, feature: str, delta: float, cap: float, key: str) -> DataFrame:
+    """variant, status, n, share_up, share_down, median_change: what a raised attribute does to each model's median, by entity.
+
+    The attribute is raised by delta, to cap at most; changes are averaged by entity_id before they are summed up. A model
+    that doesn't know the attribute gives a row with that status and nothing else.
+    """
+    from . import forest
+
+    out = None
+    for variant, model in models.items():
+        if feature not in model.features:
+            one = rows.sparkSession.range(1).select(F.lit(variant).alias("variant"), F.lit("NOT_A_FEATURE").alias("status"), F.lit(None).cast("long").alias("n"), *[F.lit(None).cast("double").alias(c) for c in ("share_up", "share_down", "median_change")])
+        else:
+            before = forest.predict(model, rows, key).select(key, F.col("p50").alias("_b"))
+            after = forest.predict(model, rows.withColumn(feature, F.least(F.col(feature) + delta, F.lit(cap))), key).select(key, F.col("p50").alias("_a"))
+            per = before.join(after, key).join(rows.select(key, "entity_id"), key).groupBy("entity_id").agg(F.avg(F.col("_a") - F.col("_b")).alias("d"))
+            share = lambda c: F.avg(c.cast("double"))
+            one = per.agg(F.count("*").alias("n"), share(F.col("d") > 0).alias("share_up"), share(F.col("d") < 0).alias("share_down"), F.percentile("d", F.lit(0.5)).alias("median_change"))
+            one = one.select(F.lit(variant).alias("variant"), F.lit("OK").alias("status"), "n", "share_up", "share_down", "median_change")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def tracked(train: DataFrame, rows: DataFrame, before: str, after: str) -> DataFrame:
     """By entity: rows that a lever leaves as they were, and rows that it moves out of the training range."""
     span = train.agg(F.min(before).alias("_lo"), F.max(before).alias("_hi")).withColumn("_k", F.lit(0))

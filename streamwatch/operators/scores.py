@@ -118,6 +118,22 @@ def two_groups(rows: DataFrame, group: str, value: str, least: int = 5) -> DataF
     return out.select("n_a", "n_b", (F.col("mean_a") - F.col("mean_b")).alias("mean_difference"), (F.col("median_a") - F.col("median_b")).alias("median_difference"), F.when(~few & (pooled > 0), (F.col("mean_a") - F.col("mean_b")) / pooled).alias("effect"), "mann_whitney_u", F.when(few, "TOO_FEW").otherwise("OK").alias("status"))
 
 
+def compared(rows: DataFrame, keys: Sequence[str], a: str, b: str, baseline: str, y: str = "target") -> DataFrame:
+    """Two forecasters (prefixes a and b of quantile columns) and a baseline on the same rows: scores, coverage, skill of b.
+
+    A skill is 1 - score / other score, null where the other is not positive.
+    """
+    t = F.col(y)
+    quantiles = lambda p: [F.col(p + n) for n in NAMES]
+    inside = lambda p: F.avg(t.between(F.col(p + "p10"), F.col(p + "p90")).cast("double"))
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(crps(t, quantiles(a))).alias("crps_a"), F.avg(crps(t, quantiles(b))).alias("crps_b"), F.avg(F.abs(t - F.col(baseline))).alias("mae_clim"),
+        inside(a).alias("coverage_a"), inside(b).alias("coverage_b"),
+    )
+    skill = lambda other: F.when(F.col(other) > 0, 1 - F.col("crps_b") / F.col(other))
+    return out.withColumns({"skill_a": skill("crps_a"), "skill_clim": skill("mae_clim")})
+
+
 def gate(scores: DataFrame, least_wins: int = 2) -> DataFrame:
     """Whether the challenger replaces the champion: CRPS wins in enough buckets and coverage no worse, for all variables."""
     s = scores.withColumn("_win", F.col("crps_b") < F.col("crps_a")).groupBy("variable").agg(F.count_if("_win").alias("wins"), F.avg(F.abs(F.col("coverage_b") - 0.8)).alias("_eb"), F.avg(F.abs(F.col("coverage_a") - 0.8)).alias("_ea"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from ..fixtures import FIT_END, VAL_END, table, view, with_views
 from ..operators import frame, probability, scenario, spatial
 from ..sources import payloads
-from .forecast_queries import BASE, SCORE, forecasts, tk1_priorities
+from .forecast_queries import BASE, SCORE, forecasts
 from .frame_queries import ENDS, HORIZONS, forest_rows, frame_of
 from .library_queries import DIST, SEGMENTS, _segments
-from .registry import ORACLES, query, rounded
+from .registry import query, rounded
 
 YEARS = (1997, 1998, 1999)
 
@@ -69,8 +69,3 @@ SELECT weather, variable, n, round(s[CAST(ceil((n + 1) * 0.8) AS INTEGER)], 6) +
 def pr10_fits_by_weather(spark, sf_dir):
     f = forecasts(spark, sf_dir).filter("fold = 'val'").withColumn("weather", F.when(F.col("entity_id") % 2 == 0, "ORACLE").otherwise("ASISSUED"))
     return rounded(probability.conformal_by(f, ["weather", "variable"]))
-
-
-@query(ORACLES["tk1_priorities"])
-def sq10_priorities(spark, sf_dir):
-    return tk1_priorities(spark, sf_dir)

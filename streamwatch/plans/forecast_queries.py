@@ -31,8 +31,8 @@ def cdf_sql(x: str) -> str:
     return out + " END"
 
 
-def crps_sql(y: str = "target") -> str:
-    return " + ".join(f"{2 * w!r} * (CASE WHEN {y} >= {n} THEN {l} * ({y} - {n}) ELSE {1 - l!r} * ({n} - {y}) END)" for n, l, w in zip(NAMES, LEVELS, scores.crps_weights(), strict=True))
+def crps_sql(y: str = "target", prefix: str = "") -> str:
+    return " + ".join(f"{2 * w!r} * (CASE WHEN {y} >= {prefix}{n} THEN {l} * ({y} - {prefix}{n}) ELSE {1 - l!r} * ({prefix}{n} - {y}) END)" for n, l, w in zip(NAMES, LEVELS, scores.crps_weights(), strict=True))
 
 
 EXC = f"""exc AS (SELECT fc.*, thr.threshold, 1 - ({cdf_sql('thr.threshold')}) AS exceedance_prob, fc.target > thr.threshold AS event FROM fc LEFT JOIN thr USING (entity_id, variable, season))"""
@@ -358,11 +358,14 @@ def wn11_most_severe(spark, sf_dir):
 WEIGHTS = {"AUTOMOBILE": 3.0, "BUILDING": 1.0, "FURNITURE": 0.5, "MACHINERY": 2.0}
 
 
-@query(with_views("v_obs", "v_reaches", "v_exposure", more=",\n".join([LONG, CLIM, FC, THR, EXC, WINDOW])) + """, ex AS (SELECT entity_id, sum(CASE feature_type WHEN 'AUTOMOBILE' THEN 3.0 WHEN 'BUILDING' THEN 1.0 WHEN 'FURNITURE' THEN 0.5 WHEN 'MACHINERY' THEN 2.0 ELSE 0.0 END * n_features) AS e FROM v_exposure GROUP BY entity_id),
+PRIORITY = """, ex AS (SELECT entity_id, sum(CASE feature_type WHEN 'AUTOMOBILE' THEN 3.0 WHEN 'BUILDING' THEN 1.0 WHEN 'FURNITURE' THEN 0.5 WHEN 'MACHINERY' THEN 2.0 ELSE 0.0 END * n_features) AS e FROM v_exposure GROUP BY entity_id),
 per AS (SELECT entity_id, variable, max(exceedance_prob) AS risk, avg(p90 - p10) AS width FROM win GROUP BY ALL), s AS (SELECT * FROM per WHERE risk IS NOT NULL AND width IS NOT NULL), k AS (SELECT s.*, ex.e FROM s JOIN ex USING (entity_id)),
 v AS (SELECT *, CASE WHEN max(width) OVER (PARTITION BY variable) > 0 THEN width / max(width) OVER (PARTITION BY variable) ELSE 0 END AS u, CASE WHEN max(e) OVER () > 0 THEN ln(1 + e) / ln(1 + max(e) OVER ()) ELSE 0 END AS w FROM k),
 b AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY u * risk DESC, variable) AS n FROM v), r AS (SELECT *, u * risk * w AS value, row_number() OVER (ORDER BY u * risk * w DESC, entity_id) AS rank FROM b WHERE n = 1)
-SELECT q.entity_id, r.variable, round(r.value, 6) + 0.0 AS information_value, CASE WHEN q.entity_id NOT IN (SELECT entity_id FROM win) THEN 'NO_FORECAST' WHEN q.entity_id NOT IN (SELECT entity_id FROM s) THEN 'NO_THRESHOLD' WHEN r.rank IS NULL THEN 'NO_EXPOSURE' END AS reason FROM v_reaches q LEFT JOIN r ON r.entity_id = q.entity_id""")
+SELECT q.entity_id, r.variable, round(r.value, 6) + 0.0 AS information_value, CASE WHEN q.entity_id NOT IN (SELECT entity_id FROM win) THEN 'NO_FORECAST' WHEN q.entity_id NOT IN (SELECT entity_id FROM s) THEN 'NO_THRESHOLD' WHEN r.rank IS NULL THEN 'NO_EXPOSURE' END AS reason FROM v_reaches q LEFT JOIN r ON r.entity_id = q.entity_id"""
+
+
+@query(with_views("v_obs", "v_reaches", "v_exposure", more=",\n".join([LONG, CLIM, FC, THR, EXC, WINDOW])) + PRIORITY)
 def tk1_priorities(spark, sf_dir):
     p = ranking.priorities(view(spark, sf_dir, "v_reaches"), _window(spark, sf_dir), view(spark, sf_dir, "v_exposure"), WEIGHTS)
     return rounded(p.select("entity_id", "variable", "information_value", "reason"))
@@ -380,24 +383,38 @@ def ag19_two_groups(spark, sf_dir):
     return rounded(scores.two_groups(f, "g", "target").select("n_a", "n_b", "mean_difference"))
 
 
-@query(BASE + f"""SELECT variable, bucket, round(avg({crps_sql()}), 6) + 0.0 AS crps_a, round(avg({crps_sql('target')}) * CASE bucket WHEN '1-3' THEN 0.9 ELSE 1.1 END, 6) + 0.0 AS crps_b FROM fc WHERE fold = 'val' GROUP BY variable, bucket""")
+MOVED = ", ".join(f"CASE WHEN assim_reason IS NOT NULL THEN {n} WHEN variable = 'ndci' THEN {n} + r0 * exp(-(target_date - obs_date) / 10.0) ELSE exp(ln(1 + {n}) + r0 * exp(-(target_date - obs_date) / 10.0)) - 1 END AS b_{n}" for n in NAMES)
+BLOCKS = ASSIM.rstrip() + f""", w AS (SELECT *, {MOVED} FROM z WHERE fold = 'val'), blocks AS (SELECT variable, bucket, count(*) AS n, avg({crps_sql()}) AS crps_a, avg({crps_sql(prefix="b_")}) AS crps_b, avg(abs(target - clim_mean)) AS mae_clim,
+avg(CASE WHEN target BETWEEN p10 AND p90 THEN 1.0 ELSE 0.0 END) AS coverage_a, avg(CASE WHEN target BETWEEN b_p10 AND b_p90 THEN 1.0 ELSE 0.0 END) AS coverage_b FROM w GROUP BY variable, bucket)
+"""
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forecast (a), the same with its last residual assimilated (b) and the climatological mean, on the same rows."""
+    f = forecasts(spark, sf_dir).filter("fold = 'val'")
+    own = f.select("entity_id", "variable", "target_date", *[F.col(n).alias(f"a_{n}") for n in NAMES])
+    rows = probability.assimilated(f, probability.residuals(f), 10.0).join(own, ["entity_id", "variable", "target_date"])
+    return scores.compared(rows, ["variable", "bucket"], "a_", "", "clim_mean")
+
+
+@query(BLOCKS + """SELECT variable, bucket, n, round(crps_a, 6) + 0.0 AS crps_a, round(crps_b, 6) + 0.0 AS crps_b, round(mae_clim, 6) + 0.0 AS mae_clim, round(coverage_a, 6) + 0.0 AS coverage_a, round(coverage_b, 6) + 0.0 AS coverage_b,
+round(CASE WHEN crps_a > 0 THEN 1 - crps_b / crps_a END, 6) + 0.0 AS skill_a, round(CASE WHEN mae_clim > 0 THEN 1 - crps_b / mae_clim END, 6) + 0.0 AS skill_clim FROM blocks""")
 def ag10_block_scores(spark, sf_dir):
-    g = forecasts(spark, sf_dir).filter("fold = 'val'").groupBy("variable", "bucket").agg(F.avg(scores.crps(F.col("target"), [F.col(n) for n in NAMES])).alias("crps_a"))
-    return rounded(g.withColumn("crps_b", F.col("crps_a") * F.when(F.col("bucket") == "1-3", 0.9).otherwise(1.1)))
+    return rounded(blocks(spark, sf_dir))
 
 
-@query()
+@query(BLOCKS + "SELECT variable, count(*) FILTER (WHERE crps_b < crps_a) AS wins, count(*) FILTER (WHERE crps_b < crps_a) >= 2 AND avg(abs(coverage_b - 0.8)) <= avg(abs(coverage_a - 0.8)) AS passed FROM blocks GROUP BY variable")
 def ag33_champion_gate(spark, sf_dir):
-    s = ag10_block_scores(spark, sf_dir).withColumns({"coverage_a": F.lit(0.78), "coverage_b": F.lit(0.79)})
-    return scores.gate(s)
+    return scores.gate(blocks(spark, sf_dir))
 
 
-@query(BASE + "SELECT entity_id, variable, target_date, min(horizon) AS horizon FROM (SELECT * FROM fc WHERE horizon <= 7 INTERSECT SELECT * FROM fc WHERE horizon >= 3) q GROUP BY ALL")
+@query(ASSIM.rstrip() + ",\n" + THR + ",\n" + EXC + " SELECT entity_id, variable, issued_date, target_date, horizon FROM z WHERE assim_reason IS NULL INTERSECT SELECT entity_id, variable, issued_date, target_date, horizon FROM exc WHERE threshold IS NOT NULL")
 def jn10_shared_rows(spark, sf_dir):
+    """Rows that both the assimilated forecast and the one with a threshold have."""
     f = forecasts(spark, sf_dir)
     keys = ["entity_id", "variable", "issued_date", "target_date", "horizon"]
-    shared = f.filter("horizon <= 7").select(*keys).intersect(f.filter("horizon >= 3").select(*keys))
-    return shared.groupBy("entity_id", "variable", "target_date").agg(F.min("horizon").alias("horizon"))
+    moved = probability.assimilated(f, probability.residuals(f), 10.0).filter("assim_reason is null")
+    return moved.select(*keys).intersect(exceedances(spark, sf_dir).filter("threshold is not null").select(*keys))
 
 
 @query(BASE + "SELECT f.entity_id, f.variable, f.target_date, round(f.target - f.p50, 6) + 0.0 AS residual FROM fc f WHERE f.horizon <= 5")

@@ -170,9 +170,13 @@ def wn6_as_issued(spark, sf_dir):
     return rounded(series.as_issued(d, d, issues, 5).select("issued", "horizon", "api_7", "precip_fut_cum"))
 
 
-@query(FULL + "SELECT entity_id, variable, fold, round(max(exceedance_prob), 6) + 0.0 AS peak, round(max(p90), 6) + 0.0 AS peak_p90 FROM exc GROUP BY entity_id, variable, fold")
+@query(FULL + """SELECT entity_id, variable, fold, round(max(exceedance_prob), 6) + 0.0 AS peak, round(max(p90), 6) + 0.0 AS peak_p90,
+coalesce(arg_min(target_date, (-round(exceedance_prob, 9), target_date)) FILTER (WHERE exceedance_prob IS NOT NULL), arg_min(target_date, (-round(p90, 9), target_date))) AS peak_date FROM exc GROUP BY entity_id, variable, fold""")
 def wn12_peaks(spark, sf_dir):
-    return rounded(exceedances(spark, sf_dir).groupBy("entity_id", "variable", "fold").agg(F.max("exceedance_prob").alias("peak"), F.max("p90").alias("peak_p90")))
+    """The largest probability and its first day; where none is known, the day of the largest P90."""
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct((-F.round(c, 9)).alias("o"), F.col("target_date").alias("d"))))["d"]
+    e = exceedances(spark, sf_dir).groupBy("entity_id", "variable", "fold")
+    return rounded(e.agg(F.max("exceedance_prob").alias("peak"), F.max("p90").alias("peak_p90"), F.coalesce(first("exceedance_prob"), first("p90")).alias("peak_date")))
 
 
 @query(with_views("v_reaches") + "SELECT entity_id, observable, CAST(row_number() OVER (ORDER BY observable DESC NULLS LAST, entity_id) AS INTEGER) AS place FROM v_reaches")

@@ -36,6 +36,27 @@ def zonal_intervals(payloads: DataFrame, column: str) -> tuple[DataFrame, DataFr
     return good, rows.filter(bad).select(*keep, "obs_date", F.col("_r.error").alias("error"))
 
 
+def bank_intervals(payloads: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """{"data": [{"from", "error", "outputs": {"px", "rx"}}], "failed": [{"from"}]} to days of the bank, failed days apart.
+
+    px holds sampleCount, noDataCount and the shares of cloud, usable and land pixels, rx the mean NDVI with 0 off the
+    land. A day without outputs has no data pixels and nothing else.
+    """
+    px = "struct<sampleCount: bigint, noDataCount: bigint, cloud: string, usable: string, land: string>"
+    schema = f"struct<data: array<struct<`from`: string, error: string, outputs: struct<px: {px}, rx: struct<mean: string>>>>, failed: array<struct<`from`: string>>>"
+    keep = [c for c in payloads.columns if c != column]
+    parsed = payloads.withColumn("_p", F.from_json(column, schema))
+    rows = parsed.withColumn("_r", F.explode("_p.data")).withColumn("obs_date", F.to_date("_r.from"))
+    bad, o = F.col("_r.error").isNotNull(), "_r.outputs"
+    there = F.col(f"{o}.px").isNotNull() & F.col(f"{o}.rx").isNotNull()
+    data = F.when(there, F.col(f"{o}.px.sampleCount") - F.col(f"{o}.px.noDataCount")).otherwise(0).cast("long")
+    part = lambda c: F.when(there, F.round(number(F.col(f"{o}.px.{c}")) * data)).cast("long")
+    ndvi = F.when(there & (part("land") > 0), number(F.col(f"{o}.rx.mean")) * data / part("land"))
+    good = rows.filter(~bad).select(*keep, "obs_date", data.alias("n_data"), part("cloud").alias("n_cloud"), part("usable").alias("n_usable"), part("land").alias("n_land"), ndvi.alias("ndvi"))
+    failed = rows.filter(bad).select(*keep, "obs_date").unionByName(parsed.select(*keep, F.explode("_p.failed.from").alias("_f")).select(*keep, F.to_date("_f").alias("obs_date")))
+    return good, failed
+
+
 def classify_tags(tags: Column, rules: Sequence[tuple[str, str | None, str]]) -> Column:
     """The class of the first rule (key, value or None for any, class) that a tag map meets."""
     out = F.lit(None).cast("string")
