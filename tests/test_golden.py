@@ -273,3 +273,71 @@ def test_order_query_against_a_walk(spark, sf):
 
     got = {r.entity_id: r.strahler_order for r in QUERIES["gr4_of_order"](spark, sf).collect()}
     assert got == {k: order(k) for k in ids if order(k) >= 2}
+
+
+def mixture(spark, rows):
+    return spark.createDataFrame(rows, "k int, mu array<double>, b array<double>, tau array<double>, pi array<double>")
+
+
+def test_mixture_mean_rescaled_and_ensemble(spark):
+    a = mixture(spark, [(1, [3.0, 5.0], [1.0, 1.0], [0.5, 0.5], [1.0, 3.0]), (2, [0.0], [2.0], [0.25], [1.0])])
+    columns = [F.col(c) for c in ("mu", "b", "tau", "pi")]
+    mean = lambda df: {r[0]: r[1] for r in df.select("k", probability.mixture_mean(*columns)).collect()}
+    assert close(mean(a).values(), [4.5, 2 * 0.5 / 0.1875])  # weights are normalised
+    assert close(mean(probability.rescaled(a, 10.0, 2.0)).values(), [19.0, 10 + 2 * 2 * 0.5 / 0.1875])
+    both = probability.ensemble([a, mixture(spark, [(1, [0.5], [1.0], [0.5], [2.0])])], "k")
+    assert mean(both) == {1: 2.5}  # key 2 has one member only
+    assert both.select(F.size("mu"), "pi").first() == (3, [0.125, 0.375, 0.5])
+    with pytest.raises(ValueError):
+        probability.rescaled(a, 0.0, 0.0)
+    with pytest.raises(ValueError):
+        probability.ensemble([], "k")
+
+
+def test_bank_intervals(spark):
+    px = '{"sampleCount": 11, "noDataCount": 1, "cloud": "0.2", "usable": "0.8", "land": "%s"}'
+    item = lambda day, land: '{"from": "2023-03-0%d", "outputs": {"px": %s, "rx": {"mean": "0.1"}}}' % (day, px % land)  # noqa: E731, UP031
+    text = '{"data": [%s, %s, {"from": "2023-03-03"}, {"from": "2023-03-04", "error": "x"}], "failed": [{"from": "2023-03-05"}]}' % (item(1, "0.5"), item(2, "0"))  # noqa: UP031
+    good, bad = payloads.bank_intervals(spark.createDataFrame([(1, text), (2, '{"data": []}')], "e int, p string"), "p")
+    assert [tuple(r)[2:] for r in good.orderBy("obs_date").collect()] == [(10, 2, 8, 5, 0.2), (10, 2, 8, 0, None), (0, None, None, None, None)]
+    assert [r.obs_date.day for r in bad.orderBy("obs_date").collect()] == [4, 5]
+
+
+def test_two_forecasters_and_a_baseline(spark):
+    names = probability.NAMES
+    row = lambda g, y, a, b, c: (g, y, *[a] * 7, *[b] * 7, c)
+    schema = "g string, target double, " + ", ".join(f"a_{n} double" for n in names) + ", " + ", ".join(f"b_{n} double" for n in names) + ", clim double"
+    df = spark.createDataFrame([row("x", 1.0, 3.0, 2.0, 5.0), row("x", 1.0, 3.0, 2.0, 5.0), row("y", 1.0, 1.0, 1.0, 1.0)], schema)
+    out = {r.g: r for r in scores.compared(df, ["g"], "a_", "b_", "clim").collect()}
+    assert out["x"].n == 2 and math.isclose(out["x"].skill_a, 0.5) and math.isclose(out["x"].crps_a, 2 * out["x"].crps_b) and out["x"].mae_clim == 4.0
+    assert (out["y"].skill_a, out["y"].skill_clim, out["y"].coverage_a) == (None, None, 1.0)
+
+
+def test_calibration_by_weather_falls_back(spark):
+    row = lambda v, w: ("ndci", v, w, 2, True, *[float(i) for i in range(7)])
+    rows = spark.createDataFrame([row("A", "ORACLE"), row("A", "LIVE"), row("A", "OTHER"), row("B", "LIVE")], "variable string, variant string, weather string, horizon int, observable boolean, " + ", ".join(f"{n} double" for n in probability.NAMES))
+    fits = lambda *w: spark.createDataFrame([(x, "ndci", "1-3", "observable", q) for x, q in w], "weather string, variable string, bucket string, obs_class string, q_adjust double")
+    got = lambda f: {(r.variant, r.weather): (r.fit_weather, r.p05, r.p95) for r in probability.apply_by_weather(rows, f).collect()}
+    assert got(fits(("ORACLE", 1.0), ("ASISSUED", 2.0))) == {("A", "ORACLE"): ("ORACLE", -1.0, 7.0), ("A", "LIVE"): ("ASISSUED", -2.0, 8.0), ("A", "OTHER"): ("ORACLE", -1.0, 7.0), ("B", "LIVE"): (None, 0.0, 6.0)}
+    assert got(fits(("ORACLE", 1.0)))["A", "LIVE"] == ("ORACLE", -1.0, 7.0)
+
+
+def test_sensitivity(spark):
+    rows = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 4).alias("entity_id"), (F.col("id") / 2.0).alias("x"), (F.col("id") % 7).cast("double").alias("z"), (F.col("id") * 3.0).alias("y"))
+    models = {"A": forest.fit(rows, ["x", "z"], "y"), "B": forest.fit(rows, ["z"], "y")}
+    out = {r.variant: r for r in scenario.sensitivity(models, rows, "x", 20.0, 100.0, "k").collect()}
+    assert (out["A"].status, out["A"].n, out["A"].share_up, out["A"].share_down) == ("OK", 4, 1.0, 0.0) and out["A"].median_change > 0
+    assert (out["B"].status, out["B"].n) == ("NOT_A_FEATURE", None)
+    still = scenario.sensitivity({"A": models["A"]}, rows, "x", 0.0, 100.0, "k").first()
+    assert (still.share_up, still.share_down, still.median_change) == (0.0, 0.0, 0.0)
+
+
+def test_catalogue_and_store(spark):
+    levers = spark.createDataFrame([(1, 5.0), (2, 6.0)], "lever_id int, cost double")
+    responses = spark.createDataFrame([(1, "v", 0.5), (2, "v", -0.5)], "lever_id int, variable string, change double")
+    known = spark.createDataFrame([(2, "v", 0.3, "c")], "lever_id int, variable string, coefficient double, citation string")
+    out = {(r.lever_id, r.variable): (r.verdict, r.path) for r in scenario.catalogue(levers, ["v", "w"], responses, known).collect()}
+    assert out == {(1, "v"): ("TRUSTED", "MODEL_PERTURBATION"), (2, "v"): ("WRONG_SIGN", "LITERATURE_DIRECT"), (1, "w"): (None, "NOT_ESTIMABLE"), (2, "w"): (None, "NOT_ESTIMABLE")}
+    applied = spark.createDataFrame([(7, 1, "v", 2, 0.1), (7, 1, "v", 2, 0.2), (7, 1, "v", 9, 0.3)], "scenario_id int, entity_id int, variable string, lever_id int, effect double")
+    row = scenario.stored(applied, known.select("lever_id", "citation")).first()
+    assert math.isclose(row.effect, 0.6) and row.citations == ["c"]
