@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, html_wrappers, kdtree, mixing, packing, pii, sharding, token_counts, toxicity, winnowing
+from . import chosen_path, filter_audit, html_wrappers, kdtree, language_id, mixing, packing, periodic_runs, pii, sharding, token_counts, toxicity, winnowing
 from .common import read
 
 COUNT_MODEL, PACK_MODEL = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -59,11 +59,24 @@ def op10_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract_pages(read(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_documents(read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_kd_tree_search, op2_personal_data, op3_stratified_shards, op4_chosen_path_join, op5_source_mix,
-        op6_token_counts, op7_cutting_stock_packing, op8_toxicity, op9_winnowing, op10_html_wrappers,
+        op6_token_counts, op7_cutting_stock_packing, op8_toxicity, op9_winnowing, op10_html_wrappers, op11_filter_audit,
+        op12_language_filters, op13_periodic_runs,
     )
 }
 
@@ -119,3 +132,42 @@ SELECT doc_id, size, source_size, target, source, weight,
        CAST(epochs * size + greatest(0, least(size, round(target) - epochs * source_size - before)) AS BIGINT) AS taken
 FROM p
 """
+
+ORACLES["op11_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+l AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, FALSE)) AS good, bool_or(coalesce(toxic = 1, FALSE)) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+),
+f AS (
+  SELECT d.part, l.good, l.toxic,
+         CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id
+),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY part, fails),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+),
+g AS (
+  SELECT part, filter_order, step, substr(filter_order, step, 1) AS letter, n, good, toxic, fails,
+         contains(fails, substr(filter_order, step, 1)) AS here, length(translate(substr(filter_order, 1, step - 1), fails, '')) < step - 1 AS gone
+  FROM m, o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step) s
+),
+r AS (
+  SELECT part, filter_order, step, letter,
+         CAST(coalesce(sum(n) FILTER (WHERE NOT here AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE here AND NOT gone), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (WHERE here AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (WHERE fails = letter), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (WHERE here AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (WHERE here AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM g GROUP BY part, filter_order, step, letter
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM r
+"""
