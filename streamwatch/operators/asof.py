@@ -49,7 +49,11 @@ def seasonal_naive(obs: DataFrame, targets: DataFrame, keys: Sequence[str], wind
     """
     width = 2 * window_days + 1
     bin_of = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / width)
-    years = targets.select(*keys, "issued_date", "target_date").distinct().withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(max_years))))
+    first = obs.groupBy(*keys).agg(F.min("obs_date").alias("_first"))
+    asked = targets.select(*keys, "issued_date", "target_date").distinct().join(first, list(keys))
+    # no year is looked at that ends before the key's first observation
+    back = F.least(F.lit(max_years), F.year("target_date") - F.year(F.date_sub("_first", window_days)) + 1)
+    years = asked.withColumn("_back", back).filter("_back >= 1").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_back")))).drop("_first", "_back")
     years = years.withColumn("_anchor", F.add_months("target_date", -12 * F.col("_k"))).withColumn("_bin", F.explode(F.sequence(bin_of(F.date_sub("_anchor", window_days)), bin_of(F.date_add("_anchor", window_days)))))
     right = obs.select(*keys, "obs_date", "value").withColumn("_bin", bin_of(F.col("obs_date")))
     met = years.join(right, [*keys, "_bin"]).filter((F.abs(F.datediff("obs_date", "_anchor")) <= window_days) & (F.col("obs_date") <= F.col("issued_date")))

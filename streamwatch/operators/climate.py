@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +30,52 @@ def seasonal_thresholds(obs: DataFrame, fit_end: str, share: float = 0.9, min_ob
     return limits.join(above, keys)
 
 
+def circular(doy: np.ndarray, values: np.ndarray, window: int, levels: Sequence[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, mean and exact percentiles [day, level] of the values within the window of each of 365 days on a circle."""
+    order = np.argsort(doy, kind="stable")
+    doy, values = doy[order], values[order]
+    around = np.concatenate([doy - 365, doy, doy + 365])
+    held = np.concatenate([values] * 3)
+    days = np.arange(1, 366)
+    first, last = np.searchsorted(around, days - window), np.searchsorted(around, days + window, side="right")
+    n = last - first
+    at = np.minimum(first[:, None] + np.arange(max(1, n.max())), len(held) - 1)
+    inside = np.arange(at.shape[1]) < n[:, None]
+    near = np.sort(np.where(inside, held[at], np.inf), axis=1)
+    some = np.maximum(n, 1)
+    mean = np.where(inside, held[at], 0.0).sum(axis=1) / some
+    place = (some - 1)[:, None] * np.asarray(levels)
+    low = np.floor(place).astype(np.int64)
+    a, b = np.take_along_axis(near, low, axis=1), np.take_along_axis(near, np.ceil(place).astype(np.int64), axis=1)
+    share = place - low
+    quantiles = np.where((share == 0) | (a == b), a, np.minimum(b, a + share * np.where(np.isfinite(b), b - a, 0.0)))
+    return n, mean, quantiles
+
+
 def climatology(obs: DataFrame, fit_end: str, window: int = 15, min_obs: int = 5, levels: Sequence[float] = LEVELS) -> DataFrame:
     """mean, quantiles and n for each day of year: fitting-period values within the window on a circle of 365 days.
 
-    Each observation goes to the days it counts for, so that targets meet them by an equi-join.
+    An entity's values of a variable are gathered once, and all its days' windows are sorted together, which is quicker
+    than to shuffle each value to the days it counts for. Days without a value are left out.
     """
-    doy = F.least(F.dayofyear("obs_date"), F.lit(365))
-    fit = obs.filter(F.col("obs_date") <= F.lit(fit_end).cast("date"))
-    slots = fit.withColumn("doy", F.explode(F.transform(F.sequence(F.lit(-window), F.lit(window)), lambda o: F.pmod(doy - 1 + o, F.lit(365)) + 1)))
-    out = slots.groupBy("entity_id", "variable", "doy").agg(F.count("value").alias("n_clim"), F.avg("value").alias("_m"), F.percentile("value", F.array(*[F.lit(l) for l in levels])).alias("_q"))
-    enough = F.col("n_clim") >= min_obs
-    return out.select("entity_id", "variable", "doy", "n_clim", F.when(enough, F.col("_m")).alias("clim_mean"), *[F.when(enough, F.col("_q")[i]).alias(n) for i, n in enumerate(NAMES[: len(levels)])])
+    if not 0 <= window <= 182:
+        raise ValueError("a window is at most half a year")
+    names = list(NAMES[: len(levels)])
+    fit = obs.filter((F.col("obs_date") <= F.lit(fit_end).cast("date")) & F.col("value").isNotNull())
+    fit = fit.select("entity_id", "variable", F.least(F.dayofyear("obs_date"), F.lit(365)).alias("doy"), F.col("value").cast("double").alias("value"))
+    # few bytes make much work here, so partitions aren't put together by size
+    fit = fit.repartition(int(obs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "entity_id", "variable")
+
+    def of_group(rows: pd.DataFrame) -> pd.DataFrame:
+        n, mean, quantiles = circular(rows["doy"].to_numpy(), rows["value"].to_numpy(), window, levels)
+        enough = n >= max(1, min_obs)
+        out = pd.DataFrame({"entity_id": rows["entity_id"].iloc[0], "variable": rows["variable"].iloc[0], "doy": np.arange(1, 366), "n_clim": n, "clim_mean": np.where(enough, mean, np.nan)})
+        out[names] = np.where(enough[:, None], quantiles, np.nan)
+        return out[n > 0]
+
+    types = dict(fit.dtypes)
+    made = fit.groupBy("entity_id", "variable").applyInPandas(of_group, f"entity_id {types['entity_id']}, variable {types['variable']}, doy int, n_clim long, " + ", ".join(f"{c} double" for c in ["clim_mean", *names]))
+    return made.select("entity_id", "variable", "doy", "n_clim", *[F.nanvl(c, F.lit(None)).alias(c) for c in ["clim_mean", *names]])
 
 
 def deseasonalised(obs: DataFrame, before: str) -> DataFrame:

@@ -13,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_between"
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """df from files in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
@@ -46,10 +46,10 @@ def downstream(starts: DataFrame, topology: DataFrame, hops: int) -> DataFrame:
 def outlets(topology: DataFrame, nodes: DataFrame) -> DataFrame:
     """entity_id, outlet_id, steps by pointer doubling; nodes of a cycle keep a null outlet."""
     first = topology.groupBy(F.col("upstream_id").alias("entity_id")).agg(F.min("downstream_id").alias("to"))
-    at = _cut(nodes.select("entity_id").distinct().join(first, "entity_id", "left").select("entity_id", F.coalesce("to", "entity_id").alias("to"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps")))
+    at = cut(nodes.select("entity_id").distinct().join(first, "entity_id", "left").select("entity_id", F.coalesce("to", "entity_id").alias("to"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps")))
     for _ in range(max(1, at.count()).bit_length() + 1):  # by then every walk is longer than any path
         nxt = at.select(F.col("entity_id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_s"))
-        new = _cut(at.join(nxt, "to").select("entity_id", F.col("_to").alias("to"), (F.col("steps") + F.col("_s")).alias("steps")))
+        new = cut(at.join(nxt, "to").select("entity_id", F.col("_to").alias("to"), (F.col("steps") + F.col("_s")).alias("steps")))
         done = new.join(at.select("entity_id", F.col("to").alias("old")), "entity_id").filter("old <> to").isEmpty()
         at = new
         if done:
@@ -74,16 +74,16 @@ def contributing(topology: DataFrame, nodes: DataFrame, amount: str) -> DataFram
     own = nodes.groupBy("entity_id").agg(F.sum(amount).alias("moving"), F.lit(True).alias("known"))
     passing = edges.select(F.col("upstream_id").alias("entity_id")).union(edges.select("downstream_id")).distinct().join(own, "entity_id", "left_anti")
     every = own.unionByName(passing.withColumn("known", F.lit(False)), allowMissingColumns=True)
-    every = _cut(every.join(into, "entity_id", "left").withColumn("waits", F.coalesce("waits", F.lit(0).cast("long"))))
+    every = cut(every.join(into, "entity_id", "left").withColumn("waits", F.coalesce("waits", F.lit(0).cast("long"))))
     ready, waiting, done = every.filter("waits = 0"), every.filter("waits > 0"), []
     for _ in range(every.count() + 1):  # each round makes one entity ready at least
         done.append(ready.select("entity_id", "moving", "known"))
         if len(done) > TOGETHER:
-            done = [_cut(reduce(DataFrame.unionByName, done))]
+            done = [cut(reduce(DataFrame.unionByName, done))]
         sent = ready.join(edges, ready["entity_id"] == edges["upstream_id"]).groupBy(F.col("downstream_id").alias("entity_id"))
         sent = sent.agg(F.sum("moving").alias("_m"), F.count("*").alias("_n"), F.max("known").alias("_k"))
         new = waiting.join(sent, "entity_id", "left")
-        new = _cut(new.select("entity_id", both("moving", "_m").alias("moving"), (F.col("known") | F.coalesce("_k", F.lit(False))).alias("known"), (F.col("waits") - F.coalesce("_n", F.lit(0))).alias("waits")))
+        new = cut(new.select("entity_id", both("moving", "_m").alias("moving"), (F.col("known") | F.coalesce("_k", F.lit(False))).alias("known"), (F.col("waits") - F.coalesce("_n", F.lit(0))).alias("waits")))
         ready, waiting = new.filter("waits = 0"), new.filter("waits > 0")
         if ready.isEmpty():
             break
@@ -99,15 +99,15 @@ def strahler(topology: DataFrame, nodes: DataFrame) -> DataFrame:
     An entity is ordered once all its inflows are; what a cycle keeps from that gets order 1 and cycle_broken.
     """
     into = topology.select(F.col("downstream_id").alias("entity_id"), "upstream_id")
-    done = _cut(nodes.select("entity_id").distinct().join(into, "entity_id", "left_anti").select("entity_id", F.lit(1).alias("strahler_order")))
+    done = cut(nodes.select("entity_id").distinct().join(into, "entity_id", "left_anti").select("entity_id", F.lit(1).alias("strahler_order")))
     for _ in range(done.count() + into.select("entity_id").distinct().count() + 1):  # each round orders one entity at least
         fed = into.join(done.select(F.col("entity_id").alias("upstream_id"), F.col("strahler_order").alias("o")), "upstream_id", "left").join(done, "entity_id", "left_anti")
         ready = fed.groupBy("entity_id").agg(F.max("o").alias("m"), F.count_if(F.col("o").isNull()).alias("waiting"), F.collect_list("o").alias("os")).filter("waiting = 0")
         new = ready.select("entity_id", (F.col("m") + F.when(F.size(F.filter("os", lambda x: x == F.col("m"))) > 1, 1).otherwise(0)).alias("strahler_order"))
-        new = _cut(new)
+        new = cut(new)
         if new.isEmpty():
             break
-        done = _cut(done.unionByName(new))
+        done = cut(done.unionByName(new))
     else:
         raise RuntimeError("levels didn't settle")
     return nodes.select("entity_id").distinct().join(done, "entity_id", "left").select("entity_id", F.coalesce("strahler_order", F.lit(1)).alias("strahler_order"), F.col("strahler_order").isNull().alias("cycle_broken"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _cut
+from .graph import cut
 
 
 def chains(topology: DataFrame) -> DataFrame:
@@ -20,10 +20,10 @@ def chains(topology: DataFrame) -> DataFrame:
     nodes = topology.select(F.col("upstream_id").alias("id")).union(topology.select("downstream_id")).distinct()
     plain = nodes.join(into, "id", "left").join(out, "id", "left").withColumn("plain", (F.coalesce("n_in", F.lit(0)) == 1) & (F.coalesce("n_out", F.lit(0)) <= 1))
     single = plain.join(out.select(F.col("id").alias("before"), F.col("n_out").alias("b_out")), "before", "left")
-    at = _cut(single.select("id", F.when(F.col("plain") & (F.col("b_out") == 1), F.col("before")).otherwise(F.col("id")).alias("to")).withColumn("steps", (F.col("id") != F.col("to")).cast("long")).withColumn("least", F.least("id", "to")))
+    at = cut(single.select("id", F.when(F.col("plain") & (F.col("b_out") == 1), F.col("before")).otherwise(F.col("id")).alias("to")).withColumn("steps", (F.col("id") != F.col("to")).cast("long")).withColumn("least", F.least("id", "to")))
     for _ in range(max(1, at.count()).bit_length() + 1):  # by then every walk is longer than any chain or ring
         nxt = at.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_s"), F.col("least").alias("_l"))
-        new = _cut(at.join(nxt, "to").select("id", F.col("_to").alias("to"), (F.col("steps") + F.col("_s")).alias("steps"), F.least("least", "_l").alias("least")))
+        new = cut(at.join(nxt, "to").select("id", F.col("_to").alias("to"), (F.col("steps") + F.col("_s")).alias("steps"), F.least("least", "_l").alias("least")))
         done = new.join(at.select("id", F.col("to").alias("old")), "id").filter("old <> to").isEmpty()
         at = new
         if done:

@@ -43,20 +43,40 @@ def skill(model: Column, base: Column) -> Column:
     return F.when(base > 0, 1 - model / base)
 
 
-def score_cube(rows: DataFrame) -> DataFrame:
-    """MAE of model and baselines on common rows, and skills, by fold and variable in five scopes (grouping sets)."""
-    common = rows.filter("target is not null and p50 is not null and naive is not null and clim_mean is not null")
-    sets = [["fold", "variable", "horizon"], ["fold", "variable", "bucket"], ["fold", "variable"], ["fold", "variable", "obs_class"], ["fold", "variable", "entity_id"]]
-    cols = ["fold", "variable", "horizon", "bucket", "obs_class", "entity_id"]
-    err = lambda c: F.avg(F.abs(F.col("target") - F.col(c)))
-    cube = common.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in cols]).agg(F.grouping_id().alias("gid"), F.count("*").alias("n"), err("p50").alias("mae"), err("naive").alias("mae_naive"), err("clim_mean").alias("mae_clim"))
-    return cube.withColumns({"skill_naive": skill(F.col("mae"), F.col("mae_naive")), "skill_clim": skill(F.col("mae"), F.col("mae_clim"))})
+#: Scopes of the score cube, each within fold and variable.
+SCOPES = (("horizon",), ("bucket",), (), ("obs_class",), ("entity_id",))
+SKILLS = ("skill_mae_naive", "skill_mae_clim", "skill_crps_naive", "skill_crps_clim")
+
+
+def score_cube(rows: DataFrame, within: Sequence[str] = ("fold", "variable"), scopes: Sequence[Sequence[str]] = SCOPES) -> DataFrame:
+    """Scores of a forecast and two baselines in all scopes at once (grouping sets): NAMES, naive, and clim_<name>.
+
+    n, mae_all, crps_all and coverage_80_all are over all rows with a target; what follows is over the rows on which all
+    three have a value (n_common), so that like is compared with like. The CRPS of the naive forecast, a point, is its MAE;
+    the climatology's is that of its own quantiles. A skill is 1 - score / baseline, null where the baseline isn't positive.
+    """
+    cols = list(dict.fromkeys(c for s in scopes for c in s))
+    t = F.col("target")
+    clim = [F.col(f"clim_{n}") for n in NAMES]
+    common = F.col("naive").isNotNull() & clim[0].isNotNull()
+    only = lambda c: F.when(common, c)
+    inside = lambda low, high: F.avg(t.between(F.col(low), F.col(high)).cast("double"))
+    inside_common = lambda low, high: F.avg(only(t.between(F.col(low), F.col(high)).cast("double")))
+    own = crps(t, [F.col(n) for n in NAMES])
+    known = rows.filter("target is not null and p50 is not null")
+    cube = known.groupingSets([[F.col(c) for c in (*within, *s)] for s in scopes], *[F.col(c) for c in (*within, *cols)]).agg(
+        F.grouping_id().alias("gid"), F.count("*").alias("n"), F.avg(F.abs(t - F.col("p50"))).alias("mae_all"), F.avg(own).alias("crps_all"), inside("p10", "p90").alias("coverage_80_all"),
+        F.count_if(common).alias("n_common"), F.avg(only(F.abs(t - F.col("p50")))).alias("mae"), F.avg(only(own)).alias("crps"), inside_common("p10", "p90").alias("coverage_80"),
+        F.avg(only(F.abs(t - F.col("naive")))).alias("mae_naive"), F.avg(only(F.abs(t - F.col("clim_p50")))).alias("mae_clim"), F.avg(only(crps(t, clim))).alias("crps_clim"), inside_common("clim_p10", "clim_p90").alias("coverage_80_clim"),
+    )
+    pairs = zip(SKILLS, ("mae", "mae", "crps", "crps"), ("mae_naive", "mae_clim", "mae_naive", "crps_clim"), strict=True)
+    return cube.withColumns({name: skill(F.col(a), F.col(b)) for name, a, b in pairs})
 
 
 def losses(cube: DataFrame) -> DataFrame:
-    """Every scope and baseline with negative skill."""
-    ids = [c for c in cube.columns if c in ("fold", "variable", "horizon", "bucket", "obs_class", "entity_id", "gid")]
-    return cube.unpivot(ids, ["skill_naive", "skill_clim"], "baseline", "skill").filter("skill < 0")
+    """Every scope, baseline and metric with negative skill: `comparison` names both, as in SKILLS."""
+    ids = [c for c in cube.columns if c in ("fold", "variable", "variant", "weather", "horizon", "bucket", "obs_class", "entity_id", "gid")]
+    return cube.unpivot(ids, list(SKILLS), "comparison", "skill").filter("skill < 0")
 
 
 def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:

@@ -42,8 +42,8 @@ FULL = with_views("v_obs", "v_reaches", more=",\n".join([LONG, CLIM, FC, THR, EX
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = long_obs(spark, sf_dir)
-    clim = climate.climatology(obs, FIT_END).filter("n_clim >= 5")
     t = obs.filter(F.col("obs_date") > F.lit(FIT_END).cast("date")).withColumn("doy", F.least(F.dayofyear("obs_date"), F.lit(365)))
+    clim = climate.climatology(obs, FIT_END).filter("n_clim >= 5")
     f = t.join(clim, ["entity_id", "variable", "doy"]).join(view(spark, sf_dir, "v_reaches").select("entity_id", "observable"), "entity_id")
     f = f.withColumns({"target_date": F.col("obs_date"), "target": F.col("value"), "horizon": (1 + (F.col("entity_id") + F.dayofyear("obs_date")) % 10).cast("int"), "fold": F.when(F.col("obs_date") <= F.lit(VAL_END).cast("date"), "val").otherwise("test")})
     f = f.withColumns({"issued_date": F.date_sub("target_date", F.col("horizon")), "bucket": scalar.bucket_of(F.col("horizon"), probability.BUCKETS), "obs_class": scalar.obs_class(F.col("observable")), "season": scalar.season(F.col("target_date"))})
@@ -138,24 +138,6 @@ def ag9_point_scores(spark, sf_dir):
     return rounded(forecasts(spark, sf_dir).groupBy("fold", "variable", "bucket").agg(*scores.point_scores()))
 
 
-NAIVE_FREE = """WITHNAIVE AS (SELECT fc.*, clim_mean + horizon / 100.0 AS naive FROM fc)"""
-
-
-@query(BASE.rstrip() + ",\n" + NAIVE_FREE + """
-SELECT fold, variable, horizon, bucket, obs_class, entity_id, n, round(mae, 6) + 0.0 AS mae, round(mae_naive, 6) + 0.0 AS mae_naive, round(mae_clim, 6) + 0.0 AS mae_clim, round(CASE WHEN mae_naive > 0 THEN 1 - mae / mae_naive END, 6) + 0.0 AS skill_naive, round(CASE WHEN mae_clim > 0 THEN 1 - mae / mae_clim END, 6) + 0.0 AS skill_clim
-FROM (SELECT fold, variable, horizon, bucket, obs_class, entity_id, count(*) AS n, avg(abs(target - p50)) AS mae, avg(abs(target - naive)) AS mae_naive, avg(abs(target - clim_mean)) AS mae_clim FROM WITHNAIVE
-GROUP BY GROUPING SETS ((fold, variable, horizon), (fold, variable, bucket), (fold, variable), (fold, variable, obs_class), (fold, variable, entity_id))) q""")
-def ag11_score_cube(spark, sf_dir):
-    rows = forecasts(spark, sf_dir).withColumn("naive", F.col("clim_mean") + F.col("horizon") / 100)
-    return rounded(scores.score_cube(rows).drop("gid"))
-
-
-@query()
-def ag12_losses(spark, sf_dir):
-    rows = forecasts(spark, sf_dir).withColumn("naive", F.col("clim_mean") + F.col("horizon") / 100)
-    return rounded(scores.losses(scores.score_cube(rows)))
-
-
 @query(BASE + """SELECT entity_id, variable, count(*) AS n, round(avg(abs(target - p50)), 6) + 0.0 AS mae, round(avg(abs(target - clim_mean)), 6) + 0.0 AS mae_clim FROM fc WHERE fold = 'test' GROUP BY entity_id, variable HAVING count(*) >= 5 AND avg(abs(target - p50)) > avg(abs(target - clim_mean)) + 1e-9""")
 def ag13_entity_losers(spark, sf_dir):
     g = forecasts(spark, sf_dir).filter("fold = 'test'").groupBy("entity_id", "variable").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("target") - F.col("p50"))).alias("mae"), F.avg(F.abs(F.col("target") - F.col("clim_mean"))).alias("mae_clim"))
@@ -408,6 +390,38 @@ def ag33_champion_gate(spark, sf_dir):
     return scores.gate(blocks(spark, sf_dir))
 
 
+#: The last residual assimilated (b_), the climatology's quantiles, and the value of the same season in earlier years.
+RIVALS = ASSIM.rstrip() + f""", w AS (SELECT *, {MOVED} FROM z), anchors AS (SELECT w.entity_id, w.variable, w.issued_date, w.target_date, k.k, CAST(w.target_date - to_years(CAST(k.k AS INTEGER)) AS DATE) AS anchor FROM (SELECT DISTINCT entity_id, variable, issued_date, target_date FROM w) w, generate_series(1, 15) k(k)),
+naive AS (SELECT a.entity_id, a.variable, a.issued_date, a.target_date, min_by(l.value, (a.k * 100000 + abs(l.obs_date - a.anchor) * 1000 + CASE WHEN l.obs_date <= a.anchor THEN 0 ELSE 1 END)) AS naive
+ FROM anchors a JOIN v_long l ON l.entity_id = a.entity_id AND l.variable = a.variable AND l.obs_date BETWEEN a.anchor - 7 AND a.anchor + 7 AND l.obs_date <= a.issued_date GROUP BY ALL),
+rivals AS (SELECT w.*, naive.naive FROM w LEFT JOIN naive USING (entity_id, variable, issued_date, target_date)),
+cube AS (SELECT fold, variable, horizon, bucket, obs_class, entity_id, count(*) AS n, avg(abs(target - b_p50)) AS mae_all, avg({crps_sql(prefix="b_")}) AS crps_all, avg(CASE WHEN target BETWEEN b_p10 AND b_p90 THEN 1.0 ELSE 0.0 END) AS coverage_80_all,
+ count(naive) AS n_common, avg(abs(target - b_p50)) FILTER (WHERE naive IS NOT NULL) AS mae, avg({crps_sql(prefix="b_")}) FILTER (WHERE naive IS NOT NULL) AS crps, avg(CASE WHEN target BETWEEN b_p10 AND b_p90 THEN 1.0 ELSE 0.0 END) FILTER (WHERE naive IS NOT NULL) AS coverage_80,
+ avg(abs(target - naive)) AS mae_naive, avg(abs(target - p50)) FILTER (WHERE naive IS NOT NULL) AS mae_clim, avg({crps_sql()}) FILTER (WHERE naive IS NOT NULL) AS crps_clim, avg(CASE WHEN target BETWEEN p10 AND p90 THEN 1.0 ELSE 0.0 END) FILTER (WHERE naive IS NOT NULL) AS coverage_80_clim
+ FROM rivals GROUP BY GROUPING SETS ((fold, variable, horizon), (fold, variable, bucket), (fold, variable), (fold, variable, obs_class), (fold, variable, entity_id))),
+skills AS (SELECT *, CASE WHEN mae_naive > 0 THEN 1 - mae / mae_naive END AS skill_mae_naive, CASE WHEN mae_clim > 0 THEN 1 - mae / mae_clim END AS skill_mae_clim, CASE WHEN mae_naive > 0 THEN 1 - crps / mae_naive END AS skill_crps_naive, CASE WHEN crps_clim > 0 THEN 1 - crps / crps_clim END AS skill_crps_clim FROM cube)
+"""
+SCOPE_KEYS = "fold, variable, horizon, bucket, obs_class, entity_id"
+
+
+def rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assimilated forecast with its baselines on each row: the climatology's quantiles (clim_) and the seasonal naive value."""
+    f = forecasts(spark, sf_dir)
+    own = f.select("entity_id", "variable", "issued_date", "target_date", *[F.col(n).alias(f"clim_{n}") for n in NAMES])
+    moved = probability.assimilated(f, probability.residuals(f), 10.0).join(own, ["entity_id", "variable", "issued_date", "target_date"])
+    return asof.seasonal_naive(long_obs(spark, sf_dir), moved, ["entity_id", "variable"])
+
+
+@query(RIVALS + f"SELECT {SCOPE_KEYS}, n, n_common, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("mae_all", "crps_all", "coverage_80_all", "mae", "crps", "coverage_80", "mae_naive", "mae_clim", "crps_clim", "coverage_80_clim", *scores.SKILLS)) + " FROM skills")
+def ag11_score_cube(spark, sf_dir):
+    return rounded(scores.score_cube(rivals(spark, sf_dir)).drop("gid"))
+
+
+@query(RIVALS + f"SELECT {SCOPE_KEYS}, comparison, round(skill, 6) + 0.0 AS skill FROM (UNPIVOT skills ON {', '.join(scores.SKILLS)} INTO NAME comparison VALUE skill) q WHERE skill < 0")
+def ag12_losses(spark, sf_dir):
+    return rounded(scores.losses(scores.score_cube(rivals(spark, sf_dir))).drop("gid"))
+
+
 @query(ASSIM.rstrip() + ",\n" + THR + ",\n" + EXC + " SELECT entity_id, variable, issued_date, target_date, horizon FROM z WHERE assim_reason IS NULL INTERSECT SELECT entity_id, variable, issued_date, target_date, horizon FROM exc WHERE threshold IS NOT NULL")
 def jn10_shared_rows(spark, sf_dir):
     """Rows that both the assimilated forecast and the one with a threshold have."""

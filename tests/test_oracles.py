@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from oracle import same
 
-from streamwatch.plans import extra_queries, forecast_queries, frame_queries, library_queries, more_queries, series_queries, serving_queries  # noqa: F401
+from streamwatch.plans import extra_queries, forecast_queries, frame_queries, library_queries, more_queries, run_queries, series_queries, serving_queries  # noqa: F401
 from streamwatch.plans.registry import ORACLES, QUERIES
 
 
