@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,23 +43,142 @@ def applicability(feature: Column, extent: Column) -> Column:
     return F.when(feature.isNull() | (feature <= 0), "NULL_OR_ZERO_FEATURE").when(extent > feature, "EXTENT_OVER_CURRENT")
 
 
-def run(rows: DataFrame, effects: Sequence[float], names: Sequence[str], levels: Sequence[float], coverage: float = 0.8, factor: float = 1.5) -> DataFrame:
-    """Expected exceedance days by entity, now and under each size of a direct effect, with a widened interval.
-
-    The interval is that of the equal mixture of the count distributions over the effects.
+def triangular(u: float, low: float, mode: float, high: float) -> float:
+    """The quantile u of a triangular distribution; the mode where its range is empty."""
+    if not 0 < u < 1 or not low <= mode <= high:
+        raise ValueError(f"no quantile {u} of ({low}, {mode}, {high})")
+    if high == low:
+        return mode
+    left = (mode - low) / (high - low)
+    return low + math.sqrt(u * (high - low) * (mode - low)) if u < left else high - math.sqrt((1 - u) * (high - low) * (high - mode))
+
+
+@dataclass(frozen=True)
+class Lever:
+    """A requested measure: how it changes a feature of the model (scale, treated or floor; magnitude with its range), or by
+    how much it lowers the forecast itself (direct), and the entities it is put on; `covered` is what share of an entity a
+    direct lever reaches. path: MODEL_PERTURBATION, LITERATURE_DIRECT or NOT_ESTIMABLE."""
+
+    lever_id: str
+    path: str
+    entities: tuple
+    feature: str | None = None
+    operation: str = "scale"
+    magnitude: float = 0.0
+    low: float = 0.0
+    high: float = 0.0
+    extent: float | None = None
+    covered: float = 1.0
+
+    def at(self, u: float | None) -> float:
+        return self.magnitude if u is None else triangular(u, self.low, self.magnitude, self.high)
+
+
+@dataclass(frozen=True)
+class ScenarioSettings:
+    samples: int = 9
+    coverage: float = 0.8
+    factor: float = 1.5
+    period_days: int | None = None
+
+
+def _moved(feature: Column, lever: Lever, size: float) -> Column:
+    """The feature under a lever of that size: scaled down, its treated extent brought down by the share, or raised to it."""
+    if lever.operation == "scale":
+        return feature * (1 - size)
+    if lever.operation == "treated":
+        return F.greatest(feature - F.lit(lever.extent or 0.0) * size, F.lit(0.0))
+    if lever.operation == "floor":
+        return F.greatest(feature, F.lit(size))
+    raise ValueError(f"no operation {lever.operation}")
+
+
+def _unfit(lever: Lever) -> Column:
+    """Why the lever can't be put on the entity: null where it can."""
+    if lever.feature is None:
+        return F.lit(None).cast("string")
+    return applicability(F.col(lever.feature), F.lit(lever.extent if lever.extent is not None else 0.0))
+
+
+def run_scenario(rows: DataFrame, levers: Sequence[Lever], features: Sequence[str], quantiles: Callable[[DataFrame], DataFrame], names: Sequence[str], levels: Sequence[float], settings: ScenarioSettings = ScenarioSettings()) -> DataFrame:  # noqa: B008
+    """Exceedance days of each entity over a period, as it is and under its levers: a row an entity.
+
+    rows: entity_id, target_date, threshold and features, one row an entity and day. quantiles adds `names` to rows, from the
+    features. All coefficient samples, the cited sizes and the present go through it in one pass. entity_id, status, reason,
+    days, complete (all its levers are estimated), no_change, baseline_days with its interval, scenario_days with its
+    interval, delta_days with its range over the samples, delta_pct.
+
+    INSUFFICIENT_EVIDENCE: MISSING_DAYS (not period_days days; any number where that is None), NO_THRESHOLD or NO_FORECAST on
+    some day. NOT_ESTIMABLE: NO_ESTIMABLE_LEVER (none, or none that can be put on the entity), or
+    BASELINE_INTERVAL_DEGENERATE, which has no room to widen. The scenario's interval is that of the equal mixture of the
+    samples' count distributions, widened by a factor of the larger of its own and the baseline's width. Raises for an entity
+    without a lever, a lever put twice on one, and repeated days.
     """
     from .probability import exceedance, pmf_interval, poisson_binomial
 
-    quantiles = [F.col(n) for n in names]
-    sampled = rows.withColumn("effect", F.explode(F.array(*[F.lit(float(e)) for e in effects])))
-    moved = [direct(q, F.col("effect"), F.lit(1.0)) for q in quantiles]
-    p = sampled.select("entity_id", "effect", exceedance(moved, levels, F.col("threshold")).alias("p"))
-    pmf = poisson_binomial(p, ["entity_id", "effect"], "p").groupBy("entity_id", "n_days").agg((F.sum("probability") / len(effects)).alias("probability"))
-    after = pmf_interval(pmf, ["entity_id"], coverage)
-    before = rows.groupBy("entity_id").agg(F.sum("exceedance_prob").alias("baseline_days"), F.count("exceedance_prob").alias("n_days"))
-    out = before.join(after, "entity_id")
-    low, high = widened(F.col("mean_days"), (F.col("high") - F.col("low")).cast("double"), factor, 0.0, 1e9)
-    return out.select("entity_id", "baseline_days", F.col("mean_days").alias("scenario_days"), low.alias("ci_low"), F.least(high, F.col("n_days").cast("double")).alias("ci_high"))
+    spark, s = rows.sparkSession, settings
+    pairs = [(lv.lever_id, e) for lv in levers for e in lv.entities]
+    if not pairs or len(set(pairs)) != len(pairs):
+        raise ValueError("a lever is put on an entity once, and there is one at least")
+    asked = sorted({e for _, e in pairs})
+    rows = rows.join(F.broadcast(spark.createDataFrame([(e,) for e in asked], f"entity_id {dict(rows.dtypes)['entity_id']}")), "entity_id").select("entity_id", "target_date", F.col("threshold").cast("double").alias("threshold"), *features)
+    if not rows.groupBy("entity_id", "target_date").count().filter("count > 1").isEmpty():
+        raise ValueError("a day of an entity is there twice")
+    on = {lv.lever_id: F.col("entity_id").isin(list(lv.entities)) for lv in levers}
+    fit = {lv.lever_id: on[lv.lever_id] & _unfit(lv).isNull() for lv in levers}
+    estimable = [lv for lv in levers if lv.path != "NOT_ESTIMABLE"]
+
+    def at(name: int, u: float | None, moved: bool) -> Column:
+        held = {f: F.col(f).cast("double") for f in features}
+        factor = F.lit(1.0)
+        for lv in estimable if moved else []:
+            if lv.path == "MODEL_PERTURBATION":
+                held[lv.feature] = F.when(fit[lv.lever_id], _moved(held[lv.feature], lv, lv.at(u))).otherwise(held[lv.feature])
+            else:
+                factor = factor * F.when(fit[lv.lever_id], 1 - lv.at(u) * lv.covered).otherwise(1.0)
+        same = F.lit(True)
+        for f in features:
+            same = same & held[f].eqNullSafe(F.col(f).cast("double"))
+        return F.struct(F.lit(name).alias("sample"), factor.alias("factor"), (same & (factor == 1)).alias("same"), *[c.alias(f) for f, c in held.items()])
+
+    # sample -2: as it is, -1: the cited sizes, 0 to samples - 1: the ranges' quantiles
+    variants = [at(-2, None, False), at(-1, None, True), *[at(k, (k + 0.5) / s.samples, True) for k in range(s.samples)]]
+    several = sum((fit[lv.lever_id].cast("int") for lv in estimable), F.lit(0))
+    requested = sum((on[lv.lever_id].cast("int") for lv in levers), F.lit(0))
+    each = rows.withColumns({"_estimated": F.coalesce(several, F.lit(0)), "_requested": requested}).withColumn("_v", F.explode(F.array(*variants))).select("entity_id", "target_date", "threshold", "_estimated", "_requested", "_v.*")
+    told = quantiles(each)
+    told = told.withColumn("p", exceedance([F.col(n) * F.col("factor") for n in names], levels, F.col("threshold"))).select("entity_id", "sample", "threshold", "_estimated", "_requested", "same", "p")
+    per = told.groupBy("entity_id").agg(
+        F.count_if(F.col("sample") == -2).alias("days"), F.count_if((F.col("sample") == -2) & F.col("threshold").isNull()).alias("_no_threshold"), F.count_if((F.col("sample") == -2) & F.col("p").isNull()).alias("_no_p"),
+        F.min("_estimated").alias("_estimated"), F.max("_requested").alias("_requested"), F.bool_and("same").alias("no_change"),
+        F.sum(F.when(F.col("sample") == -2, F.col("p"))).alias("baseline_days"), F.sum(F.when(F.col("sample") == -1, F.col("p"))).alias("scenario_days"),
+    )
+    sums = told.filter("sample >= -1").groupBy("entity_id", "sample").agg(F.sum("p").alias("s")).groupBy("entity_id").agg(F.min("s").alias("_least"), F.max("s").alias("_most"))
+    pmf = poisson_binomial(told.filter("sample <> -1").select("entity_id", "sample", "p"), ["entity_id", "sample"], "p")
+    now = pmf_interval(pmf.filter("sample = -2"), ["entity_id"], s.coverage).select("entity_id", F.col("low").cast("double").alias("baseline_low"), F.col("high").cast("double").alias("baseline_high"))
+    mixed = pmf.filter("sample >= 0").groupBy("entity_id", "n_days").agg((F.sum("probability") / s.samples).alias("probability"))
+    then = pmf_interval(mixed, ["entity_id"], s.coverage).select("entity_id", F.col("low").alias("_low"), F.col("high").alias("_high"))
+    out = per.join(sums, "entity_id").join(now, "entity_id").join(then, "entity_id")
+    wide = F.col("baseline_high") - F.col("baseline_low")
+    reason = F.when(F.lit(s.period_days is not None) & (F.col("days") != F.lit(s.period_days or 0)), "MISSING_DAYS").when(F.col("_no_threshold") > 0, "NO_THRESHOLD").when(F.col("_no_p") > 0, "NO_FORECAST")
+    reason = reason.when(F.col("_estimated") == 0, "NO_ESTIMABLE_LEVER").when((wide <= 0) | (wide >= F.col("days")), "BASELINE_INTERVAL_DEGENERATE")
+    out = out.withColumn("reason", reason)
+    out = out.withColumn("status", F.when(F.col("reason").isin("MISSING_DAYS", "NO_THRESHOLD", "NO_FORECAST"), "INSUFFICIENT_EVIDENCE").when(F.col("reason").isNotNull(), "NOT_ESTIMABLE").otherwise("OK"))
+    evident, ok = F.col("status") != "INSUFFICIENT_EVIDENCE", F.col("status") == "OK"
+    low, high = interval_about(F.col("scenario_days"), F.greatest((F.col("_high") - F.col("_low")).cast("double"), wide) * s.factor, F.col("days").cast("double"))
+    delta = F.col("scenario_days") - F.col("baseline_days")
+    return out.select(
+        "entity_id", "status", "reason", "days", (F.col("_estimated") == F.col("_requested")).alias("complete"), F.when(ok, F.col("no_change")).alias("no_change"),
+        *[F.when(evident, F.col(c)).alias(c) for c in ("baseline_days", "baseline_low", "baseline_high")], F.when(ok, F.col("scenario_days")).alias("scenario_days"), F.when(ok, low).alias("scenario_low"), F.when(ok, high).alias("scenario_high"),
+        F.when(ok, delta).alias("delta_days"), F.when(ok, F.col("_least") - F.col("baseline_days")).alias("delta_least"), F.when(ok, F.col("_most") - F.col("baseline_days")).alias("delta_most"), F.when(ok & (F.col("baseline_days") > 0), 100 * delta / F.col("baseline_days")).alias("delta_pct"),
+    )
+
+
+def interval_about(centre: Column, width: Column, most: Column) -> tuple[Column, Column]:
+    """An interval of that width about the centre, moved into 0 to `most` days, and no wider than that."""
+    held = F.least(width, most)
+    low = F.greatest(F.lit(0.0), F.least(most - held, centre - held / 2))
+    return low, low + held
 
 
 def catalogue(levers: DataFrame, variables: Sequence[str], responses: DataFrame, coefficients: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .climate import LEVELS, NAMES
@@ -106,36 +109,125 @@ def prf(det: DataFrame, ev: DataFrame, flag: str = "matched") -> DataFrame:
     return both.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
 
 
-def bootstrap(stats: DataFrame, replicates: int = 500, seed: int = 7) -> DataFrame:
-    """95 % interval of sum(num) / sum(den) when entities are drawn with replacement (Poisson weights, seeded hashes)."""
-    u = (F.pmod(F.xxhash64(F.col("entity_id"), F.col("r"), F.lit(seed)), F.lit(1 << 40)).cast("double") + 0.5) / F.lit(float(1 << 40))
-    weight = F.lit(0)
-    bound, term = 0.0, 0.36787944117144233
-    for k in range(8):
-        bound += term
-        weight = weight + F.when(u > bound, 1).otherwise(0)
-        term /= k + 1
-    drawn = stats.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
-    each = drawn.groupBy("r").agg((F.sum(F.col("num") * F.col("w")) / F.nullif(F.sum(F.col("den") * F.col("w")), F.lit(0))).alias("value"))
+#: Units whose draws one task makes at once, and replicates that it holds at once.
+UNITS, BLOCK = 1024, 250
+
+
+def resampled(units: DataFrame, keys: Sequence[str], sums: Sequence[str], replicates: int, seed: int, weight: str | None = None, per_bucket: int = UNITS) -> DataFrame:
+    """r and the sums of units drawn with replacement, as many as there are, `replicates` times: exact multinomial draws.
+
+    units: a row a unit, told apart by keys; one that stands for several equal ones has their number as weight. Units lie
+    in hash buckets. How many draws fall into each bucket is drawn first; a bucket then draws among its own units, so that
+    all draws together are one multinomial and no task holds all units. A null sum counts as 0; without units there is no row.
+    """
+    spark = units.sparkSession
+    known = units.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in sums], (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    count = known.count()
+    buckets = max(1, -(-count // per_bucket))
+    known = known.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    sizes = {r["_b"]: r["n"] for r in known.groupBy("_b").agg(F.sum("_w").alias("n")).collect()}  # a row a bucket
+    schema = "r int, " + ", ".join(f"{c} double" for c in sums)
+    if not sizes:
+        return spark.createDataFrame([], schema)
+    order = sorted(sizes)
+    n = sum(sizes.values())
+    drawn = np.random.default_rng(seed).multinomial(n, np.array([sizes[b] for b in order]) / n, size=replicates)
+    held = spark.sparkContext.broadcast({b: drawn[:, i] for i, b in enumerate(order)})  # replicates numbers a bucket
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(rows["_b"].iloc[0])
+        rows = rows.sort_values(list(keys))
+        rng, values = np.random.default_rng([seed, bucket]), rows[list(sums)].to_numpy()
+        p = rows["_w"].to_numpy() / rows["_w"].sum()
+        draws = held.value[bucket]
+        parts = [rng.multinomial(draws[i : i + BLOCK], p) @ values for i in range(0, len(draws), BLOCK)]
+        return pd.DataFrame(np.concatenate(parts), columns=list(sums)).assign(r=np.arange(len(draws), dtype=np.int32))[["r", *sums]]
+
+    return known.groupBy("_b").applyInPandas(draw, schema).groupBy("r").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def _interval(c: str) -> list[Column]:
+    return [F.percentile(c, F.lit(0.025)).alias(f"{c}_low"), F.percentile(c, F.lit(0.975)).alias(f"{c}_high")]
+
+
+def bootstrap(stats: DataFrame, replicates: int = 2000, seed: int = 7) -> DataFrame:
+    """95 % interval of sum(num) / sum(den) when entities are drawn with replacement."""
+    each = resampled(stats, ["entity_id"], ["num", "den"], replicates, seed).select((F.col("num") / F.nullif(F.col("den"), F.lit(0.0))).alias("value"))
     return each.agg(F.percentile("value", F.lit(0.025)).alias("low"), F.percentile("value", F.lit(0.975)).alias("high"))
 
 
-def two_groups(rows: DataFrame, group: str, value: str, least: int = 5) -> DataFrame:
-    """Difference of means and medians of groups a and b, pooled effect and Mann-Whitney U by average ranks."""
-    rows = rows.filter(F.col(value).isNotNull())
-    # ranks: counts of smaller and equal values, summed up over distinct values
-    tally = rows.groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == "a").alias("na"), F.count_if(F.col(group) == "b").alias("nb"), F.count("*").alias("n"))
-    from pyspark.sql import Window
+def bootstrap_prf(det: DataFrame, ev: DataFrame, replicates: int = 2000, seed: int = 7, flag: str = "matched") -> DataFrame:
+    """95 % intervals of precision, recall and F1 when entities are drawn with replacement, all three from the same draws.
 
-    below = F.coalesce(F.sum("nb").over(Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    u = tally.withColumn("_u", F.col("na") * (below + F.col("nb") / 2)).agg(F.sum("_u").alias("mann_whitney_u"))
+    det and ev: entity_id and whether each detection or event is matched. A draw where one is undefined doesn't count for it.
+    """
+    hit = F.coalesce(F.col(flag), F.lit(False)).cast("int")
+    zero = F.lit(0)
+    rows = det.select("entity_id", F.lit(1).alias("d"), hit.alias("dh"), zero.alias("e"), zero.alias("eh")).unionByName(ev.select("entity_id", zero.alias("d"), zero.alias("dh"), F.lit(1).alias("e"), hit.alias("eh")))
+    sums = ["d", "dh", "e", "eh"]
+    each = resampled(rows.groupBy("entity_id").agg(*[F.sum(c).alias(c) for c in sums]), ["entity_id"], sums, replicates, seed)
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    each = each.select(ratio("dh", "d").alias("precision"), ratio("eh", "e").alias("recall"))
+    each = each.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))))
+    return each.agg(*[c for m in ("precision", "recall", "f1") for c in _interval(m)])
+
+
+def mann_whitney(tally: DataFrame) -> DataFrame:
+    """U of group a, with ties counting half, and the two-sided p of its normal approximation, corrected for ties and continuity.
+
+    tally: v, na, nb, the distinct values with their numbers. Values lie in ranges; each range adds what lies below it, so
+    none is ordered in one task. p is null where all values are equal.
+    """
+    ranges = int(tally.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(tally.approxQuantile("v", [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col("v"))) if bounds else F.lit(0)
+    placed = tally.withColumn("_at", at)
+    totals = placed.groupBy("_at").agg(F.sum("nb").alias("_nb")).orderBy("_at").collect()  # a row a range
+    below, before = {}, 0
+    for r in totals:
+        below[r["_at"]] = before
+        before += r["_nb"]
+    if not below:
+        below = {0: 0}
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in below.items() for x in kv]), F.col("_at"))
+    inside = Window.partitionBy("_at").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = placed.withColumn("_below", F.coalesce(F.sum("nb").over(inside), F.lit(0)) + offset)
+    t = (F.col("na") + F.col("nb")).cast("double")
+    u = ranked.agg(F.sum(F.col("na") * (F.col("_below") + F.col("nb") / 2)).alias("mann_whitney_u"), F.sum("na").cast("double").alias("_a"), F.sum("nb").cast("double").alias("_b"), F.sum(t * t * t - t).alias("_t"))
+    n, middle = F.col("_a") + F.col("_b"), F.col("_a") * F.col("_b") / 2
+    spread = F.sqrt(F.col("_a") * F.col("_b") / 12 * (n + 1 - F.col("_t") / (n * (n - 1))))
+
+    @F.pandas_udf("double")
+    def tail(z: pd.Series) -> pd.Series:
+        return z.map(lambda x: min(1.0, math.erfc(x / math.sqrt(2))), na_action="ignore")
+
+    z = F.when((n > 1) & (spread > 0), (F.abs(F.col("mann_whitney_u") - middle) - 0.5) / spread)
+    return u.select("mann_whitney_u", tail(z).alias("mann_whitney_p"))
+
+
+def two_groups(rows: DataFrame, group: str, value: str, least: int = 5, replicates: int = 4000, seed: int = 0) -> DataFrame:
+    """Whether groups a and b differ: means' and medians' difference, a bootstrap interval of the former, the effect in
+    pooled standard deviations, Mann-Whitney U and p. One row; TOO_FEW where a side has fewer than `least` values, else SHIFT
+    where the interval leaves out 0, or NO_DETECTABLE_SHIFT.
+    """
+    rows = rows.filter(F.col(value).isNotNull() & F.col(group).isin("a", "b"))
     side = lambda g, f: f(F.when(F.col(group) == g, F.col(value)))
     mid = lambda c: F.percentile(c, F.lit(0.5))
-    s = rows.agg(*[side(g, f).alias(f"{n}_{g}") for g in "ab" for n, f in (("n", F.count), ("mean", F.avg), ("median", mid), ("var", F.var_samp))])
-    pooled = F.sqrt(((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n_a") + F.col("n_b") - 2))
-    out = s.withColumn("_k", F.lit(0)).join(u.withColumn("_k", F.lit(0)), "_k")
-    few = (F.col("n_a") < least) | (F.col("n_b") < least)
-    return out.select("n_a", "n_b", (F.col("mean_a") - F.col("mean_b")).alias("mean_difference"), (F.col("median_a") - F.col("median_b")).alias("median_difference"), F.when(~few & (pooled > 0), (F.col("mean_a") - F.col("mean_b")) / pooled).alias("effect"), "mann_whitney_u", F.when(few, "TOO_FEW").otherwise("OK").alias("status"))
+    s = rows.agg(*[side(g, f).alias(f"{n}_{g}") for g in "ab" for n, f in (("n", F.count), ("mean", F.avg), ("median", mid), ("var", F.var_samp))]).first()
+    few = min(s["n_a"], s["n_b"]) < least
+    told = {"n_a": s["n_a"], "n_b": s["n_b"], "mean_difference": None, "median_difference": None, "effect": None, "low": None, "high": None, "mann_whitney_u": None, "mann_whitney_p": None, "status": "TOO_FEW"}
+    if not few:
+        tally = rows.groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(F.col(group) == "a").alias("na"), F.count_if(F.col(group) == "b").alias("nb"))
+        means = {}
+        for k, g in enumerate("ab"):  # equal values are drawn as one, as often as they are
+            own = tally.filter(F.col(f"n{g}") > 0).withColumn("s", F.col("v"))
+            means[g] = resampled(own, ["v"], ["s"], replicates, 2 * seed + k, f"n{g}").select("r", (F.col("s") / s[f"n_{g}"]).alias(f"m{g}"))
+        low, high = means["a"].join(means["b"], "r").select((F.col("ma") - F.col("mb")).alias("d")).agg(F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))).first()[0]
+        pooled = math.sqrt((s["var_a"] + s["var_b"]) / 2)
+        u = mann_whitney(tally).first()
+        told |= {"mean_difference": s["mean_a"] - s["mean_b"], "median_difference": s["median_a"] - s["median_b"], "effect": (s["mean_a"] - s["mean_b"]) / pooled if pooled > 0 else None}
+        told |= {"low": low, "high": high, "mann_whitney_u": float(u[0]), "mann_whitney_p": u[1], "status": "SHIFT" if low > 0 or high < 0 else "NO_DETECTABLE_SHIFT"}
+    return rows.sparkSession.createDataFrame([tuple(told.values())], "n_a long, n_b long, mean_difference double, median_difference double, effect double, low double, high double, mann_whitney_u double, mann_whitney_p double, status string")
 
 
 def compared(rows: DataFrame, keys: Sequence[str], a: str, b: str, baseline: str, y: str = "target") -> DataFrame:

@@ -359,10 +359,20 @@ def ag18_bootstrap(spark, sf_dir):
     return rounded(scores.bootstrap(e))
 
 
-@query(BASE + """SELECT count(*) FILTER (WHERE fold = 'val') AS n_a, count(*) FILTER (WHERE fold = 'test') AS n_b, round(avg(CASE WHEN fold = 'val' THEN target END) - avg(CASE WHEN fold = 'test' THEN target END), 6) + 0.0 AS mean_difference FROM fc WHERE variable = 'ndci'""")
+@query(BASE.rstrip() + """, x AS (SELECT round(target, 9) AS v, fold = 'val' AS a FROM fc WHERE variable = 'ndci'), k AS (SELECT v, CAST(count(*) FILTER (WHERE a) AS DOUBLE) AS na, CAST(count(*) FILTER (WHERE NOT a) AS DOUBLE) AS nb FROM x GROUP BY v),
+u AS (SELECT sum(p.na * q.nb * CASE WHEN p.v > q.v THEN 1.0 WHEN p.v = q.v THEN 0.5 ELSE 0.0 END) AS u FROM k p, k q WHERE p.na > 0 AND q.nb > 0)
+SELECT count(*) FILTER (WHERE a) AS n_a, count(*) FILTER (WHERE NOT a) AS n_b, round(avg(v) FILTER (WHERE a) - avg(v) FILTER (WHERE NOT a), 6) + 0.0 AS mean_difference, round(quantile_cont(v, 0.5) FILTER (WHERE a) - quantile_cont(v, 0.5) FILTER (WHERE NOT a), 6) + 0.0 AS median_difference,
+round((avg(v) FILTER (WHERE a) - avg(v) FILTER (WHERE NOT a)) / sqrt((var_samp(v) FILTER (WHERE a) + var_samp(v) FILTER (WHERE NOT a)) / 2), 6) + 0.0 AS effect, round(any_value(u.u), 6) + 0.0 AS mann_whitney_u FROM x, u""")
 def ag19_two_groups(spark, sf_dir):
-    f = forecasts(spark, sf_dir).filter("variable = 'ndci'").withColumn("g", F.when(F.col("fold") == "val", "a").otherwise("b"))
-    return rounded(scores.two_groups(f, "g", "target").select("n_a", "n_b", "mean_difference"))
+    f = forecasts(spark, sf_dir).filter("variable = 'ndci'").withColumn("target", F.round("target", 9)).withColumn("g", F.when(F.col("fold") == "val", "a").otherwise("b"))
+    return rounded(scores.two_groups(f, "g", "target").select("n_a", "n_b", "mean_difference", "median_difference", "effect", "mann_whitney_u"))
+
+
+@query()
+def ag19_shift_interval(spark, sf_dir):
+    """The bootstrap interval, the p of the rank test and the verdict of the same comparison."""
+    f = forecasts(spark, sf_dir).filter("variable = 'ndci'").withColumn("target", F.round("target", 9)).withColumn("g", F.when(F.col("fold") == "val", "a").otherwise("b"))
+    return rounded(scores.two_groups(f, "g", "target").select("low", "high", "mann_whitney_p", "status"))
 
 
 MOVED = ", ".join(f"CASE WHEN assim_reason IS NOT NULL THEN {n} WHEN variable = 'ndci' THEN {n} + r0 * exp(-(target_date - obs_date) / 10.0) ELSE exp(ln(1 + {n}) + r0 * exp(-(target_date - obs_date) / 10.0)) - 1 END AS b_{n}" for n in NAMES)

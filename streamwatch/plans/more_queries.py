@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..fixtures import FIT_END, table, view, with_views
 from ..functions import scalar
-from ..operators import calibration, climate, graph, guardrails, network, probability, scenario, scores, series
+from ..operators import anomaly, calibration, climate, graph, guardrails, network, probability, scenario, scores, series
 from ..sources import payloads, sinks
 from ..streaming import daily as streaming
-from .forecast_queries import ASSIM, BASE, FULL, ISSUED, LABELLED, NAMES, RUN, _window, alert_run, exceedances, forecasts, labelled, thresholds
+from .forecast_queries import ASSIM, BASE, FULL, ISSUED, LABELLED, MATCH, NAMES, RUN, _window, alert_run, exceedances, forecasts, labelled, thresholds
 from .library_queries import _segments, _ways
 from .registry import query, rounded
 from .series_queries import CLIM, DENSE, LONG, SEASON_SQL, long_obs
@@ -241,9 +241,27 @@ def fr16_head_to_head_counts(spark, sf_dir):
     return a.groupBy("fold", "variable", F.coalesce("assim_reason", F.lit("ASSIMILATED")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(FULL.rstrip() + ",\n" + LABELLED + "\nSELECT entity_id, variable, target_date, round(pit, 6) + 0.0 AS pit, label FROM lab WHERE fold = 'test' AND label <> 'NORMAL'")
+PER_VARIABLE = MATCH.split(",\ndet AS (")[0] + """,
+det AS (SELECT variable, entity_id, target_date AS date FROM lab WHERE label = 'UNEXPLAINED'), ev AS (SELECT variable, entity_id, target_date AS date FROM exc WHERE event),
+hits AS (SELECT ev.variable, ev.entity_id AS e, ev.date AS ed, det.entity_id AS d, det.date AS dd FROM ev JOIN reach ON reach.s = ev.entity_id JOIN det ON det.variable = ev.variable AND det.entity_id = reach.d AND abs(det.date - ev.date) <= 3),
+quiet AS (SELECT a.variable, a.entity_id, a.target_date, min(CASE WHEN b.label <> 'UNEXPLAINED' AND NOT b.pit > 0.975 THEN 1 ELSE 0 END) AS q FROM lab a JOIN v_topology t ON t.downstream_id = a.entity_id JOIN lab b ON b.entity_id = t.upstream_id AND b.variable = a.variable AND b.target_date = a.target_date WHERE a.label = 'UNEXPLAINED' GROUP BY ALL),
+p AS (SELECT variable, count(*) AS detections, avg(CASE WHEN EXISTS (SELECT 1 FROM hits WHERE hits.variable = det.variable AND d = entity_id AND dd = date) THEN 1.0 ELSE 0.0 END) AS p FROM det GROUP BY variable),
+r AS (SELECT variable, count(*) AS events, avg(CASE WHEN EXISTS (SELECT 1 FROM hits WHERE hits.variable = ev.variable AND e = entity_id AND ed = date) THEN 1.0 ELSE 0.0 END) AS r FROM ev GROUP BY variable),
+n AS (SELECT variable, count(*) FILTER (WHERE label = 'NORMAL') AS normal, count(*) FILTER (WHERE label = 'WEATHER_EXPLAINED') AS weather_explained FROM lab GROUP BY variable), l AS (SELECT variable, count(*) FILTER (WHERE q = 1) AS localised FROM quiet GROUP BY variable)
+"""
+
+
+@query(PER_VARIABLE + """SELECT n.variable, n.normal, n.weather_explained, coalesce(p.detections, 0) AS detections, coalesce(r.events, 0) AS events, coalesce(l.localised, 0) AS localised, round(p.p, 6) + 0.0 AS "precision", round(r.r, 6) + 0.0 AS recall, round(CASE WHEN p.p + r.r > 0 THEN 2 * p.p * r.r / (p.p + r.r) END, 6) + 0.0 AS f1
+FROM n LEFT JOIN p USING (variable) LEFT JOIN r USING (variable) LEFT JOIN l USING (variable)""")
 def fr17_anomaly_run(spark, sf_dir):
-    return rounded(labelled(spark, sf_dir).filter("fold = 'test' and label <> 'NORMAL'").select("entity_id", "variable", "target_date", "pit", "label"))
+    """The whole run by variable: labels, detections localised and matched to proxy events, precision, recall and F1."""
+    return rounded(anomaly.run(graph.cut(labelled(spark, sf_dir)), view(spark, sf_dir, "v_topology"), replicates=0))
+
+
+@query()
+def fr17_anomaly_intervals(spark, sf_dir):
+    """The same with 95 % intervals of 2,000 draws of entities."""
+    return rounded(anomaly.run(graph.cut(labelled(spark, sf_dir)), view(spark, sf_dir, "v_topology")))
 
 
 @query(BASE + "SELECT fold, variable, count(*) AS n, round(avg(abs(target - clim_mean)), 6) + 0.0 AS mae_clim FROM fc GROUP BY fold, variable")
@@ -315,13 +333,6 @@ def sc7_paths(spark, sf_dir):
     return p.select("p_partkey", "verdict", scenario.path(F.col("verdict"), F.col("p_partkey") % 2 == 0).alias("path"))
 
 
-@query()
-def sc8_scenario_run(spark, sf_dir):
-    """Expected exceedance days before and under a direct effect of several sizes, with the interval of the mixture."""
-    e = exceedances(spark, sf_dir).filter("fold = 'test' and variable = 'turbidity_proxy' and threshold is not null")
-    return rounded(scenario.run(e, [0.1, 0.2, 0.3], NAMES, climate.LEVELS))
-
-
 # --- serving -----------------------------------------------------------------------------------------------------------
 
 
