@@ -447,10 +447,11 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     Rows of a null id and texts without words all stay. Of rows equal in every column one stays. Unlike texts of one
     doc_id are classes of their own, so one of each stays. Columns are those of docs.
     """
-    names = docs.columns
-    keyed = docs.withColumn("_row", F.xxhash64(*[F.struct(F.col(f"`{c}`")) for c in names]))
+    # a row is one column, so that none of its own meets a name used here
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select("doc_id", "text", F.xxhash64(*[F.struct(F.col(f"`{c}`")) for c in docs.columns]).alias("_row"), whole.alias("_doc"))
     rows = join_rows(keyed.select("doc_id", "text", "_row"), **settings).filter("class_set is not null")
     first = rows.groupBy("class_set").agg(F.min(F.struct("doc_id", "row")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.row").alias("_row")).distinct()
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     kept = keyed.filter(~alone).withColumn("_id", F.col("doc_id").cast("long")).join(first, ["_id", "_row"]).dropDuplicates(["_id", "_row"])
-    return kept.select(*names).unionByName(docs.filter(alone))
+    return kept.select("_doc.*").unionByName(docs.filter(alone))

@@ -171,13 +171,15 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     A later kind is looked for in what the earlier ones left. Null texts stay null; n_chars, if there, follows the text.
     """
     names = docs.columns
-    df = docs.withColumn("_pii_text", F.coalesce(F.col(text), F.lit("")))
+    # the row is one column, so that none of its own is overwritten, whatever it is called
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_pii_row"), F.coalesce(F.col(text), F.lit("")).alias("_pii_text"))
     for kind in KINDS:
         df = with_matches(df, "_pii_text", kind, "_pii_")
         df = df.withColumn("_pii_k", kept(kind, "_pii_"))
         m, p, k = F.col(f"_pii_m_{kind.name}"), F.col(f"_pii_p_{kind.name}"), F.col("_pii_k")
         parts = F.transform(m, lambda x, i: F.concat(F.get(p, i), F.when(F.get(k, i), F.lit(f"[{kind.name.upper()}]")).otherwise(x)))
         df = df.withColumn("_pii_text", F.when(F.exists(k, lambda x: x), F.concat(F.array_join(parts, ""), F.element_at(p, -1))).otherwise(F.col("_pii_text")))
-    new = F.when(F.col(text).isNotNull(), F.col("_pii_text"))
-    values = {text: new} | ({"n_chars": F.when(new.isNotNull(), F.length(new)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
-    return df.select(*[values.get(c, F.col(f"`{c}`")).alias(c) for c in names])
+    own = lambda c: F.col("_pii_row").getField(c)
+    new = F.when(own(text).isNotNull(), F.col("_pii_text"))
+    values = {text: new} | ({"n_chars": F.when(new.isNotNull(), F.length(new)).otherwise(own("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in names else {})
+    return df.select(*[values.get(c, own(c)).alias(c) for c in names])

@@ -264,7 +264,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = SAMP
     few = [ids.filter(F.col("label") == y).orderBy("h", "doc_id").limit(per_label[y]) for y in (0, 1)]
     chosen = F.broadcast(few[0].unionByName(few[1]).select("doc_id", "label"))  # at most sum(per_label) ids
     share = marked.agg(F.avg("label")).first()[0]
-    return short.select("doc_id", "text").join(chosen, "doc_id").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id"), share
+    # an id of many rows brings its least text only
+    rows = short.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    return rows.toPandas().sort_values("doc_id")[["doc_id", "text", "label"]], share
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), per_label: tuple[int, int] = SAMPLE) -> Model | None:  # noqa: B008

@@ -64,3 +64,28 @@ def test_unlike_texts_of_one_id_and_clashing_names_stay(spark, sf):
     by = dict(STAGES)
     assert sorted(map(tuple, by["toxicity"](spark, docs, sf).collect())) == sorted(map(tuple, docs.collect()))
     assert sorted(map(tuple, by["n-gram Jaccard join"](spark, docs, sf).collect())) == [(1, a, "s", 7.0), (1, b, "s", 7.0)]
+
+
+INTERNAL = (
+    "_id _row _doc _h _k _key _p _to _pii_text _pii_row _pii_k _pii_m_email _pii_p_email _toxicity _w _d _b _n _v _s id row a b k h key label score share size weight words text_ copies class_id "
+    "class_set copy_id n_links epochs before target taken source_size bucket spans start length sequence_id offset"
+).split()
+
+
+def test_stages_with_columns_of_every_internal_name_and_one_id_of_many_rows(spark, sf):
+    """Each row's other columns come through unchanged, and a hundred thousand rows of one id are one document."""
+    from pyspark.sql import functions as F
+
+    text = lambda seed: " ".join(f"{seed}{i % 37}" for i in range(60))
+    few = spark.createDataFrame([(i, text(chr(97 + i)) + f" mail me{i}@b.example now") for i in range(8)], "doc_id long, text string")
+    many = spark.range(100_000, numPartitions=4).select(F.lit(900).cast("long").alias("doc_id"), F.lit(text("z")).alias("text"))
+    docs = few.unionByName(many).select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), *[F.lit(f"own {c}").alias(c) for c in INTERNAL])
+    for name, stage in STAGES[:-1]:
+        new = stage(spark, docs, sf)
+        assert new.columns == docs.columns, name
+        new = new.cache()
+        assert {r.doc_id for r in new.select("doc_id").distinct().collect()} == {*range(8), 900}, name
+        assert new.filter(" or ".join(f"`{c}` <> 'own {c}' or `{c}` is null" for c in INTERNAL)).count() == 0, name
+        docs = new
+    assert docs.filter("text like '%@%'").count() == 0
+    assert {r.doc_id for r in STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().collect()} == {*range(8), 900}
