@@ -33,13 +33,21 @@ from .common import cut
 SLOT = "#"
 #: Elements of HTML by their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option button".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object canvas select datalist button annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+#: Formulas stand in running text.
+INLINE |= frozenset("math mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 CHROME = frozenset("nav aside footer form dialog menu head".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu nav navbar navigation newsletter notice notices pagination popup "
     "promo promoted recommended related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: What a name may say besides, about a part's form or place. A name of other words isn't one of a menu or the like by itself.
+PART_WORDS = frozenset(
+    "area article articles bar block blocks body bottom box btn button buttons card cards col column container content count entry fixed float foot form group head heading hidden holder icon icons inner item items "
+    "left legal lg link links list main md mobile modal module new overlay outer page pane panel post posts primary region right row secondary section site slot sm sticky story stories strip tags text thread title "
+    "tools top unit ul user view wrap wrapper xl".split()
+)
 #: Of these, the ones that an article may have inside.
 HEAD_WORDS = frozenset("banner header masthead".split())
 MAIN = frozenset("article main".split())
@@ -284,45 +292,55 @@ def aligned(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
     left, right = a[begin : len(a) - ends], b[begin : len(b) - ends]
     if not left or not right:
         return pairs
-    if len(left) * len(right) > CELLS:  # by the next element of the same name on either side
-        return pairs[:begin] + [(i + begin, j + begin) for i, j in _in_order(left, right)] + pairs[begin:]
-    columns: dict[str, np.ndarray] = {}
+    return pairs[:begin] + [(i + begin, j + begin) for i, j in _best(left, right)] + pairs[begin:]
+
+
+def _gains(left: list[Node], right: list[Node]) -> Iterator[np.ndarray]:
+    """Likenesses of each node on the left to all on the right."""
+    columns: dict[str, list[int]] = {}
     for j, x in enumerate(right):
         columns.setdefault(x.label, []).append(j)
-    table = np.zeros((len(left) + 1, len(right) + 1), dtype=np.float32)
-    gain = np.zeros(len(right), dtype=np.float32)
-    gains = []
-    for i, x in enumerate(left):
+    for x in left:
         gain = np.zeros(len(right), dtype=np.float32)
         for j in columns.get(x.label, ()):
             gain[j] = likeness(x, right[j])
-        gains.append(gain)
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], np.where(gain > 0, table[i, :-1] + gain, 0)))
-    i, j, middle = len(left), len(right), []
+        yield gain
+
+
+def _next(row: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The row of the alignment's table after one more node on the left."""
+    return np.concatenate([row[:1], np.maximum.accumulate(np.maximum(row[1:], np.where(gain > 0, row[:-1] + gain, 0)))])
+
+
+def _best(left: list[Node], right: list[Node]) -> list[tuple[int, int]]:
+    """Pairs of the greatest sum. Where the table would have more than CELLS cells, the left half's last row and the right
+    half's first one tell where to part the right side, so that memory grows with the lists, not with their product."""
+    if not left or not right:
+        return []
+    if len(left) > 1 and len(left) * len(right) > CELLS:
+        middle = len(left) // 2
+        rows = []
+        for one, other in ((left[:middle], right), (left[middle:][::-1], right[::-1])):
+            row = np.zeros(len(other) + 1, dtype=np.float32)
+            for gain in _gains(one, other):
+                row = _next(row, gain)
+            rows.append(row)
+        at = int(np.argmax(rows[0] + rows[1][::-1]))
+        return _best(left[:middle], right[:at]) + [(i + middle, j + at) for i, j in _best(left[middle:], right[at:])]
+    gains = list(_gains(left, right))
+    table = [np.zeros(len(right) + 1, dtype=np.float32)]
+    for gain in gains:
+        table.append(_next(table[-1], gain))
+    i, j, out = len(left), len(right), []
     while i and j:
-        if gains[i - 1][j - 1] > 0 and table[i, j] == table[i - 1, j - 1] + gains[i - 1][j - 1]:
+        if gains[i - 1][j - 1] > 0 and table[i][j] == table[i - 1][j - 1] + gains[i - 1][j - 1]:
             i, j = i - 1, j - 1
-            middle.append((i + begin, j + begin))
-        elif table[i - 1, j] >= table[i, j - 1]:
+            out.append((i, j))
+        elif table[i - 1][j] >= table[i][j - 1]:
             i -= 1
         else:
             j -= 1
-    return pairs[:begin] + middle[::-1] + pairs[begin:]
-
-
-def _in_order(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
-    places: dict[str, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        places.setdefault(b[j].label, []).append(j)
-    out, at = [], 0
-    for i, x in enumerate(a):
-        free = places.get(x.label, [])
-        while free and free[-1] < at:
-            free.pop()
-        if free and free[-1] - at <= len(b) - len(a) + 64 + i:
-            at = free.pop() + 1
-            out.append((i, at - 1))
-    return out
+    return out[::-1]
 
 
 def _sum(a: tuple | None, b: tuple | None) -> tuple | None:
@@ -422,21 +440,49 @@ def _mark(label: str) -> int:
 
 
 @lru_cache(maxsize=1 << 16)
-def _chrome(label: str, inside: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comments."""
+def _chrome(label: str, inside: bool) -> int:
+    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comments: 3 if its tag alone says so,
+    2 if its tag or its whole name does, but it may be what the page is built in, 1 if its name does among other words."""
     name, *words = label.split(".")
-    marked = set() if name in ("html", "body") or _mark(label) else CHROME_WORDS & set(words) - (HEAD_WORDS if inside else set())
-    return name in CHROME or bool(marked) or (name == "header" and not inside)
-
-
-def placed(page: Node) -> tuple[list[Node], dict[int, int], dict[int, bool]]:
-    """The nodes in order, and for each (by id) its mark and whether it lies in a menu or the like."""
+    if name in CHROME - {"form"} or (name == "header" and not inside):
+        return 3
+    if name == "form":
+        return 2
+    if name in ("html", "body") or _mark(label) or not CHROME_WORDS & set(words) - (HEAD_WORDS if inside else set()):
+        return 0
+    return 2 if set(words) <= CHROME_WORDS | PART_WORDS else 1
+
+
+def placed(page: Node, texts: Sequence[str], linked: Sequence[int]) -> tuple[list[Node], dict[int, int], dict[int, bool]]:
+    """The nodes in order, and for each (by id) its mark and whether it lies in a menu or the like.
+
+    A name never takes away what the page is about: an element that holds most of the text in article elements, else main
+    ones, is no menu, nor one that holds most of all text and a heading where there are none; and one whose name has other
+    words besides isn't where most of its text isn't linked. Only elements that are menus, asides, footers and the like by
+    their tag are so in any case.
+    """
     order = walk(page)
-    mark, chrome = {id(page): 0}, {id(page): False}
+    mark = {id(page): 0}
     for node in order:
         for k in node.kids:
             mark[id(k)] = max(mark[id(node)], _mark(k.label))
-            chrome[id(k)] = chrome[id(node)] or _chrome(k.label, mark[id(k)] > 0)
+    top = max(mark.values())
+    chars, links, core, headed = {}, {}, {}, {}
+    for node in reversed(order):
+        i = id(node)
+        chars[i] = sum(len(texts[t]) for t in node.texts) + sum(chars[id(k)] for k in node.kids)
+        links[i] = sum(linked[t] for t in node.texts) + sum(links[id(k)] for k in node.kids)
+        core[i] = chars[i] if top and mark[i] == top else sum(core[id(k)] for k in node.kids)
+        headed[i] = _tag(node.label) in HEADINGS or any(headed[id(k)] for k in node.kids)
+    all_, all_core = chars[id(page)], core[id(page)]
+    chrome = {id(page): False}
+    for node in order:
+        for k in node.kids:
+            i = id(k)
+            sure = _chrome(k.label, mark[i] > 0)
+            built_in = core[i] > MOST * all_core if all_core else chars[i] > MOST * all_ and headed[i]
+            within = mark[i] == top and top > 0  # inside the article, which as a whole is no menu
+            chrome[i] = chrome[id(node)] or sure == 3 or (sure == 2 and (within or not built_in)) or (sure == 1 and links[i] > MOST * chars[i])
     return order, mark, chrome
 
 
@@ -463,7 +509,7 @@ def extract(source: str, wrapper: Node | None = None) -> str:
     """
     page, texts, linked = folded(source)
     slots = matched(page, wrapper)
-    order, mark, chrome = placed(page)
+    order, mark, chrome = placed(page, texts, linked)
     inside: dict[int, bool] = {}
     own: dict[int, float] = {}
     for node in order:
@@ -529,7 +575,7 @@ def forms(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for name, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page, texts, linked = folded(source or "")
-                order, _, chrome = placed(page)
+                order, _, chrome = placed(page, texts, linked)
                 form = hash(tuple((_code(n.label), len(n.kids), n.repeat, n.optional, n.group) for n in order))
                 slots = [n for n in order if n.label == SLOT]
                 # copies of a page, whatever their menus, are one page

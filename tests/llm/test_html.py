@@ -150,3 +150,56 @@ def test_article_or_main_is_chosen_on_each_page(spark):
     rows = [(i, "http://h.example/x", html_(i)) for i in range(6)] + [(6, "http://h.example/z", "<body><p>neither</p></body>")]
     got = {r.page_id: r.text for r in hw.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"in {i}" if i % 2 else f"head {i}\nmain {i}" for i in range(6)} | {6: "neither"}
+
+
+ARTICLE = "<article><h1>Title here</h1><p>First paragraph of the story with some words.</p><p>Second one, and it says more than the first.</p></article>"
+WHOLE = "Title here\nFirst paragraph of the story with some words.\nSecond one, and it says more than the first."
+AROUND = "<nav><a href='/'>Home</a> <a href='/x'>Other</a></nav>{}<aside>Words in the aside</aside><footer>Imprint</footer>"
+
+
+@pytest.mark.parametrize("outer", ['<div class="site has-sidebar">', '<div class="page no-comments">', '<div class="menu-closed">', '<div id="sidebar">', '<div class="page-header">', '<form action="/post" method="post">'])
+def test_what_a_page_is_built_in_is_no_menu(outer):
+    tag = outer[1:].split()[0]
+    page = f"<html><body>{outer}{AROUND.format(ARTICLE)}</{tag}></body></html>"
+    assert hw.extract(page) == WHOLE
+    plain = f"<html><body>{outer}{AROUND.format(ARTICLE.replace('article', 'section'))}</{tag}></body></html>"
+    assert hw.extract(plain) == WHOLE
+
+
+def test_names_of_other_words_inside_an_article_stay():
+    inside = '<div class="comment-note"><p>A note on a remark.</p></div><div class="related work"><p>What others did on this before.</p></div>'
+    page = f"<body>{AROUND.format(ARTICLE.replace('</article>', inside + '</article>'))}</body>"
+    assert hw.extract(page) == WHOLE + "\nA note on a remark.\nWhat others did on this before."
+    out = '<div class="comments"><p>Nice text, thanks.</p></div><div class="share-buttons"><a href="#">Share it</a></div><div class="related-posts"><a href="/y">Another story</a></div><ul class="related-hub"><li><a href="/z">Linked</a></li></ul>'
+    assert hw.extract(f"<body>{AROUND.format(ARTICLE.replace('</article>', out + '</article>'))}</body>") == WHOLE
+
+
+def test_options_without_an_end_and_formulas():
+    listed = '<datalist id="d"><option value="a"><option value="b">B</datalist><select><option>One<option>Two</select><p>after it</p>'
+    page = f"<body>{AROUND.format(ARTICLE.replace('</article>', listed + '</article>'))}</body>"
+    assert hw.extract(page) == WHOLE + "\nafter it"
+    math = "<p>let <math><mi>x</mi><annotation encoding='tex'>x_1</annotation></math> be</p>"
+    assert hw.extract(f"<body><article><h1>T</h1>{math}</article></body>") == "T\nlet x be"
+
+
+def test_alignment_in_linear_space_is_as_good(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+
+    def nodes(n):
+        out = []
+        for _ in range(n):
+            node = hw.Node(rng.choice("pqr"))
+            node.key, node.has = rng.randrange(6), frozenset(rng.sample("abcdef", 2))
+            out.append(node)
+        return out
+
+    for _ in range(30):
+        a, b = nodes(rng.randrange(1, 30)), nodes(rng.randrange(1, 30))
+        worth = lambda pairs: sum(hw.likeness(a[i], b[j]) for i, j in pairs)  # noqa: B023, E731
+        whole = hw._best(a, b)
+        monkeypatch.setattr(hw, "CELLS", 8)
+        parted = hw._best(a, b)
+        monkeypatch.undo()
+        assert abs(worth(whole) - worth(parted)) < 1e-3 and all(x < y and u < v for (x, u), (y, v) in zip(parted, parted[1:]))
