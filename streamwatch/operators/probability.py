@@ -147,22 +147,31 @@ def conformal_apply(rows: DataFrame, fit: DataFrame, by: Sequence[str] = ()) ->
     return out.withColumns({n: F.col("_q")[i] for i, n in enumerate(NAMES)}).drop("_q")
 
 
-def residuals(forecasts: DataFrame) -> DataFrame:
-    """r0 of the shortest lead that has a target, by fold, variable, entity and date, in transformed space."""
+def residuals(forecasts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """r0 of the shortest lead that has a target, by fold, variable, entity, date (and columns `by`), in transformed space."""
     r = None
     for v, t in TRANSFORMS.items():
         r = F.when(F.col("variable") == v, forward(F.col("target"), t) - forward(F.col("p50"), t)).otherwise(r if r is not None else F.lit(None))
-    return forecasts.filter("target is not null").groupBy("fold", "variable", "entity_id", F.col("target_date").alias("obs_date")).agg(F.min_by(r, F.struct("horizon", "issued_date")).alias("r0"))
+    return forecasts.filter("target is not null").groupBy(*by, "fold", "variable", "entity_id", F.col("target_date").alias("obs_date")).agg(F.min_by(r, F.struct("horizon", "issued_date")).alias("r0"))
+
+
+def last_residual(forecasts: DataFrame, res: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """forecasts with r0 and obs_date of the last residual known at issue, within fold, variable, entity and columns `by`."""
+    return asof_backward(forecasts, res, [*by, "fold", "variable", "entity_id"], "issued_date", "obs_date", ["r0"])
 
 
 def assimilated(forecasts: DataFrame, res: DataFrame, tau: float | Mapping[str, float], max_age: int = 21) -> DataFrame:
     """Quantiles moved by r0 * exp(-age / tau) where the entity is observable and its last residual fresh; else why not."""
-    m = asof_backward(forecasts, res, ["fold", "variable", "entity_id"], "issued_date", "obs_date", ["r0"])
+    by = F.lit(float(tau)) if not isinstance(tau, Mapping) else F.element_at(F.create_map(*[F.lit(x) for kv in tau.items() for x in kv]), F.col("variable"))
+    return moved_by_residual(last_residual(forecasts, res), by, max_age)
+
+
+def moved_by_residual(m: DataFrame, tau: Column, max_age: int = 21) -> DataFrame:
+    """assimilated() for rows that have their last_residual; tau can differ by row."""
     seen = F.coalesce(F.col("observable"), F.lit(False))
     fresh = F.col("r0").isNotNull() & (F.datediff("issued_date", "obs_date") <= max_age)
     reason = F.when(~seen, "UNOBSERVABLE").when(F.col("r0").isNull(), "NO_OBS").when(~fresh, "STALE")
-    by = F.lit(float(tau)) if not isinstance(tau, Mapping) else F.element_at(F.create_map(*[F.lit(x) for kv in tau.items() for x in kv]), F.col("variable"))
-    m = m.withColumn("assim_reason", reason).withColumn("assim_shift", F.when(F.col("assim_reason").isNull(), F.col("r0") * F.exp(-F.datediff("target_date", "obs_date") / by)).otherwise(0.0))
+    m = m.withColumn("assim_reason", reason).withColumn("assim_shift", F.when(F.col("assim_reason").isNull(), F.col("r0") * F.exp(-F.datediff("target_date", "obs_date") / tau)).otherwise(0.0))
     out: dict[str, Column] = {}
     for name in NAMES:
         value = F.col(name)

@@ -227,11 +227,13 @@ def pr11_isotonic(spark, sf_dir):
 
 @query()
 def pr15_calibration_chain(spark, sf_dir):
-    f = forecasts(spark, sf_dir)
-    fit = probability.conformal_fit(f.filter("fold = 'val'"), "1999-12-31")
-    out = probability.conformal_apply(f.filter("fold = 'test'").drop("bucket", "obs_class"), fit).join(thresholds(spark, sf_dir).select("entity_id", "variable", "season", "threshold"), ["entity_id", "variable", "season"], "left")
-    p = probability.exceedance([F.col(n) for n in NAMES], climate.LEVELS, F.col("threshold"))
-    return rounded(out.withColumn("exceedance_prob", p).groupBy("variable").agg(F.count("*").alias("n"), F.avg(F.col("target").between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage_80"), F.avg("exceedance_prob").alias("mean_prob")))
+    """By variable and class of the years judged: coverage and mean probability after each step, and the chain's own counts."""
+    rows = forecasts(spark, sf_dir).join(thresholds(spark, sf_dir).select("entity_id", "variable", "season", "threshold"), ["entity_id", "variable", "season"], "left")
+    out, conformal, cells = calibration.chain(rows, VAL_END)
+    test = out.filter("fold = 'test'").groupBy("variable", "obs_class").agg(F.count("*").alias("n"), F.avg(F.col("target").between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage_80"), F.avg("exceedance_prob").alias("mean_prob"), F.avg("calibrated_prob").alias("mean_calibrated"))
+    adjusted = conformal.groupBy("variable", "obs_class").agg(F.sum("rows_adjusted").alias("rows_adjusted"), F.sum("rows_resorted").alias("rows_resorted"))
+    told = cells.select("variable", "obs_class", F.col("n").alias("n_isotonic"), "events", "status", "rows_calibrated")
+    return rounded(test.join(adjusted, ["variable", "obs_class"]).join(told, ["variable", "obs_class"]))
 
 
 @query(ASSIM + "SELECT fold, variable, coalesce(assim_reason, 'ASSIMILATED') AS reason, count(*) AS n FROM z GROUP BY ALL")
