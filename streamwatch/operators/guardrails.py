@@ -92,6 +92,13 @@ def composed(pairs: DataFrame, forecasts: DataFrame) -> DataFrame:
     return out.withColumn("reason", F.when(F.col("_n").isNull(), "NO_FORECAST").when(F.col("_t") == 0, "NO_THRESHOLD")).drop("_t", "_n")
 
 
+def of_one_run(forecasts: DataFrame, issued: str, model_version: str, weather: str) -> DataFrame:
+    """forecasts (issued_date, model_version, weather, exceedance_prob), which fail to be read where a row is of another run."""
+    own = F.col("issued_date").eqNullSafe(F.lit(issued).cast("date")) & F.col("model_version").eqNullSafe(F.lit(model_version)) & F.col("weather").eqNullSafe(F.lit(weather))
+    told = F.concat_ws(" ", F.lit("a forecast of another run:"), F.col("issued_date").cast("string"), "model_version", "weather")
+    return forecasts.withColumn("exceedance_prob", F.when(own, F.col("exceedance_prob")).otherwise(F.raise_error(told).cast("double")))
+
+
 def severest(alerts: DataFrame) -> DataFrame:
     """The most severe alert of each entity; the first by variable on ties."""
     rank = F.array_position(F.array(*[F.lit(s) for s in ("ALERT", "WATCH", "INSUFFICIENT_EVIDENCE")]), F.col("severity"))

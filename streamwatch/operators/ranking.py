@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def latest_run(forecasts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of each key's newest run: those of the issue date and model version of the row that is newest by
+    (issued_date, created_at); the greater version on ties.
+    """
+    run = F.struct("issued_date", "created_at", "model_version")
+    newest = forecasts.groupBy(*keys).agg(F.max(run).alias("_run")).select(*keys, "_run.issued_date", "_run.model_version")
+    return forecasts.join(newest, [*keys, "issued_date", "model_version"], "left_semi")
+
+
 def priorities(entities: DataFrame, forecasts: DataFrame, exposure: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """information value = uncertainty * peak risk * exposure weight of an entity's best variable, ranked by (-value, id).
 

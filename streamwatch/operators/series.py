@@ -76,12 +76,16 @@ def carried(df: DataFrame, key: str, value: str, ok: F.Column, max_age: int, dat
     return df.withColumns({f"{value}_asof": F.when(age <= max_age, F.last(F.when(ok, F.col(value)), True).over(w)), f"{value}_age": F.when(age <= max_age, age)})
 
 
-def as_issued(archive: DataFrame, run: DataFrame, issues: DataFrame, horizons: int, decay: float = DECAY) -> DataFrame:
+def as_issued(archive: DataFrame, run: DataFrame, issues: DataFrame, horizons: int, decay: float = DECAY, below: float = DRY_BELOW) -> DataFrame:
     """Future drivers as known at each issue: days before it from the archive, the issue day and later ones from the run.
 
-    archive, run: cell_id, date, precip_mm. issues: cell_id, issued. A week's index and the sum of rain up to each lead,
-    null where one of their days is.
+    archive (every day), run: cell_id, date, precip_mm. issues: cell_id, issued. A week's index and the sum of rain up to each
+    lead, null where one of their days is. antecedent_dry_days is counted back over the run's days; where all of them are
+    dry, the archive's own count at the issue is added, which knows of the days before it. Null where a missing day is met
+    before a wet one, or where the archive's count is needed and unknown.
     """
+    before = archive.withColumn("_before", dry_days("precip_mm", "date", Window.partitionBy("cell_id").orderBy("date"), below)).select("cell_id", F.col("date").alias("issued"), "_before")
+    issues = issues.join(before, ["cell_id", "issued"], "left")
     span = issues.withColumn("date", F.explode(F.sequence(F.date_sub("issued", 7), F.date_add("issued", horizons))))
     past = archive.select("cell_id", "date", F.col("precip_mm").alias("_a"))
     ahead = run.select("cell_id", "date", F.col("precip_mm").alias("_r"))
@@ -89,4 +93,9 @@ def as_issued(archive: DataFrame, run: DataFrame, issues: DataFrame, horizons: i
     w = Window.partitionBy("cell_id", "issued").orderBy("date")
     lead_ = F.datediff("date", "issued")
     future = F.when(F.count_if((lead_ > 0) & F.col("p").isNull()).over(w) == 0, F.sum(F.when(lead_ > 0, F.col("p"))).over(w))
-    return days.withColumns({"api_7": antecedent("p", w, 7, decay), "precip_fut_cum": future, "horizon": lead_}).filter("horizon > 0").select("cell_id", "issued", "horizon", "api_7", "precip_fut_cum")
+    past_ = w.rowsBetween(Window.unboundedPreceding, -1)
+    wet = F.max(F.when((lead_ >= 0) & (F.col("p") >= below), lead_)).over(past_)
+    gone = F.max(F.when((lead_ >= 0) & F.col("p").isNull(), lead_)).over(past_)
+    dry = F.when(gone.isNotNull() & (wet.isNull() | (gone > wet)), F.lit(None)).otherwise(F.coalesce(lead_ - 1 - wet, lead_ + F.col("_before")))
+    out = days.withColumns({"api_7": antecedent("p", w, 7, decay), "precip_fut_cum": future, "antecedent_dry_days": dry, "horizon": lead_}).filter("horizon > 0")
+    return out.select("cell_id", "issued", "horizon", "api_7", "precip_fut_cum", "antecedent_dry_days")

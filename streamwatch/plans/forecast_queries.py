@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import FIT_END, VAL_END, table, view, with_views
@@ -306,14 +306,15 @@ def wn9_residual_drift(spark, sf_dir):
 
 HIST = f"hist AS (SELECT DISTINCT l_suppkey AS entity_id FROM lineitem WHERE CAST(l_shipdate AS DATE) > DATE '{ISSUED}' - 3 AND CAST(l_shipdate AS DATE) <= DATE '{ISSUED}' AND l_linenumber <= 2)"
 RUN = with_views("v_obs", "v_reaches", "v_topology", more=",\n".join([LONG, CLIM, FC, THR, EXC, PAIRS, WINDOW, PEAK, EVID, DRIFT, HIST])) + f""", c AS (SELECT p.*, ev.last_usable, dr.n_residuals, dr.mean_abs_z, dr.outside_fraction, h.entity_id IS NOT NULL AS cooling FROM peak p LEFT JOIN ev USING (entity_id) LEFT JOIN dr USING (entity_id, variable) LEFT JOIN hist h ON h.entity_id = p.entity_id),
-g AS (SELECT *, CASE WHEN reason IS NOT NULL THEN NULL WHEN last_usable IS NULL OR DATE '{ISSUED}' - last_usable > 21 THEN 'staleness' WHEN coalesce(n_residuals, 0) >= 3 AND (mean_abs_z > 2.5 OR outside_fraction > 0.5) THEN 'drift' WHEN prob IS NULL OR prob < 0.25 THEN 'confidence' WHEN cooling THEN 'cooldown' END AS guardrail FROM c),
+g AS (SELECT *, CASE WHEN reason IS NOT NULL THEN NULL WHEN last_usable IS NULL OR DATE '{ISSUED}' - last_usable > 21 THEN 'staleness' WHEN coalesce(n_residuals, 0) >= 3 AND (mean_abs_z > 2.5 OR outside_fraction > 0.5) THEN 'drift' WHEN prob IS NULL OR prob < 0.60 THEN 'confidence' WHEN cooling THEN 'cooldown' END AS guardrail FROM c),
 o AS (SELECT *, CASE WHEN reason IS NOT NULL OR guardrail = 'staleness' THEN 'INSUFFICIENT_EVIDENCE' WHEN guardrail IS NULL THEN CASE WHEN coalesce(observable, FALSE) THEN 'ALERT' ELSE 'WATCH' END END AS severity FROM g)
 """
 
 
 def alert_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = guardrails.Rules(min_probability=0.25)
-    c = guardrails.composed(_pairs(spark, sf_dir), _window(spark, sf_dir)).withColumns({"issued": F.lit(ISSUED).cast("date"), "issued_at": F.lit(ISSUED + " 23:00:00").cast("timestamp")})
+    rules = guardrails.Rules()
+    run = _window(spark, sf_dir).withColumns({"issued_date": F.lit(ISSUED).cast("date"), "model_version": F.lit("climatology"), "weather": F.lit("ORACLE")})
+    c = guardrails.composed(_pairs(spark, sf_dir), guardrails.of_one_run(run, ISSUED, "climatology", "ORACLE")).withColumns({"issued": F.lit(ISSUED).cast("date"), "issued_at": F.lit(ISSUED + " 23:00:00").cast("timestamp")})
     good = view(spark, sf_dir, "v_obs").filter("quality_flag = 'OK'").select("entity_id", "obs_date")
     state = guardrails.evidence(view(spark, sf_dir, "v_reaches"), view(spark, sf_dir, "v_topology"), good, ISSUED).select("entity_id", "last_usable")
     hist = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").select(F.col("l_suppkey").alias("entity_id"), F.to_date("l_shipdate").cast("timestamp").alias("issued_at"), F.lit("WATCH").alias("severity"))
@@ -389,12 +390,6 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.compared(rows, ["variable", "bucket"], "a_", "", "clim_mean")
 
 
-@query(BLOCKS + """SELECT variable, bucket, n, round(crps_a, 6) + 0.0 AS crps_a, round(crps_b, 6) + 0.0 AS crps_b, round(mae_clim, 6) + 0.0 AS mae_clim, round(coverage_a, 6) + 0.0 AS coverage_a, round(coverage_b, 6) + 0.0 AS coverage_b,
-round(CASE WHEN crps_a > 0 THEN 1 - crps_b / crps_a END, 6) + 0.0 AS skill_a, round(CASE WHEN mae_clim > 0 THEN 1 - crps_b / mae_clim END, 6) + 0.0 AS skill_clim FROM blocks""")
-def ag10_block_scores(spark, sf_dir):
-    return rounded(blocks(spark, sf_dir))
-
-
 @query(BLOCKS + "SELECT variable, count(*) FILTER (WHERE crps_b < crps_a) AS wins, count(*) FILTER (WHERE crps_b < crps_a) >= 2 AND avg(abs(coverage_b - 0.8)) <= avg(abs(coverage_a - 0.8)) AS passed FROM blocks GROUP BY variable")
 def ag33_champion_gate(spark, sf_dir):
     return scores.gate(blocks(spark, sf_dir))
@@ -422,7 +417,17 @@ def rivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.seasonal_naive(long_obs(spark, sf_dir), moved, ["entity_id", "variable"])
 
 
-@query(RIVALS + f"SELECT {SCOPE_KEYS}, n, n_common, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("mae_all", "crps_all", "coverage_80_all", "mae", "crps", "coverage_80", "mae_naive", "mae_clim", "crps_clim", "coverage_80_clim", *scores.SKILLS)) + " FROM skills")
+SCORES_SQL = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("mae_all", "crps_all", "coverage_80_all", "mae", "crps", "coverage_80", "mae_naive", "mae_clim", "crps_clim", "coverage_80_clim", *scores.SKILLS))
+
+
+@query(RIVALS + "SELECT variable, bucket, n, n_common, " + SCORES_SQL + " FROM skills WHERE fold = 'val' AND bucket IS NOT NULL")
+def ag10_block_scores(spark, sf_dir):
+    """The validation fold's blocks: the forecast on all rows, then it, the seasonal naive and the climatology on the rows that all have."""
+    val = rivals(spark, sf_dir).filter("fold = 'val'")
+    return rounded(scores.score_cube(val, ("variable",), [("bucket",)]).drop("gid"))
+
+
+@query(RIVALS + f"SELECT {SCOPE_KEYS}, n, n_common, " + SCORES_SQL + " FROM skills")
 def ag11_score_cube(spark, sf_dir):
     return rounded(scores.score_cube(rivals(spark, sf_dir)).drop("gid"))
 
@@ -448,10 +453,22 @@ def jn11_residuals(spark, sf_dir):
     return rounded(f.join(o, ["entity_id", "variable", "target_date"]).select("entity_id", "variable", "target_date", (F.col("value") - F.col("p50")).alias("residual")))
 
 
-@query(BASE + "SELECT entity_id, variable, max(issued_date) AS issued_date, count(*) AS n FROM (SELECT *, max(issued_date) OVER (PARTITION BY entity_id) AS last FROM fc) q WHERE issued_date = last GROUP BY entity_id, variable")
+#: Forecasts as two models wrote them, the one for odd leads after the one for even leads: {rows} has a city and a version.
+WRITTEN = """written AS (SELECT x.*, r.city, CASE WHEN horizon % 2 = 0 THEN 'even' ELSE 'odd' END AS model_version, CASE WHEN horizon % 2 = 0 THEN 6 ELSE 7 END AS hour FROM {rows} x JOIN v_reaches r USING (entity_id)),
+newest AS (SELECT city, max(ROW(issued_date, hour, model_version)) AS m FROM written GROUP BY city), win AS (SELECT w.* FROM written w JOIN newest n ON n.city = w.city AND w.issued_date = n.m[1] AND w.model_version = n.m[3])"""
+
+
+def written(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    even = F.col("horizon") % 2 == 0
+    at = F.col("issued_date").cast("timestamp") + F.when(even, F.expr("interval 6 hours")).otherwise(F.expr("interval 7 hours"))
+    return rows.join(view(spark, sf_dir, "v_reaches").select("entity_id", "city"), "entity_id").withColumns({"model_version": F.when(even, "even").otherwise("odd"), "created_at": at})
+
+
+@query(BASE.rstrip() + ",\n" + WRITTEN.format(rows="fc") + " SELECT city, entity_id, variable, issued_date, model_version, count(*) AS n FROM win GROUP BY ALL")
 def wn10_latest_run(spark, sf_dir):
-    f = forecasts(spark, sf_dir).withColumn("last", F.max("issued_date").over(Window.partitionBy("entity_id"))).filter("issued_date = last")
-    return f.groupBy("entity_id", "variable").agg(F.max("issued_date").alias("issued_date"), F.count("*").alias("n"))
+    """A city's newest run: the last written row of the latest issue date tells the version, and all its rows of that day follow."""
+    f = ranking.latest_run(written(spark, sf_dir, forecasts(spark, sf_dir)), ["city"])
+    return f.groupBy("city", "entity_id", "variable", "issued_date", "model_version").agg(F.count("*").alias("n"))
 
 
 @query(BASE + "SELECT variable, horizon, count(*) AS n, round(avg(p90 - p10), 6) + 0.0 AS width FROM fc WHERE horizon <= 5 GROUP BY variable, horizon")

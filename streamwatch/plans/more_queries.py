@@ -161,13 +161,20 @@ def jn19_weighted_mean(spark, sf_dir):
     return rounded(g.select("city", "mean", F.when(F.col("_k") == 0, "NO_OBS").when(F.col("_k") < F.col("_n"), "PARTIAL_REACH_COVERAGE").alias("flag")))
 
 
-@query(with_views("v_weather", more=DENSE) + """, i AS (SELECT date AS issued FROM dense WHERE day(date) = 1), h AS (SELECT issued, CAST(h.h AS INTEGER) AS horizon FROM i, generate_series(1, 5) h(h))
-SELECT h.issued, h.horizon, round((SELECT CASE WHEN count(d.precip_mm) = 7 THEN sum(d.precip_mm * power(0.9, CAST(h.issued + h.horizon - d.date AS INTEGER))) END FROM dense d WHERE d.date >= h.issued + h.horizon - 7 AND d.date < h.issued + h.horizon), 6) + 0.0 AS api_7,
-round((SELECT CASE WHEN count(d.precip_mm) = h.horizon THEN sum(d.precip_mm) END FROM dense d WHERE d.date > h.issued AND d.date <= h.issued + h.horizon), 6) + 0.0 AS precip_fut_cum FROM h""")
+@query(with_views("v_weather", more=DENSE) + """, i AS (SELECT date AS issued FROM dense WHERE day(date) = 1), h AS (SELECT issued, CAST(h.h AS INTEGER) AS horizon FROM i, generate_series(1, 5) h(h)),
+run AS (SELECT CAST(o_orderdate AS DATE) AS date, CAST(count(*) FILTER (WHERE o_orderpriority LIKE '2%') AS DOUBLE) AS p FROM orders GROUP BY 1),
+x AS (SELECT i.issued, CAST(k.k AS INTEGER) AS k, CASE WHEN k.k < 0 THEN d.precip_mm ELSE r.p END AS p FROM i CROSS JOIN generate_series(-7, 5) k(k) LEFT JOIN dense d ON d.date = i.issued + CAST(k.k AS INTEGER) LEFT JOIN run r ON r.date = i.issued + CAST(k.k AS INTEGER)),
+b AS (SELECT date AS issued, CASE WHEN wet IS NOT NULL AND (gone IS NULL OR gone < wet) THEN date - wet - 1 END AS n FROM (SELECT date, max(CASE WHEN precip_mm >= 1 THEN date END) OVER w AS wet, max(CASE WHEN precip_mm IS NULL THEN date END) OVER w AS gone FROM dense WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) q),
+a AS (SELECT h.issued, h.horizon, count(x.p) FILTER (WHERE k >= horizon - 7 AND k < horizon) AS week, sum(x.p * power(0.9, horizon - k)) FILTER (WHERE k >= horizon - 7 AND k < horizon) AS api, count(x.p) FILTER (WHERE k > 0 AND k <= horizon) AS ahead, sum(x.p) FILTER (WHERE k > 0 AND k <= horizon) AS fut,
+ max(k) FILTER (WHERE k >= 0 AND k < horizon AND p >= 1) AS wet, max(k) FILTER (WHERE k >= 0 AND k < horizon AND p IS NULL) AS gone FROM h JOIN x USING (issued) GROUP BY ALL)
+SELECT issued, horizon, round(CASE WHEN week = 7 THEN api END, 6) + 0.0 AS api_7, round(CASE WHEN ahead = horizon THEN fut END, 6) + 0.0 AS precip_fut_cum, CAST(CASE WHEN gone IS NOT NULL AND (wet IS NULL OR gone > wet) THEN NULL WHEN wet IS NOT NULL THEN horizon - 1 - wet ELSE horizon + n END AS INTEGER) AS antecedent_dry_days FROM a JOIN b USING (issued)""")
 def wn6_as_issued(spark, sf_dir):
+    """The archive's days before each first of a month, then what a run says: the second priority's orders by day."""
     d = series.densify(view(spark, sf_dir, "v_weather"), "cell_id").select("cell_id", "date", "precip_mm")
+    told = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count_if(F.col("o_orderpriority").startswith("2")).cast("double").alias("precip_mm"))
+    run = d.select("cell_id", "date").join(told, "date")
     issues = d.filter("day(date) = 1").select("cell_id", F.col("date").alias("issued"))
-    return rounded(series.as_issued(d, d, issues, 5).select("issued", "horizon", "api_7", "precip_fut_cum"))
+    return rounded(series.as_issued(d, run, issues, 5).select("issued", "horizon", "api_7", "precip_fut_cum", "antecedent_dry_days"))
 
 
 @query(FULL + """SELECT entity_id, variable, fold, round(max(exceedance_prob), 6) + 0.0 AS peak, round(max(p90), 6) + 0.0 AS peak_p90,
@@ -351,12 +358,17 @@ def sq5_suppressed_counts(spark, sf_dir):
     return maps.select(F.explode("suppressed").alias("guardrail", "n")).groupBy("guardrail").agg(F.sum("n").alias("n"))
 
 
-@query(FULL + f""", w AS (SELECT entity_id, max(exceedance_prob) AS peak, count(threshold) AS t, count(*) AS n FROM exc WHERE target_date > DATE '{ISSUED}' AND target_date <= DATE '{ISSUED}' + 10 GROUP BY entity_id)
-SELECT r.entity_id, round(w.peak, 6) + 0.0 AS peak, CASE WHEN w.n IS NULL THEN 'NO_FORECAST' WHEN w.t = 0 THEN 'NO_THRESHOLD' ELSE 'OK' END AS status FROM v_reaches r LEFT JOIN w ON w.entity_id = r.entity_id""")
+@query(RUN + """, w AS (SELECT entity_id, max(exceedance_prob) FILTER (WHERE variable = 'turbidity_proxy') AS p_turbidity_proxy, max(exceedance_prob) FILTER (WHERE variable = 'ndci') AS p_ndci, max(exceedance_prob) AS peak FROM win GROUP BY entity_id),
+s AS (SELECT entity_id, min(CASE severity WHEN 'ALERT' THEN 1 WHEN 'WATCH' THEN 2 WHEN 'INSUFFICIENT_EVIDENCE' THEN 3 END) AS k FROM o GROUP BY entity_id)
+SELECT r.entity_id, round(w.p_turbidity_proxy, 6) + 0.0 AS p_turbidity_proxy, round(w.p_ndci, 6) + 0.0 AS p_ndci, round(w.peak, 6) + 0.0 AS peak, CASE WHEN w.entity_id IS NULL THEN 'NO_FORECAST' WHEN w.peak IS NULL THEN 'NO_THRESHOLD' ELSE 'OK' END AS status, CASE s.k WHEN 1 THEN 'ALERT' WHEN 2 THEN 'WATCH' WHEN 3 THEN 'INSUFFICIENT_EVIDENCE' END AS alert_severity
+FROM v_reaches r LEFT JOIN w ON w.entity_id = r.entity_id LEFT JOIN s ON s.entity_id = r.entity_id""")
 def sq7_status(spark, sf_dir):
-    w = _window(spark, sf_dir).groupBy("entity_id").agg(F.max("exceedance_prob").alias("peak"), F.count("threshold").alias("t"))
-    status = F.when(F.col("t").isNull(), "NO_FORECAST").when(F.col("t") == 0, "NO_THRESHOLD").otherwise("OK")
-    return rounded(view(spark, sf_dir, "v_reaches").select("entity_id").join(w, "entity_id", "left").select("entity_id", "peak", status.alias("status")))
+    """Every entity with the peak of each variable and of both, why there is none, and its worst alert of the run."""
+    p = lambda v: F.max(F.when(F.col("variable") == v, F.col("exceedance_prob"))).alias(f"p_{v}")
+    w = _window(spark, sf_dir).groupBy("entity_id").agg(p("turbidity_proxy"), p("ndci"), F.max("exceedance_prob").alias("peak"), F.lit(True).alias("_has"))
+    worst = guardrails.severest(alert_run(spark, sf_dir)).select("entity_id", F.col("severity").alias("alert_severity"))
+    status = F.when(F.col("_has").isNull(), "NO_FORECAST").when(F.col("peak").isNull(), "NO_THRESHOLD").otherwise("OK")
+    return rounded(view(spark, sf_dir, "v_reaches").select("entity_id").join(w, "entity_id", "left").join(worst, "entity_id", "left").select("entity_id", "p_turbidity_proxy", "p_ndci", "peak", status.alias("status"), "alert_severity"))
 
 
 @query(with_views("v_obs", "v_reaches", more=LONG) + "SELECT r.city, l.variable, year(l.obs_date) AS year, count(*) AS n, round(avg(l.value), 6) + 0.0 AS mean FROM v_long l JOIN v_reaches r ON r.entity_id = l.entity_id GROUP BY r.city, l.variable, year(l.obs_date)")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import FIT_END, VAL_END, table, view, with_views
 from ..operators import forest, probability, ranking, scenario
 from ..sources import payloads, sinks
-from .forecast_queries import BASE, CLIM, EXC, FC, LONG, PRIORITY, SCORE, THR, WEIGHTS, exceedances, forecasts, mixtures
+from .forecast_queries import BASE, CLIM, EXC, FC, LONG, PRIORITY, SCORE, THR, WEIGHTS, WRITTEN, exceedances, forecasts, mixtures, written
 from .frame_queries import forest_rows
 from .more_queries import scratch
 from .registry import query, rounded
 
-LATEST = "win AS (SELECT * FROM (SELECT *, max(issued_date) OVER (PARTITION BY entity_id) AS last FROM exc) q WHERE issued_date = last)"
+LATEST = WRITTEN.format(rows="exc")
 
 
 @query(with_views("v_obs") + """SELECT entity_id, obs_date, 'OK' AS status, CASE WHEN water_pixel_count % 5 = 0 THEN 0 ELSE water_pixel_count - 1 END AS n_data, CASE WHEN water_pixel_count % 5 <> 0 THEN CAST(round(0.25 * (water_pixel_count - 1)) AS BIGINT) END AS n_cloud,
@@ -78,9 +77,9 @@ def ag38_sensitivity(spark, sf_dir):
 
 @query(with_views("v_obs", "v_reaches", "v_exposure", more=",\n".join([LONG, CLIM, FC, THR, EXC, LATEST])) + PRIORITY)
 def sq10_priorities(spark, sf_dir):
-    """Priorities by each entity's latest run instead of a fixed window."""
-    e = exceedances(spark, sf_dir).withColumn("last", F.max("issued_date").over(Window.partitionBy("entity_id"))).filter("issued_date = last")
-    p = ranking.priorities(view(spark, sf_dir, "v_reaches"), e, view(spark, sf_dir, "v_exposure"), WEIGHTS)
+    """Priorities by each city's newest run and the model version that wrote it, instead of a fixed window."""
+    run = ranking.latest_run(written(spark, sf_dir, exceedances(spark, sf_dir)), ["city"])
+    p = ranking.priorities(view(spark, sf_dir, "v_reaches"), run, view(spark, sf_dir, "v_exposure"), WEIGHTS)
     return rounded(p.select("entity_id", "variable", "information_value", "reason"))
 
 

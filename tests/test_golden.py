@@ -341,3 +341,35 @@ def test_catalogue_and_store(spark):
     applied = spark.createDataFrame([(7, 1, "v", 2, 0.1), (7, 1, "v", 2, 0.2), (7, 1, "v", 9, 0.3)], "scenario_id int, entity_id int, variable string, lever_id int, effect double")
     row = scenario.stored(applied, known.select("lever_id", "citation")).first()
     assert math.isclose(row.effect, 0.6) and row.citations == ["c"]
+
+
+def test_dry_run_is_handed_over_at_the_splice(spark):
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(i)
+    # the archive: wet on day 2, dry until the issue on day 7 (its count there is 4), and what it says from then on isn't read
+    archive = spark.createDataFrame([(c, day(i), 5.0 if i == 2 or i >= 7 else 0.0 if c < 3 or i != 5 else None) for c in range(4) for i in range(12)], "cell_id int, date date, precip_mm double")
+    told = {0: [0, 0, 0, 0], 1: [0, 3, 0, 0], 2: [0, None, 2, 0], 3: [0, 0, 1.0, 0]}
+    run = spark.createDataFrame([(c, day(7 + k), None if p is None else float(p)) for c, ps in told.items() for k, p in enumerate(ps)], "cell_id int, date date, precip_mm double")
+    issues = spark.createDataFrame([(c, day(7)) for c in told], "cell_id int, issued date")
+    got = {(r.cell_id, r.horizon): r.antecedent_dry_days for r in series.as_issued(archive, run, issues, 5).collect()}
+    assert [got[0, h] for h in (1, 2, 3, 4, 5)] == [5, 6, 7, 8, None]  # a day beyond the run is missing
+    assert [got[1, h] for h in (1, 2, 3, 4)] == [5, 0, 1, 2]
+    assert [got[2, h] for h in (1, 2, 3, 4)] == [5, None, 0, 1]
+    assert [got[3, h] for h in (1, 2, 3, 4)] == [None, None, 0, 1]  # a gap before the splice: the archive's count is unknown
+
+
+def test_newest_run_is_one_version(spark):
+    from streamwatch.operators import ranking
+
+    rows = [("a", 1, "2024-01-01", 5, "v1"), ("a", 2, "2024-01-02", 3, "v1"), ("a", 3, "2024-01-02", 4, "v2"), ("a", 4, "2024-01-02", 1, "v2"), ("b", 5, "2024-01-01", 1, "v1"), ("c", 6, "2024-01-01", 1, "v1"), ("c", 7, "2024-01-01", 1, "v2")]
+    df = spark.createDataFrame(rows, "city string, entity_id int, issued_date string, created_at int, model_version string")
+    assert sorted(r.entity_id for r in ranking.latest_run(df, ["city"]).collect()) == [3, 4, 5, 7]
+
+
+def test_alerts_refuse_forecasts_of_another_run(spark):
+    from streamwatch.operators import guardrails
+
+    df = spark.createDataFrame([(1, "2024-01-01", "m", "LIVE", 0.5), (2, "2024-01-01", "n", "LIVE", 0.5)], "entity_id int, d string, model_version string, weather string, exceedance_prob double").withColumn("issued_date", F.to_date("d"))
+    assert guardrails.of_one_run(df.filter("entity_id = 1"), "2024-01-01", "m", "LIVE").first().exceedance_prob == 0.5
+    for issued, weather in (("2024-01-01", "LIVE"), ("2024-01-02", "LIVE"), ("2024-01-01", "ORACLE")):
+        with pytest.raises(Exception, match="a forecast of another run: 2024-01-01"):
+            guardrails.of_one_run(df, issued, "m", weather).agg(F.max("exceedance_prob")).collect()
