@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..fixtures import FIT_END, table, view, with_views
-from ..operators import graph, ranking, scenario, spatial
+from ..operators import graph, linear, ranking, scenario, spatial
 from ..sources import payloads, sinks
 from .registry import query, rounded
 
@@ -76,6 +76,25 @@ def gr5_pieces(spark, sf_dir):
     return rounded(graph.pieces(lines).select("o_orderkey", "piece", "from_m", "to_m", "flag"))
 
 
+#: The box whose pieces are kept, of the ways' own coordinates.
+STUDY = (100.5, 2.5, 800.5, 28.5)
+
+
+@query("WITH " + WAYS + f""", s AS (SELECT way_id, pos, x AS x1, y AS y1, lead(x) OVER p AS x2, lead(y) OVER p AS y2 FROM w WINDOW p AS (PARTITION BY way_id ORDER BY pos)), t AS (SELECT *, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS len FROM s WHERE x2 IS NOT NULL),
+c AS (SELECT *, sum(len) OVER (PARTITION BY way_id ORDER BY pos) AS b, sum(len) OVER (PARTITION BY way_id) AS total FROM t WHERE len > 0), l AS (SELECT way_id, any_value(total) AS total FROM c GROUP BY way_id),
+n AS (SELECT *, CAST(CASE WHEN total <= 500 THEN 1 ELSE least(greatest(1, round(total / 350), ceil(total / 500)), greatest(1, floor(total / 200))) END AS INTEGER) AS n FROM l),
+q AS (SELECT n.*, CAST(p.p AS INTEGER) AS piece, d.d AS part, total / n * (p.p + d.d) AS m FROM n, generate_series(0, 2000) p(p), (SELECT unnest([0.0, 0.5, 1.0]) AS d) d WHERE p.p < n),
+f AS (SELECT q.*, c.x1 + (c.x2 - c.x1) * (q.m - (c.b - c.len)) / c.len AS x, c.y1 + (c.y2 - c.y1) * (q.m - (c.b - c.len)) / c.len AS y FROM q ASOF JOIN (SELECT *, CASE WHEN b - len < 1e-7 THEN -1.0 ELSE b - len END AS a FROM c) c ON q.way_id = c.way_id AND q.m - 1e-9 >= c.a),
+g AS (SELECT way_id, piece, n AS n_pieces, total, max(x) FILTER (WHERE part = 0.0) AS x1, max(y) FILTER (WHERE part = 0.0) AS y1, max(x) FILTER (WHERE part = 0.5) AS mid_x, max(y) FILTER (WHERE part = 0.5) AS mid_y, max(x) FILTER (WHERE part = 1.0) AS x2, max(y) FILTER (WHERE part = 1.0) AS y2 FROM f GROUP BY ALL)
+SELECT way_id, piece, n_pieces, round(total / n_pieces, 6) + 0.0 AS length, {", ".join(f"round({k}, 4) + 0.0 AS {k}" for k in ("x1", "y1", "mid_x", "mid_y", "x2", "y2"))}, mid_x > {STUDY[0]} AND mid_x < {STUDY[2]} AND mid_y > {STUDY[1]} AND mid_y < {STUDY[3]} AS inside, CASE WHEN total < 200 THEN 'SHORT_LINK' END AS flag FROM g""")
+def gr5_cut_lines(spark, sf_dir):
+    """The pieces of whole ways: their ends, middles and lengths on the ground, and whether they belong to the study box."""
+    cut = linear.cut_lines(_ways(spark, sf_dir), ["way_id"], STUDY)
+    first, last = F.col("line")[0], F.element_at("line", -1)
+    ends = {"x1": first["x"], "y1": first["y"], "mid_x": F.col("mid_x"), "mid_y": F.col("mid_y"), "x2": last["x"], "y2": last["y"]}
+    return rounded(cut.select("way_id", "piece", "n_pieces", "length", *[(F.round(c, 4) + 0.0).alias(k) for k, c in ends.items()], "inside", "flag"))
+
+
 @query(with_views("v_topology", "v_reaches") + """SELECT r.entity_id, coalesce((SELECT list_sort(list(upstream_id)) FROM v_topology t WHERE t.downstream_id = r.entity_id), []) AS upstream_ids FROM v_reaches r""")
 def sq2_entity_detail(spark, sf_dir):
     up = view(spark, sf_dir, "v_topology").groupBy(F.col("downstream_id").alias("entity_id")).agg(F.array_sort(F.collect_list("upstream_id")).alias("upstream_ids"))
