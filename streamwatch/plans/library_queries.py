@@ -330,3 +330,22 @@ def sc9_widened_interval(spark, sf_dir):
 @query(with_views("v_reaches") + "SELECT entity_id, round(10 * CAST(abs(catchment_area_km2) AS DOUBLE), 6) + 0.0 AS unit_total FROM v_reaches WHERE catchment_area_km2 > 0")
 def sc10_cost(spark, sf_dir):
     return rounded(view(spark, sf_dir, "v_reaches").filter("catchment_area_km2 > 0").select("entity_id", (F.abs("catchment_area_km2") * 10).alias("unit_total")))
+
+
+#: Lines are cut into parts of at most so many metres.
+PART = 10.0
+
+
+@query("WITH " + SEGMENTS + f""", zone AS (SELECT s_suppkey AS zone_id, (s_suppkey * 37 % 400) - 300.137 AS x0, (s_suppkey * 91 % 400) - 300.291 AS y0, CASE WHEN s_suppkey % 7 <> 0 THEN 0.0126 END AS area FROM supplier),
+p AS (SELECT *, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS len FROM seg), q AS (SELECT *, CAST(ceil(len / {PART}) AS INTEGER) AS n FROM p WHERE len > 0),
+m AS (SELECT x1 + (x2 - x1) * (k.k + 0.5) / n AS x, y1 + (y2 - y1) * (k.k + 0.5) / n AS y, len / n AS v FROM q, generate_series(0, 200) k(k) WHERE k.k < n),
+t AS (SELECT z.zone_id, any_value(z.area) AS area, coalesce(sum(m.v), 0.0) AS length_m FROM zone z LEFT JOIN m ON m.x >= x0 AND m.x < x0 + 120 AND m.y >= y0 AND m.y < y0 + 120 AND (m.x - x0) + (m.y - y0) < 180 GROUP BY z.zone_id)
+SELECT zone_id, round(length_m, 6) + 0.0 AS length_m, round(length_m / 1000 / area, 6) + 0.0 AS density, CASE WHEN area IS NULL THEN 'NO_AREA' END AS flag FROM t""")
+def jn17_zone_density(spark, sf_dir):
+    """Length of all lines within each five-cornered zone over its area; every seventh zone's area isn't known."""
+    at = lambda k, off: F.col("s_suppkey") * k % 400 - F.lit(off)
+    x0, y0 = at(37, 300.137), at(91, 300.291)
+    corner = lambda dx, dy: F.struct((x0 + dx).alias("x"), (y0 + dy).alias("y"))
+    ring = F.array(corner(0, 0), corner(120, 0), corner(120, 60), corner(60, 120), corner(0, 120))
+    zones = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("zone_id"), ring.alias("ring"), F.when(F.col("s_suppkey") % 7 != 0, 0.0126).alias("area_km2"))
+    return rounded(spatial.line_density(_segments(spark, sf_dir), zones, 120.0, PART))

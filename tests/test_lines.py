@@ -47,3 +47,18 @@ def test_short_lines_single_points_and_counts(spark):
     assert len(narrow) == 1  # two pieces would be under the least length
     with pytest.raises(ValueError):
         linear.PieceRules(100, 200, 500)
+
+
+def test_line_across_a_square_has_its_length(spark):
+    from pyspark.sql import functions as F
+
+    from streamwatch.operators import spatial
+
+    segments = spark.createDataFrame([(-500.0, 50.0, 500.0, 50.0), (20.0, -80.0, 20.0, 50.0), (7.0, 7.0, 7.0, 7.0)], "x1 double, y1 double, x2 double, y2 double")
+    square = lambda x, y: [(x, y), (x + 100.0, y), (x + 100.0, y + 100.0), (x, y + 100.0)]
+    zones = spark.createDataFrame([("both", square(0.0, 0.0), 0.01), ("none", square(0.0, 300.0), 0.01), ("no area", square(200.0, 0.0), None), ("zero", square(-300.0, 0.0), 0.0)], "zone_id string, ring array<struct<x:double,y:double>>, area_km2 double")
+    got = {r.zone_id: r for r in spatial.line_density(segments, zones, 64.0, 5.0).collect()}
+    assert got["both"].length_m == pytest.approx(150) and got["both"].density == pytest.approx(15) and got["both"].flag is None
+    assert (got["none"].length_m, got["none"].density, got["none"].flag) == (0.0, 0.0, None)
+    assert got["no area"].length_m == pytest.approx(100) and got["no area"].density is None and got["no area"].flag == got["zero"].flag == "NO_AREA"
+    assert spatial.line_density(segments.filter(F.lit(False)), zones, 64.0, 5.0).agg(F.sum("length_m")).first()[0] == 0
