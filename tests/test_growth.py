@@ -31,3 +31,9 @@ def test_a_share_of_exactly_half_is_not_more_than_half(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     assert {r[1:] for r in con.execute(ORACLES["ag36_wettest_day"]).fetchall()} == {(0.5, False)}
+
+
+def test_customers_are_counted_before_they_meet_suppliers(spark, sf):
+    plan = view(spark, sf, "v_exposure")._jdf.queryExecution().optimizedPlan().toString()
+    join = plan.index("Join Inner")
+    assert "Aggregate" in plan[join:]
