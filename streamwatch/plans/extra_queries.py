@@ -60,8 +60,9 @@ def sc6_response_check(spark, sf_dir):
 def jn18_corridor_width(spark, sf_dir):
     """Vegetated share of the pixels within the corridor, times its width."""
     points = view(spark, sf_dir, "v_points")
-    met = spatial.near_lines(_segments(spark, sf_dir), points, 30.0).join(points.select("point_id", "label"), "point_id")
-    return rounded(met.groupBy("entity_id").agg(F.count("*").alias("n_pixels"), (30 * F.avg((F.col("label") >= 5).cast("double"))).alias("width")))
+    met = spatial.near_counts(_segments(spark, sf_dir), points, 30.0, "label").withColumn("green", F.when(F.col("label") >= 5, F.col("n")).otherwise(0))
+    known = F.nullif(F.sum(F.when(F.col("label").isNotNull(), F.col("n"))), F.lit(0))
+    return rounded(met.groupBy("entity_id").agg(F.sum("n").alias("n_pixels"), (30 * (F.sum("green") / known)).alias("width")))
 
 
 @query(BASE.rstrip() + f""", w AS (SELECT *, CASE WHEN entity_id % 2 = 0 THEN 'ORACLE' ELSE 'ASISSUED' END AS weather FROM fc WHERE fold = 'val'), c AS (SELECT weather, variable, count(*) AS n, list_sort(list({SCORE})) AS s FROM w GROUP BY ALL)

@@ -123,8 +123,8 @@ def jn14_exposure(spark, sf_dir):
 @query(with_views("v_points", more=NEAR) + "SELECT s.entity_id, CASE WHEN count(n.point_id) FILTER (WHERE n.label = 0) = 0 THEN count(n.point_id) END AS population, CASE WHEN count(n.point_id) FILTER (WHERE n.label = 0) > 0 THEN 'NODATA_IN_BUFFER' END AS flag FROM seg s LEFT JOIN near n ON n.entity_id = s.entity_id GROUP BY s.entity_id")
 def jn15_population(spark, sf_dir):
     points = view(spark, sf_dir, "v_points")
-    met = spatial.near_lines(_segments(spark, sf_dir), points, 25.0).join(points.select("point_id", "label"), "point_id")
-    out = _segments(spark, sf_dir).select("entity_id").join(met.groupBy("entity_id").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("gone")), "entity_id", "left")
+    met = spatial.near_counts(_segments(spark, sf_dir), points, 25.0, "label").groupBy("entity_id")
+    out = _segments(spark, sf_dir).select("entity_id").join(met.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label") == 0, F.col("n"))).alias("gone")), "entity_id", "left")
     n, gone = F.coalesce("n", F.lit(0)), F.coalesce("gone", F.lit(0))
     return out.select("entity_id", F.when(gone == 0, n).alias("population"), F.when(gone > 0, "NODATA_IN_BUFFER").alias("flag"))
 
