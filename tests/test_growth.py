@@ -1,11 +1,17 @@
 """Ties between equal values, and that work follows the input and not the pairs of its rows."""
 
 import datetime as dt
+import math
 
 import duckdb
+import numpy as np
+from oracle import rows_of
+from pyspark.sql import functions as F
 
-from streamwatch.fixtures import view
-from streamwatch.plans import extra_queries, forecast_queries, library_queries, more_queries, run_queries, series_queries, serving_queries  # noqa: F401
+from streamwatch.fixtures import FIT_END, view
+from streamwatch.functions import scalar
+from streamwatch.operators import climate, spatial
+from streamwatch.plans import extra_queries, forecast_queries, library_queries, more_queries, registry, run_queries, series_queries, serving_queries  # noqa: F401
 from streamwatch.plans.registry import ORACLES, QUERIES
 
 DAY = dt.datetime(1998, 3, 1)
@@ -33,7 +39,58 @@ def test_a_share_of_exactly_half_is_not_more_than_half(spark, tmp_path):
     assert {r[1:] for r in con.execute(ORACLES["ag36_wettest_day"]).fetchall()} == {(0.5, False)}
 
 
+def test_equal_sums_are_equal_observations(spark, tmp_path):
+    prices = ([100.1, 200.2, 300.3], [300.3, 200.2, 100.1], [600.6])
+    rows = [line(d, i, price=p, day=DAY + dt.timedelta(d)) for d, day in enumerate(prices) for i, p in enumerate(day)]
+    taxes = ([0.01, 0.02, 0.06], [0.06, 0.02, 0.01], [0.03] * 3)
+    rows += [line(d, i, tax=t, discount=t / 2, day=DAY + dt.timedelta(d), supplier=2) for d, day in enumerate(taxes) for i, t in enumerate(day)]
+    stored(spark.createDataFrame(rows, LINES), tmp_path, "lineitem")
+    obs = view(spark, str(tmp_path), "v_obs")
+    assert [r[0] for r in obs.filter("entity_id = 1").select("turbidity_proxy").distinct().collect()] == [0.6006]
+    assert obs.filter("entity_id = 2").select("ndci").distinct().count() == 1
+
+
 def test_customers_are_counted_before_they_meet_suppliers(spark, sf):
     plan = view(spark, sf, "v_exposure")._jdf.queryExecution().optimizedPlan().toString()
     join = plan.index("Join Inner")
     assert "Aggregate" in plan[join:]
+
+
+def test_one_pass_tells_what_climatology_and_thresholds_tell(spark, sf):
+    obs = series_queries.long_obs(spark, sf)
+    names = list(climate.NAMES)
+    wide = climate.climatology(obs, FIT_END).withColumnRenamed("n_clim", "n").select("entity_id", "variable", "doy", "n", "clim_mean", *names)
+    limits = climate.seasonal_thresholds(obs, FIT_END).select("entity_id", "variable", "season", "threshold", "clim_exceed_freq")
+    late = obs.filter(F.col("obs_date") > F.lit(FIT_END).cast("date")).withColumns({"doy": F.least(F.dayofyear("obs_date"), F.lit(365)), "season": scalar.season(F.col("obs_date"))})
+    expected = late.join(wide, ["entity_id", "variable", "doy"]).filter("n >= 5").join(limits, ["entity_id", "variable", "season"], "left")
+    got = climate.with_climatology(obs, FIT_END).filter("n_clim >= 5").withColumnRenamed("n_clim", "n")
+    columns = ["entity_id", "variable", "obs_date", "value", "n", "clim_mean", *names, "threshold", "clim_exceed_freq"]
+    one, other = (rows_of([tuple(r) for r in registry.rounded(d.select(*columns)).collect()], columns) for d in (got, expected))
+    assert len(one) > 100 and one == other
+
+
+def test_exceedances_read_the_observations_once(spark, sf):
+    plan = forecast_queries.exceedances(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_shipdate#") and plan.count("Relation [l_orderkey") == 1
+
+
+def test_points_are_counted_by_place_and_shape(spark):
+    rng = np.random.default_rng(3)
+    segments = [(e, float(a), float(b), float(a + 90), float(b + 40)) for e in range(6) for a, b in [((e % 3) * 50, 0), (20, (e % 3) * 30)]]
+    points = [(i, float(x), float(y), i % 3) for i, (x, y) in enumerate(np.tile(rng.uniform(-40, 200, (60, 2)), (3, 1)))]
+
+    def distance(s, p):
+        _, x1, y1, x2, y2 = s
+        t = min(1.0, max(0.0, ((p[1] - x1) * (x2 - x1) + (p[2] - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+        return math.hypot(p[1] - x1 - t * (x2 - x1), p[2] - y1 - t * (y2 - y1))
+
+    expected = {}
+    for e in range(6):
+        for p in points:
+            if (d := min(distance(s, p) for s in segments if s[0] == e)) <= 12:
+                n, least = expected.get((e, p[3]), (0, math.inf))
+                expected[e, p[3]] = (n + 1, min(least, d))
+    at = spark.createDataFrame(points, "point_id long, x double, y double, label int")
+    got = spatial.near_counts(spark.createDataFrame(segments, "entity_id long, x1 double, y1 double, x2 double, y2 double"), at, 12.0, "label")
+    told = {(r.entity_id, r.label): (r.n, round(r.distance, 9)) for r in got.collect()}
+    assert told == {k: (n, round(d, 9)) for k, (n, d) in expected.items()} and len(told) > 6
