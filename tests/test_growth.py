@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from streamwatch.fixtures import FIT_END, view
 from streamwatch.functions import scalar
-from streamwatch.operators import climate, spatial
+from streamwatch.operators import asof, climate, spatial
 from streamwatch.plans import extra_queries, forecast_queries, library_queries, more_queries, registry, run_queries, series_queries, serving_queries  # noqa: F401
 from streamwatch.plans.registry import ORACLES, QUERIES
 
@@ -94,3 +94,24 @@ def test_points_are_counted_by_place_and_shape(spark):
     got = spatial.near_counts(spark.createDataFrame(segments, "entity_id long, x1 double, y1 double, x2 double, y2 double"), at, 12.0, "label")
     told = {(r.entity_id, r.label): (r.n, round(r.distance, 9)) for r in got.collect()}
     assert told == {k: (n, round(d, 9)) for k, (n, d) in expected.items()} and len(told) > 6
+
+
+def test_seasonal_naive_is_the_nearest_known_of_the_first_year(spark):
+    rng = np.random.default_rng(5)
+    d = lambda n: dt.date(1970, 1, 1) + dt.timedelta(int(n))
+    obs = [(k, d(n), float(i)) for k in range(3) for i, n in enumerate(rng.choice(3000, 90 + k, replace=False))]
+    asked = [(k, d(t - rng.integers(1, 400)), d(t)) for k in range(4) for t in [*rng.integers(0, 3200, 60), 789, 790, 2250]]
+    back = lambda x, k: x.replace(year=x.year - k, day=28) if (x.month, x.day) == (2, 29) and (x.year - k) % 4 else x.replace(year=x.year - k)
+
+    def nearest(key, issued, target):
+        for k in range(1, 16):
+            anchor = back(target, k)
+            if near := [(abs((o - anchor).days), o, v) for e, o, v in obs if e == key and abs((o - anchor).days) <= 7 and o <= issued]:
+                return min(near)[2]
+        return None
+
+    targets = spark.createDataFrame(asked, "e int, issued_date date, target_date date")
+    out = asof.seasonal_naive(spark.createDataFrame(obs, "e int, obs_date date, value double"), targets, ["e"])
+    assert "_bin" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.e, r.issued_date, r.target_date): r.naive for r in out.collect()}
+    assert got == {a: nearest(*a) for a in asked} and any(v is None for v in got.values()) and sum(v is not None for v in got.values()) > 50
