@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from streamwatch.fixtures import FIT_END, view
 from streamwatch.functions import scalar
-from streamwatch.operators import asof, climate, spatial
+from streamwatch.operators import asof, climate, forest, spatial
 from streamwatch.plans import extra_queries, forecast_queries, library_queries, more_queries, registry, run_queries, series_queries, serving_queries  # noqa: F401
 from streamwatch.plans.registry import ORACLES, QUERIES
 
@@ -115,3 +115,17 @@ def test_seasonal_naive_is_the_nearest_known_of_the_first_year(spark):
     assert "_bin" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {(r.e, r.issued_date, r.target_date): r.naive for r in out.collect()}
     assert got == {a: nearest(*a) for a in asked} and any(v is None for v in got.values()) and sum(v is not None for v in got.values()) > 50
+
+
+def test_leaf_quantiles_are_exact_without_holding_a_leaf(spark):
+    rng = np.random.default_rng(8)
+    y = np.concatenate([rng.normal(0, 1, 900), np.full(400, 0.25), rng.pareto(1.0, 300)])
+    rows = [(int(i % 2), int(i % 7), float(v)) for i, v in enumerate(y)] + [(5, 5, 3.0), (6, 6, 1.0), (6, 6, 2.0)]
+    at = spark.createDataFrame(rows, "tree int, node int, y double")
+    told = forest.leaf_quantiles(at, float(min(r[2] for r in rows)), float(max(r[2] for r in rows)))
+    got = {(r.tree, r.node): r.q for r in told.collect()}
+    for key in {r[:2] for r in rows}:
+        assert np.allclose(got[key], np.quantile([r[2] for r in rows if r[:2] == key], climate.LEVELS), atol=1e-12)
+    assert len(got) == 16
+    one = spark.createDataFrame([(0, 0, 4.0)] * 3, "tree int, node int, y double")
+    assert forest.leaf_quantiles(one, 4.0, 4.0).first().q == [4.0] * 7
