@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import asof, scores
+from .graph import cut
 
 UNEXPLAINED = "UNEXPLAINED"
 
@@ -27,19 +28,21 @@ def run(labels: DataFrame, topology: DataFrame, replicates: int = 2000, seed: in
     intervals where there are replicates.
 
     labels: entity_id, variable, target_date, label, pit, event. Every unexplained row is a detection, every event one of the
-    entity it is at. labels are read several times: cut them before.
+    entity it is at. labels are read several times: cut them before. All variables are matched at once, and what is drawn
+    are the sums of an entity.
     """
     counts = labels.groupBy("variable").agg(F.count_if(F.col("label") == "NORMAL").alias("normal"), F.count_if(F.col("label") == "WEATHER_EXPLAINED").alias("weather_explained"), F.count_if(F.col("label") == UNEXPLAINED).alias("detections"), F.count_if("event").alias("events"))
     near = localised(labels, topology).groupBy("variable").agg(F.count_if("localised").alias("localised"))
-    rows = []
-    for variable in [r["variable"] for r in labels.select("variable").distinct().orderBy("variable").collect()]:  # a few variables
-        own = labels.filter(F.col("variable") == variable)
-        at = lambda df: df.select("entity_id", F.col("target_date").alias("date"))
-        det, ev = asof.matched(at(own.filter(F.col("label") == UNEXPLAINED)), at(own.filter("event")), topology, window_days, hops)
-        one = scores.prf(det, ev)
-        if replicates:
-            spread = scores.bootstrap_prf(det, ev, replicates, seed).withColumn("variable", F.lit(variable))
-            one = one.withColumn("variable", F.lit(variable)).join(spread, "variable")  # one row each
-        rows.append(one.withColumn("variable", F.lit(variable)))
     out = counts.join(near, "variable", "left").withColumn("localised", F.coalesce("localised", F.lit(0)))
-    return out.join(reduce(DataFrame.unionByName, rows), "variable", "left") if rows else out
+    odd = F.col("label") == UNEXPLAINED
+    found = cut(labels.filter(odd | F.col("event")).select("variable", "entity_id", F.col("target_date").alias("date"), odd.alias("odd"), "event"))
+    sides = [found.filter(c).select("variable", "entity_id", "date") for c in ("odd", "event")]
+    units = cut(scores.matched_units(*asof.matched(*sides, topology, window_days, hops, ["variable"]), ["variable", "entity_id"]))
+    total = units.groupBy("variable").agg(*[F.sum(c).alias(c) for c in scores.SUMS])
+    out = out.join(total.select("variable", *scores.ratios()), "variable", "left")
+    if replicates:
+        known = [r["variable"] for r in total.select("variable").orderBy("variable").collect()]  # a few variables
+        spread = [scores.bootstrap_units(units.filter(F.col("variable").eqNullSafe(F.lit(v))), replicates, seed).withColumn("variable", F.lit(v)) for v in known]
+        none = out.limit(0).select(*[F.lit(None).cast("double").alias(f"{m}_{e}") for m in ("precision", "recall", "f1") for e in ("low", "high")], "variable")
+        out = out.join(reduce(DataFrame.unionByName, spread, none), "variable", "left")
+    return out
