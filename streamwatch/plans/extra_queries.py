@@ -52,7 +52,7 @@ def sc6_response_check(spark, sf_dir):
     """Whether the forest's median answers a feature raised by a standard deviation with the expected sign."""
     rows = forest_rows(spark, sf_dir)
     cut = F.col("date") <= F.lit(FIT_END).cast("date")
-    return rounded(scenario.response_check(rows.filter(cut), rows.filter(~cut).filter(F.col("date") <= F.lit(VAL_END).cast("date")).dropDuplicates(["row_id"]), ["quantity", "discount", "tax"], "target", "row_id"), 4)
+    return rounded(scenario.response_check(rows.filter(cut), rows.filter(~cut).filter(F.col("date") <= F.lit(VAL_END).cast("date")).dropDuplicates(["row_id"]), ["quantity", "discount", "tax"], "target"), 4)
 
 
 @query(with_views("v_points", more=SEGMENTS + """, t AS (SELECT s.entity_id, p.point_id, p.label, x, y, x1, y1, x2, y2, CASE WHEN (x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) > 0 THEN greatest(0.0, least(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) ELSE 0.0 END AS t FROM seg s, v_points p)""")
