@@ -22,8 +22,16 @@ from .common import balanced
 LIMIT = 4096
 #: Bytes of text in a batch of counts and of ids, characters of a part of a long text.
 SLICE_BYTES, ID_BYTES, PART_CHARS = 4 << 20, 1 << 20, 1 << 18
-#: Parts that a worker remembers, and characters of the longest of them.
+#: Parts that a worker remembers, about, and characters of the longest of them.
 REMEMBERED, SHORT = 200_000, 48
+#: Words of long-known letters only: with or without a space in front, each is one piece of a byte-level vocabulary.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that a byte-level vocabulary writes for each byte that isn't printable in Latin-1."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
 #: A single space between characters that aren't white space: no piece of a byte-level vocabulary crosses it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Neighbouring white space: texts without it have a safe space or line feed wherever they have one.
@@ -80,8 +88,13 @@ class ByteEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core only
         self.model = Tokenizer.from_file(path)
         self.line_feed = self._encode(["\n"])[0].tobytes()
-        #: Ids of words behind a space, and of words that begin a line.
+        self.letters = byte_letters()
+        #: The library's model takes pieces as they are where nothing but a byte-level split comes before it.
+        pieces = self.model.pre_tokenizer and [p for p, _ in self.model.pre_tokenizer.pre_tokenize_str("ab cdé")]
+        self.direct = self.model.normalizer is None and pieces == ["ab", "ĠcdÃ©"]
+        #: Ids of words behind a space, those of some time ago, and ids of words that begin a line.
         self.words: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
         self.marks = {m: self._encode([m])[0].tobytes() for m in ",."}
 
@@ -100,12 +113,26 @@ class ByteEncoder:
         data = ids.tobytes()
         return [data[s:e] for s, e in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
 
+    def _alone(self, words: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of words behind lead, a space or nothing: a word of letters goes to the library's model as the one piece it is."""
+        names = [w for w in words if LETTERS.fullmatch(w)] if self.direct else []
+        tokenize, mark = self.model.model.tokenize, "Ġ" if lead else ""
+        flat, ends = [], [0]
+        for w in names:
+            flat += [t.id for t in tokenize(mark + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)))]
+            ends.append(4 * len(flat))
+        data = np.array(flat, dtype="<u4").tobytes()
+        held = dict(zip(names, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+        others = [w for w in words if w not in held]
+        held.update(zip(others, self._lines([lead + w for w in others]), strict=True))
+        return held
+
     def ids(self, text: str) -> bytes:
         return self.batch([text])[0]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > REMEMBERED:
-            self.words = {"": b""}
+        if len(self.words) > 2 * REMEMBERED // 5:  # words that come again stay, the others go
+            self.words, self.before = {"": b""}, self.words
         if len(self.heads) > REMEMBERED // 4:
             self.heads.clear()
         words, heads = self.words, self.heads
@@ -121,13 +148,16 @@ class ByteEncoder:
             seen.update(*lines)
             split.append(lines)
         new = seen.difference(words)
+        if self.before:
+            words.update((w, self.before[w]) for w in new.intersection(self.before))
+            new = new.difference(words)
         # a comma or full stop behind a letter has its own id, whatever the word
         marked = [w for w in new if w[-1] in self.marks and w[-2:-1].isalpha()]
         plain = list(new.difference(marked).union(w[:-1] for w in marked).difference(words))
-        words.update(zip(plain, self._lines([" " + w for w in plain]), strict=True))
+        words.update(self._alone(plain, " "))
         words.update((w, words[w[:-1]] + self.marks[w[-1]]) for w in marked)
         new = list(begun.difference(heads))
-        heads.update(zip(new, self._lines(new), strict=True))
+        heads.update(self._alone(new, ""))
         whole = iter(self._encode([p for t, s in zip(texts, split, strict=True) if s is None for p in spaced(t)]))
         out = []
         for t, lines in zip(texts, split, strict=True):

@@ -96,3 +96,23 @@ def test_knapsack_against_brute_force():
         best[c] = max([best[c - 1]] + [best[c - l] + prices[l] for l in range(1, c + 1)])
     value, used = packing.knapsack(prices, 12)
     assert abs(value - best[12]) < 1e-12 and abs((used * prices).sum() - value) < 1e-12 and (used * np.arange(13)).sum() <= 12
+
+
+def test_words_of_letters_have_the_ids_of_the_library(monkeypatch):
+    """op7: such words go to the library's model as pieces, and forgetting others changes no id."""
+    import random
+
+    import numpy as np
+
+    from streamwatch.llm import token_counts
+    from streamwatch.llm.queries import PACK_MODEL, tokenizer_path
+
+    encoder = token_counts.ByteEncoder(tokenizer_path(PACK_MODEL))
+    chars = [c for c in map(chr, range(0x250)) if token_counts.LETTERS.fullmatch(c)]
+    assert encoder.direct and all(c.isalpha() for c in chars) and {"z", "É", "ÿ", "ɏ"} <= set(chars) and not {"ª", "×", "÷", "_"} & set(chars)
+    rng = random.Random(5)
+    words = [*chars, "don't", "a1", "x,", "ªa", "a×b", "ʼn", "ɐa", "中文", *("".join(rng.choices(chars, k=rng.randint(2, 9))) for _ in range(600))]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 80))).replace(" a", "\na") for _ in range(300)]
+    monkeypatch.setattr(token_counts, "REMEMBERED", 500)
+    expected = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.model.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x for i in range(0, 300, 20) for x in encoder.batch(texts[i : i + 20])] == expected and encoder.before
