@@ -1,19 +1,22 @@
 """Token counts and token ids by public tokenizers, batch by batch in Arrow functions.
 
 Counts: the rows of a task are dealt to batches of about equal bytes, each of which is one call of the library; only a
-text that is longer than a part is split, where no token can cross. Ids: parts between safe spaces have the same ids
-wherever they stand, so the library meets each distinct part of a worker's texts once while it is remembered; what is
-remembered is bounded, and forgetting changes no result.
+text that is longer than a part is split, where no token can cross. Ids: words between safe spaces have the same ids
+wherever they stand, so the library meets each distinct word of a batch once, and not at all while it is remembered;
+what is remembered is bounded, and forgetting changes no result. Splitting, telling words apart and putting their ids
+together are Arrow calls on the whole batch.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+import string
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +24,12 @@ from .common import balanced
 
 LIMIT = 4096
 #: Bytes of text in a batch of counts and of ids, characters of a part of a long text.
-SLICE_BYTES, ID_BYTES, PART_CHARS = 4 << 20, 1 << 20, 1 << 18
-#: Parts that a worker remembers, about, and characters of the longest of them.
-REMEMBERED, SHORT = 200_000, 48
-#: Words of long-known letters only: with or without a space in front, each is one piece of a byte-level vocabulary.
-LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+")
-
-
-def byte_letters() -> dict[int, str]:
-    """The character that a byte-level vocabulary writes for each byte that isn't printable in Latin-1."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in printable)}
+SLICE_BYTES, ID_BYTES, PART_CHARS = 4 << 20, 4 << 20, 1 << 18
+#: Words that a worker remembers, and bytes of the longest of them.
+REMEMBERED, SHORT = 400_000, 48
+#: Long-known letters: with or without a space in front, a run of them is one piece of a byte-level vocabulary.
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+LETTERS = re.compile(f"[{LETTER}]+")
 #: A single space between characters that aren't white space: no piece of a byte-level vocabulary crosses it.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Neighbouring white space: texts without it have a safe space or line feed wherever they have one.
@@ -55,6 +53,19 @@ def long_parts(text: str, chars: int) -> list[str]:
     return [*out, text[at:]]
 
 
+def byte_letters() -> list[str]:
+    """The character that a byte-level vocabulary writes for each byte: its own where that is printable in Latin-1."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in printable else next(others)) for b in range(256)]
+
+
+def lists(lengths: Sequence[int] | np.ndarray, ids: np.ndarray) -> pa.Array:
+    """Lists of so many ids each."""
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.uint32()))
+
+
 class PieceCounter:
     """Counts of sentencepiece tokens. A part behind a space gets the same leading mark that the first part gets."""
 
@@ -83,20 +94,28 @@ class ByteEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its core only
         self.model = Tokenizer.from_file(path)
         self.line_feed = self._encode(["\n"])[0].tobytes()
-        self.letters = byte_letters()
+        self.letters = np.array([ord(c) for c in byte_letters()], dtype="<u2")
+        #: Characters that may begin what isn't a run of one class: a shortened word, or a special string.
+        begin = {"'", *(t.content[0] for t in self.model.get_added_tokens_decoder().values())}
+        marks = "".join(re.escape(c) for c in string.punctuation if c not in begin)
+        #: A word of letters, digits and marks falls into runs of each; line feed and end of word are pieces of their own.
+        self.simple = rf"\A\n?[{LETTER}0-9{marks}]+\z"
+        self.run = re.compile(rf" ?(?:[{LETTER}]+|[0-9]+|[{marks}]+)|[\n\0]")
         #: The library's model takes pieces as they are where nothing but a byte-level split comes before it.
-        pieces = self.model.pre_tokenizer and [p for p, _ in self.model.pre_tokenizer.pre_tokenize_str("ab cdé")]
-        self.direct = self.model.normalizer is None and pieces == ["ab", "ĠcdÃ©"]
-        #: Ids of words behind a space, those of some time ago, and ids of words that begin a line.
-        self.words: dict[str, bytes] = {"": b""}
-        self.before: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.marks = {m: self._encode([m])[0].tobytes() for m in ",."}
+        pieces = self.model.pre_tokenizer and [p for p, _ in self.model.pre_tokenizer.pre_tokenize_str("ab cdé12.;")]
+        self.direct = self.model.normalizer is None and pieces == ["ab", "ĠcdÃ©", "12", ".;"] and not any(c.isalnum() for c in begin)
+        #: The same model behind a split at the letter of byte 1, and the id that ends a word: that of byte 0.
+        self.cut = Tokenizer(self.model.model)
+        self.cut.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(chr(self.letters[1]))
+        self.end = self.model.token_to_id(chr(self.letters[0]))
+        #: Words that were met before, latest first, and their ids. A line's first word has its line feed in front, others a space.
+        self.before = pa.array([], pa.large_string())
+        self.held = pa.array([], pa.list_(pa.uint32()))
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -113,66 +132,53 @@ class ByteEncoder:
         data = ids.tobytes()
         return [data[s:e] for s, e in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
 
-    def _alone(self, words: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of words behind lead, a space or nothing: a word of letters goes to the library's model as the one piece it is."""
-        names = [w for w in words if LETTERS.fullmatch(w)] if self.direct else []
-        tokenize, mark = self.model.model.tokenize, "Ġ" if lead else ""
-        flat, ends = [], [0]
-        for w in names:
-            flat += [t.id for t in tokenize(mark + (w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)))]
-            ends.append(4 * len(flat))
-        data = np.array(flat, dtype="<u4").tobytes()
-        held = dict(zip(names, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
-        others = [w for w in words if w not in held]
-        held.update(zip(others, self._lines([lead + w for w in others]), strict=True))
-        return held
+    def _simple(self, words: list[str]) -> pa.Array:
+        """Ids of words of letters, digits and marks: their runs go to the library's model as the pieces they are."""
+        if not words:
+            return self.held[:0]
+        text = self.run.sub("\\g<0>\1", (" " + "\0 ".join(words) + "\0").replace(" \n", "\n"))
+        pieces = self.letters[np.frombuffer(text.encode(), dtype="u1")].tobytes().decode("utf-16-le")
+        ids = np.array(self.cut.encode_batch_fast([pieces], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(ids == self.end)
+        return lists(np.diff(ends, prepend=-1) - 1, np.delete(ids, ends))
+
+    def _others(self, words: list[str]) -> pa.Array:
+        """Ids of any words, through the library's own split."""
+        heads = iter(self._lines([w[1:] for w in words if w[0] == "\n"]))
+        rest = iter(self._lines([" " + w for w in words if w[0] != "\n"]))
+        ids = [self.line_feed + next(heads) if w[0] == "\n" else next(rest) for w in words]
+        return lists([len(x) // 4 for x in ids], np.frombuffer(b"".join(ids), dtype="<u4"))
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words; those not met before go to the library."""
+        known = pc.index_in(words, self.before)
+        new = words.filter(pc.is_null(known))
+        runs = pc.match_substring_regex(new, self.simple) if self.direct else pa.array(np.zeros(len(new), dtype=bool))
+        simple, other = new.filter(runs), new.filter(pc.invert(runs))
+        held = pa.concat_arrays([self.held, self._simple(simple.to_pylist()), self._others(other.to_pylist())])
+        own = pc.fill_null(known, -1).to_numpy().astype(np.int64)
+        unused = np.ones(len(self.before), dtype=bool)
+        unused[own[own >= 0]] = False
+        own[np.flatnonzero(own < 0)[np.argsort(~runs.to_numpy(zero_copy_only=False), kind="stable")]] = len(self.before) + np.arange(len(new))
+        short = own[pc.less_equal(pc.binary_length(words), SHORT).to_numpy(zero_copy_only=False)]
+        stay = np.concatenate([short, np.flatnonzero(unused)])[:REMEMBERED]
+        self.before, self.held = pa.concat_arrays([self.before, simple, other]).take(stay), held.take(stay)
+        return held.take(own)
 
     def ids(self, text: str) -> bytes:
         return self.batch([text])[0]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > 2 * REMEMBERED // 5:  # words that come again stay, the others go
-            self.words, self.before = {"": b""}, self.words
-        if len(self.heads) > REMEMBERED // 4:
-            self.heads.clear()
-        words, heads = self.words, self.heads
-        split: list[list[list[str]] | None] = []
-        seen: set[str] = set()
-        begun: set[str] = set()
-        for t in texts:
-            if not t or t[0].isspace() or t[-1].isspace() or DOUBLE.search(t):
-                split.append(None)
-                continue
-            lines = [line.split(" ") for line in t.split("\n")]
-            begun.update(line[0] for line in lines)
-            seen.update(*lines)
-            split.append(lines)
-        new = seen.difference(words)
-        if self.before:
-            words.update((w, self.before[w]) for w in new.intersection(self.before))
-            new = new.difference(words)
-        # a comma or full stop behind a letter has its own id, whatever the word
-        marked = [w for w in new if w[-1] in self.marks and w[-2:-1].isalpha()]
-        plain = list(new.difference(marked).union(w[:-1] for w in marked).difference(words))
-        words.update(self._alone(plain, " "))
-        words.update((w, words[w[:-1]] + self.marks[w[-1]]) for w in marked)
-        new = list(begun.difference(heads))
-        heads.update(self._alone(new, ""))
-        whole = iter(self._encode([p for t, s in zip(texts, split, strict=True) if s is None for p in spaced(t)]))
-        out = []
-        for t, lines in zip(texts, split, strict=True):
-            if lines is None:
-                out.append(b"".join(next(whole).tobytes() for _ in spaced(t)))
-                continue
-            own = []
-            for line in lines:
-                head, line[0] = line[0], ""
-                own.append(heads[head] + b"".join(map(words.__getitem__, line)))
-            out.append(self.line_feed.join(own))
-        for held in (words, heads):
-            for w in [w for w in (*plain, *marked, *new) if len(w) > SHORT]:
-                held.pop(w, None)
-        return out
+        clean = [bool(t) and not (t[0].isspace() or t[-1].isspace() or DOUBLE.search(t)) for t in texts]
+        own = [("\n" + t).replace("\n", " \n")[1:] for t, c in zip(texts, clean, strict=True) if c]
+        split = pc.split_pattern(pa.array(own, pa.large_string()), " ")
+        words = split.values.dictionary_encode()
+        ids = self._words(words.dictionary).take(words.indices)
+        ends = ids.offsets.to_numpy()[split.offsets.to_numpy()].astype(np.int64) * 4
+        data = memoryview(ids.values.to_numpy()).cast("B")
+        parts = iter([bytes(data[a + 4 : b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)])  # without the line feed in front
+        whole = iter(self._encode([p for t, c in zip(texts, clean, strict=True) if not c for p in spaced(t)]))
+        return [next(parts) if c else b"".join(next(whole).tobytes() for _ in spaced(t)) for t, c in zip(texts, clean, strict=True)]
 
 
 _LOADED: dict = {}

@@ -116,3 +116,24 @@ def test_words_of_letters_have_the_ids_of_the_library(monkeypatch):
     monkeypatch.setattr(token_counts, "REMEMBERED", 500)
     expected = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.model.encode_batch_fast(texts, add_special_tokens=False)]
     assert [x for i in range(0, 300, 20) for x in encoder.batch(texts[i : i + 20])] == expected and encoder.before
+
+
+def test_words_with_marks_skip_the_library_split(monkeypatch):
+    """op7: only words that may fall apart otherwise take the library's own split, each once while it is remembered."""
+    encoder = token_counts.ByteEncoder(BYTES)
+    taken: list[str] = []
+    lines = encoder._lines
+    monkeypatch.setattr(encoder, "_lines", lambda words: taken.extend(words) or lines(words))
+    rng = random.Random(7)
+    chars = "abcÉñßz0189.,;:!?$%&*#@_-+/\\|~^`\"()[]{}=>"
+    words = ["".join(rng.choices(chars, k=rng.randint(1, 12))) for _ in range(3000)]
+    odd = ["don't", "it's.", "'s", "<|endoftext|>", "a<|endoftext|>b", "e<b", "x\0y", "a\x01", "Ā", "ā", "Ġ", "Ċ", "中文", "é", "a\tb", "½", "٣", "​"]
+    plain = [" ".join(rng.choices(words, k=rng.randint(1, 60))).replace(" a", "\na") for _ in range(400)]
+    expected = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.model.encode_batch_fast(plain, add_special_tokens=False)]
+    assert encoder.batch(plain) == expected and not taken
+    monkeypatch.setattr(token_counts, "REMEMBERED", 50)
+    mixed = [" ".join(rng.choices(words + odd * 50, k=rng.randint(1, 60))).replace(" a", "\na").replace(" '", "\n'") for _ in range(400)] + ["", " a", "a  b"]
+    expected = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.model.encode_batch_fast(mixed, add_special_tokens=False)]
+    assert [x for i in range(0, len(mixed), 31) for x in encoder.batch(mixed[i : i + 31])] == expected
+    assert {" don't", " 中文", " e<b"} <= set(taken) and len(encoder.before) <= 50
+    assert encoder.batch([]) == [] and encoder.batch([""]) == [b""]
