@@ -25,8 +25,8 @@ from .common import balanced
 LIMIT = 4096
 #: Bytes of text in a batch of counts and of ids, characters of a part of a long text.
 SLICE_BYTES, ID_BYTES, PART_CHARS = 4 << 20, 4 << 20, 1 << 18
-#: Words that a worker remembers, and bytes of the longest of them.
-REMEMBERED, SHORT = 400_000, 48
+#: Words that a worker remembers, bytes of the longest of them, and words in a call of the library, which holds much for each.
+REMEMBERED, SHORT, CALL = 400_000, 48, 4096
 #: Long-known letters: with or without a space in front, a run of them is one piece of a byte-level vocabulary.
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 LETTERS = re.compile(f"[{LETTER}]+")
@@ -134,8 +134,6 @@ class ByteEncoder:
 
     def _simple(self, words: list[str]) -> pa.Array:
         """Ids of words of letters, digits and marks: their runs go to the library's model as the pieces they are."""
-        if not words:
-            return self.held[:0]
         text = self.run.sub("\\g<0>\1", (" " + "\0 ".join(words) + "\0").replace(" \n", "\n"))
         pieces = self.letters[np.frombuffer(text.encode(), dtype="u1")].tobytes().decode("utf-16-le")
         ids = np.array(self.cut.encode_batch_fast([pieces], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -155,7 +153,8 @@ class ByteEncoder:
         new = words.filter(pc.is_null(known))
         runs = pc.match_substring_regex(new, self.simple) if self.direct else pa.array(np.zeros(len(new), dtype=bool))
         simple, other = new.filter(runs), new.filter(pc.invert(runs))
-        held = pa.concat_arrays([self.held, self._simple(simple.to_pylist()), self._others(other.to_pylist())])
+        met = [f(part[i : i + CALL].to_pylist()) for f, part in ((self._simple, simple), (self._others, other)) for i in range(0, len(part), CALL)]
+        held = pa.concat_arrays([self.held, *met])
         own = pc.fill_null(known, -1).to_numpy().astype(np.int64)
         unused = np.ones(len(self.before), dtype=bool)
         unused[own[own >= 0]] = False
