@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, slices
+from .common import cut, giving_back, partitions, slices
 
 GRAM, SIMILARITY = 5, 0.8
 TOKENS, DEPTH, RECALL = 64, 4, 0.9999
@@ -134,6 +134,7 @@ def signature_rows(docs: DataFrame, gram: int = GRAM, tokens: int = TOKENS) -> D
     seeds = mixed(np.arange(101, 101 + tokens, dtype=np.uint64)) | U(1)
     shifts = mixed(np.arange(901, 901 + tokens, dtype=np.uint64))
 
+    @giving_back
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE_BYTES):
@@ -174,6 +175,7 @@ def _children(rows: DataFrame, level: int, similarity: float, tokens: int, runs:
     """(path, id) of the children of each row's bucket; at level 0 the rows are sets, and the buckets the runs."""
     limit = U(int(2**64 / (similarity * tokens)))
 
+    @giving_back
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = mixed(np.arange(1, tokens + 1, dtype=np.uint64))
         for batch in batches:
@@ -235,6 +237,7 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[tup
 def _bucket_links(rows: DataFrame, least: float, tokens: int) -> DataFrame:
     """Links between sets of one (bucket, block pair) whose tokens agree enough, by one byte of each; a forest for each."""
 
+    @giving_back
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for df in _groups(batches, ["path", "x", "y"]):
             out = []
@@ -317,6 +320,7 @@ def _place(ids, bits: int):
 def _set_rows(docs: DataFrame, gram: int, held, bits: int) -> DataFrame:
     """doc_id, id and the distinct gram hashes of each text, sorted, as bytes; of documents whose ids the bitmap may hold."""
 
+    @giving_back
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             place = whole.column("place").to_numpy(zero_copy_only=False)
@@ -359,6 +363,7 @@ def similar(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.n
 def _exact(rows: DataFrame, similarity: float) -> DataFrame:
     """For each (group, block pair): links of a forest of its similar pairs (n = 0), and each set's number of links (n > 0)."""
 
+    @giving_back
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for df in _groups(batches, ["group", "x", "y"]):
             out = []

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -77,6 +78,22 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def giving_back(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task; at its end, what it has freed goes back to the system.
+
+    A Python worker stays for later tasks, also while other stages run in the JVM alone; what Arrow and the C library
+    keep of a batch would count against the executor all that time.
+    """
+
+    @wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        pa.system_memory_pool().release_unused()
+
+    return run
+
+
 def balanced(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The rows of a task in batches of about `most` bytes of text each, whatever the batches they came in."""
     held: list[pa.RecordBatch] = []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import balanced, cut, digest, digits_for, hex_bucket, running
+from .common import balanced, cut, digest, digits_for, giving_back, hex_bucket, running
 from .token_counts import ID_BYTES, ByteEncoder, loaded
 
 CAPACITY = 1024
@@ -134,6 +134,7 @@ class Plan:
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, doc_tokens and the CRC-32 of each piece of at most `capacity` ids, the last id 0 with them; no texts."""
 
+    @giving_back
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, width = loaded(ByteEncoder, path), 4 * capacity
         for batch in balanced(batches, "text", ID_BYTES):

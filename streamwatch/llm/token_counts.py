@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import balanced
+from .common import balanced, giving_back
 
 LIMIT = 4096
 #: Bytes of text in a batch of counts and of ids, characters of a part of a long text.
@@ -176,8 +176,11 @@ class ByteEncoder:
         ends = ids.offsets.to_numpy()[split.offsets.to_numpy()].astype(np.int64) * 4
         data = memoryview(ids.values.to_numpy()).cast("B")
         parts = iter([bytes(data[a + 4 : b]) for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)])  # without the line feed in front
-        whole = iter(self._encode([p for t, c in zip(texts, clean, strict=True) if not c for p in spaced(t)]))
-        return [next(parts) if c else b"".join(next(whole).tobytes() for _ in spaced(t)) for t, c in zip(texts, clean, strict=True)]
+        return [next(parts) if c else self._parts(spaced(t)) for t, c in zip(texts, clean, strict=True)]
+
+    def _parts(self, parts: list[str]) -> bytes:
+        """Ids of a text's parts, one behind the other."""
+        return b"".join(np.concatenate(self._encode(parts[i : i + CALL])).tobytes() for i in range(0, len(parts), CALL))
 
 
 _LOADED: dict = {}
@@ -196,6 +199,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     left out; an empty table gives no rows. path names the sentencepiece model on every machine.
     """
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(PieceCounter, path)
         for batch in balanced(batches, "text", SLICE_BYTES):

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import giving_back
+
 WORD = re.compile(r"\w+")
 #: Bound of the training sample: so many documents of label 0 and of label 1, none longer than so many characters.
 SAMPLE, SAMPLE_CHARS = (3000, 1500), 40_000
@@ -285,6 +287,7 @@ def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFra
     held = docs.sparkSession.sparkContext.broadcast(model)  # one number per bucket
 
     @F.pandas_udf("double")
+    @giving_back
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, float] = {}
         for texts in parts:

@@ -1,11 +1,15 @@
 import random
+import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from streamwatch.llm import packing, token_counts
@@ -137,3 +141,40 @@ def test_words_with_marks_skip_the_library_split(monkeypatch):
     assert [x for i in range(0, len(mixed), 31) for x in encoder.batch(mixed[i : i + 31])] == expected
     assert {" don't", " 中文", " e<b"} <= set(taken) and len(encoder.before) <= 50
     assert encoder.batch([]) == [] and encoder.batch([""]) == [b""]
+
+
+class Caught:
+    """Documents that hand back the function of a task."""
+
+    schema = StructType([StructField("doc_id", LongType())])
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, task, schema):
+        return task
+
+
+def test_a_task_gives_back_its_memory():
+    own = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+    task, rng = packing.tokenised(Caught(), BYTES), random.Random(5)
+
+    def batches(n, rows):
+        for _ in range(n):
+            texts = [" ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(1000)) for _ in range(rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(rows)), pa.array(texts)], ["doc_id", "text"])
+
+    assert sum(len(b) for b in task(batches(1, 1))) == 1
+    before = own()
+    assert sum(len(b) for b in task(batches(3, 600))) == 1800
+    assert own() - before < 60
+
+
+def test_texts_with_white_space_go_to_the_library_in_bounded_calls(monkeypatch):
+    encoder, calls, given = token_counts.ByteEncoder(BYTES), [], token_counts.ByteEncoder._encode
+    monkeypatch.setattr(token_counts, "CALL", 50)
+    monkeypatch.setattr(token_counts.ByteEncoder, "_encode", lambda self, parts: calls.append(len(parts)) or given(self, parts))
+    texts = ["two  spaces" + " and a word" * 100, " ", "\n\n" + "x y " * 60]
+    expected = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.model.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoder.batch(texts) == expected
+    assert len(calls) > 3 and max(calls) <= 50
