@@ -78,6 +78,12 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def give_back() -> None:
+    """What this process has freed and Arrow or the C library keep for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
+
+
 def giving_back(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """The same task; at its end, what it has freed goes back to the system.
 
@@ -88,8 +94,7 @@ def giving_back(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], It
     @wraps(task)
     def run(batches: Iterator) -> Iterator:
         yield from task(batches)
-        pa.default_memory_pool().release_unused()
-        pa.system_memory_pool().release_unused()
+        give_back()
 
     return run
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import giving_back
+from .common import give_back, giving_back
 
 WORD = re.compile(r"\w+")
 #: Bound of the training sample: so many documents of label 0 and of label 1, none longer than so many characters.
@@ -277,7 +277,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), per
     if rows["label"].nunique() < 2:
         return None
     rows = rows.sample(frac=1, random_state=settings.seed)
-    return train(rows["text"].tolist(), rows["label"].to_numpy(), settings, share)
+    model = train(rows["text"].tolist(), rows["label"].to_numpy(), settings, share)
+    del rows
+    give_back()  # the driver goes on with other stages
+    return model
 
 
 def scored(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -114,3 +115,11 @@ def test_scores_against_brute_force():
     got = model.scores(own, known)
     assert np.abs(got - [brute(t) for t in own]).max() < 1e-6
     assert (model.scores(own, {}) == got).all() and (model.scores(own * 2, known)[len(own) :] == got).all()
+
+
+def test_the_driver_gives_back_what_the_fit_took(monkeypatch):
+    done = []
+    monkeypatch.setattr(toxicity, "sample", lambda *_: (pd.DataFrame({"doc_id": [1, 2], "text": ["a", "b"], "label": [0, 1]}), 0.5))
+    monkeypatch.setattr(toxicity, "train", lambda *_: done.append("train") or "model")
+    monkeypatch.setattr(toxicity, "give_back", lambda: done.append("give back"), raising=False)
+    assert toxicity.fit(None, None) == "model" and done == ["train", "give back"]
